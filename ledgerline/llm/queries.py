@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, mixing, packing, quality, simhash, sstable, substring
+from ledgerline.llm import chat, mixing, packing, pii, quality, simhash, sstable, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(chat.with_probe(_table(spark, sf_dir, "conversations"))))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT) AS n_{k}") for k in pii.KINDS[:4]]
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans")), 256).alias("base_sha256"), pii.joined(F.concat("spans", "found")).alias("spans"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -46,5 +52,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apportion(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_quality_rules, op4_token_shards, op5_chat_formatting, op9_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_quality_rules, op4_token_shards, op5_chat_formatting, op8_personal_data, op9_packing, op10_source_mixing)}
 ORACLE_SQL = {"op10_source_mixing": mixing.MIX_SQL}
