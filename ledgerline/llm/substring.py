@@ -32,7 +32,7 @@ from ledgerline.plans.scratch import materialize
 WINDOW = 50
 SEED = 16
 #: Bytes of text taken together; a longer document is taken alone.
-CHUNK = 4_000_000
+CHUNK = 500_000
 _M = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _R = (0xC2B2AE3D27D4EB4F, 0xAF251AF3B0F025B5)
 LAST = (1 << 63) - 1
