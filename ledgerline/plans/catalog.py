@@ -1,4 +1,6 @@
-"""Registered queries over the proxy views, with the SQL they are held against."""
+"""All registered queries over the proxy views, with the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ledgerline.plans import jobs_events, jobs_model, jobs_places, jobs_rows, jobs_state  # noqa: F401
+from ledgerline.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
