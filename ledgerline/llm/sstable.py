@@ -156,7 +156,7 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, end: int = END
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
     records = rows.mapInArrow(_records(tokenizer, end, width), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
