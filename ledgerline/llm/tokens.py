@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -18,9 +19,14 @@ from ledgerline.llm.words import spread
 #: Words kept per worker.  A full table stays as it is while it serves; after as many further words as it holds
 #: times four it is emptied, so that it follows a change of language.
 KEPT_WORDS = 600_000
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+#: All white space of Unicode but blank and line end, with the four separators that Python also counts.
+_ODD = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
 _WITH_BLANKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
+#: Byte-level vocabularies write printable bytes as they are and the others as the signs from 256 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class Encoder:
     """Ids of texts by the tokenizer file ``path``; ``blanks`` says whether its tokens hold blanks."""
@@ -32,6 +38,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.blanks = blanks
+        self.marks: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -40,9 +47,37 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _marks(self, marks: str) -> list[int]:
+        if marks not in self.marks:
+            self.marks[marks] = self.library.encode(marks, add_special_tokens=False).ids
+        return self.marks[marks]
+
+    def _ids(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of each word.  Letters with at most one blank before are one unit for the merges, which the library's
+        model then gets alone, without the stops behind and the line end before; any other word takes the whole way."""
+        merge, blanks, blank = self.library.model.tokenize, self.blanks, chr(_BYTE_SIGNS[32])
+        for word in words:
+            before = stops = ""
+            rest = word
+            if rest[-1:] in (".", ","):
+                rest = rest.rstrip(".,")
+                stops = word[len(rest) :]
+            if blanks and rest[:1] == "\n":
+                before, rest = "\n", rest[1:]
+            bare = rest[1:] if blanks and rest[:1] == " " else rest
+            if not blanks:
+                rest = bare = bare.lower() if bare.isascii() else self.library.normalizer.normalize_str(bare)
+            if not bare.isalpha():
+                yield self.library.encode(word, add_special_tokens=False).ids
+                continue
+            signs = rest if bare is rest and rest.isascii() else blank + bare if rest.isascii() else rest.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            ids = [t.id for t in merge(signs)]
+            if stops:
+                ids += self._marks(stops)
+            yield self._marks(before) + ids if before else ids
+
     def _learn(self, words: list[str]) -> None:
-        batch = self.library.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in batch]
+        ids = list(self._ids(words))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         n, total = len(self.place), int(lengths.sum())
         while len(self.flat) < self.used + total:
@@ -57,7 +92,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit integers."""
-        if _ODD.search(text):
+        if any(map(text.__contains__, _ODD)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         words = _WITH_BLANKS.findall(text) if self.blanks else text.replace("\n", " ").split(" ")
         if len(words) == 0:
