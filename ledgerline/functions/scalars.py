@@ -34,7 +34,7 @@ def authority_weight(authority: Column | str) -> Column:
 def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
     lat1, lon1, lat2, lon2 = map(col, (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.when(a.isNotNull(), 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a))))  # least() alone would pass over a null
 
 
 def floor_time(ts: Column | str, minutes: int) -> Column:

@@ -100,7 +100,7 @@ def _day(e, day: str):
     return last.select("train", "station", F.col("authority").alias("route"), F.timestamp_micros(F.unix_micros("occurred_at") % 86_400_000_000 + F.col("delay_min").cast("long") * 60_000_000).alias("eta"), F.col("reliability").alias("confidence"), (F.col("delay_min") + 10.0).alias("uncertainty"))
 
 
-DAY = "SELECT train, station, authority AS route, epoch_us(occurred_at) % 86400000000 + delay_min * 60000000 AS eta, reliability AS confidence, delay_min + 10.0 AS uncertainty FROM ev WHERE service_date = '{}' QUALIFY row_number() OVER (PARTITION BY train ORDER BY occurred_at DESC, event_id DESC) = 1"
+DAY = "SELECT train, station, authority AS route, epoch_us(occurred_at) % 86400000000 + delay_min * 60000000::BIGINT AS eta, reliability AS confidence, delay_min + 10.0 AS uncertainty FROM ev WHERE service_date = '{}' QUALIFY row_number() OVER (PARTITION BY train ORDER BY occurred_at DESC, event_id DESC) = 1"
 
 
 @job("d17_movement_changes", f"""WITH {EV}, p AS ({DAY.format('2024-01-10')}), c AS ({DAY.format('2024-01-11')}), j AS (SELECT p.train, c.station <> p.station AS st, c.route <> p.route AS ro, abs(c.eta - p.eta) / 60e6 AS gap, p.confidence - c.confidence AS fall, c.confidence AS conf, c.uncertainty >= greatest(p.uncertainty * 1.25, p.uncertainty + 15) AS wide, c.uncertainty AS unc FROM p JOIN c USING (train))
