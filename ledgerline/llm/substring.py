@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.words import raw, spread
+from ledgerline.llm.words import raw, slices, spread
 from ledgerline.plans.scratch import materialize
 
 WINDOW = 50
@@ -137,7 +137,7 @@ def _pieces(docs: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _edges(window: int, seed: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             docs = raw(batch)
             ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
             for lo, hi in _pieces(docs):
@@ -149,7 +149,7 @@ def _edges(window: int, seed: int):
 
 def _windows(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             docs = raw(batch)
             ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
             opened = batch.column("opened").to_pylist()
@@ -196,7 +196,7 @@ def cover(spans: list[tuple[int, int]], n: int) -> np.ndarray:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n_words, n_removed, kept = [], [], []
         for text, spans in zip(raw(batch), batch.column("spans").to_pylist(), strict=True):
             words = text.split()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -19,6 +23,19 @@ def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices, so that a worker holds few texts as objects at a time.
+
+    Workers are reused, so what a task has freed goes back to the system when its rows end.
+    """
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes of all ranges ``[start, start + length)``, one after the other."""
     total = int(lengths.sum())
@@ -27,6 +44,3 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
-
-def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
