@@ -52,10 +52,10 @@ def apportion(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     """One row a document: its size, its source's size and target, its shard and the shard's quota, words ``taken``.
 
     ``rounds`` is how often the whole document is taken and ``extra`` how many of its first words once more;
-    ``taken = rounds * size + extra``.  ``keep`` names further columns to carry.
+    ``taken = rounds * size + extra``.  ``keep`` names further columns, carried as ``kept_*``.
     """
     who = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sizes = documents.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(who).alias("turn"), _hash32(who).alias("deal"))
+    sizes = documents.select("doc_id", "source", *[F.col(c).alias(f"kept_{c}") for c in keep], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(who).alias("turn"), _hash32(who).alias("deal"))
     sizes = materialize(sizes, "mix-sizes")
     targets = source_targets(sizes, weights, share, cap)
     docs = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
@@ -69,7 +69,7 @@ def apportion(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     docs = docs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.lit(block_words))))
     docs = docs.withColumn("rounds", F.expr("quota div blocks")).withColumn("cut", (F.col("quota") % F.col("blocks")) * block_words)
     docs = docs.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), "cut") - F.least("start", "cut")))
-    return docs.withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra")).select("doc_id", "source", *keep, "size", "source_size", "target", "shard", "quota", "rounds", "extra", "taken")
+    return docs.withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra")).select("doc_id", "source", *[f"kept_{c}" for c in keep], "size", "source_size", "target", "shard", "quota", "rounds", "extra", "taken")
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
@@ -78,15 +78,16 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     Same columns as ``documents``; ``n_chars`` follows the text.  A document of no words is not taken.
     """
     columns = documents.columns
-    docs = apportion(documents, keep=tuple(c for c in columns if c not in ("doc_id", "source")), **options)
+    others = tuple(c for c in columns if c not in ("doc_id", "source"))
+    docs = apportion(documents, keep=others, **options)
     copies = F.col("rounds") + (F.col("extra") > 0).cast("long")
     docs = docs.where(copies > 0).where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     whole = (F.col("copy") <= F.col("rounds")) | (F.col("extra") == F.col("size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " ")
-    docs = docs.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    cut = F.array_join(F.slice(F.regexp_extract_all("kept_text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " ")
+    docs = docs.withColumn("kept_text", F.when(whole, F.col("kept_text")).otherwise(cut))
     if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    return docs.select(*columns)
+        docs = docs.withColumn("kept_n_chars", F.char_length("kept_text").cast(documents.schema["n_chars"].dataType))
+    return docs.select(*[F.col(f"kept_{c}").alias(c) if c in others else F.col(c) for c in columns])
 
 
 MIX_SQL = rf"""

@@ -254,7 +254,9 @@ def _fold(node):
 def fold(nodes: tuple) -> tuple:
     """Constant expressions become constants, decided branches disappear, neighbouring constant text is joined."""
     out: list = []
-    for node in nodes:
+    todo = list(reversed(nodes))
+    while todo:
+        node = todo.pop()
         if isinstance(node, Output):
             node = Output(_fold(node.value))
             if isinstance(node.value, Const):
@@ -273,7 +275,7 @@ def fold(nodes: tuple) -> tuple:
         elif isinstance(node, If):
             test = _fold(node.test)
             if isinstance(test, Const):
-                out.extend(fold(node.then if test.value else node.other))
+                todo.extend(reversed(node.then if test.value else node.other))
                 continue
             node = If(test, fold(node.then), fold(node.other))
         out.append(node)
