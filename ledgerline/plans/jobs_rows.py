@@ -9,7 +9,12 @@ from ledgerline.operators import ledger, screening
 from ledgerline.plans.proxy import EV, NOW, ev, pts, table
 from ledgerline.plans.registry import job
 
-AT = F.lit(NOW).cast("timestamp")
+
+
+def now_at():
+    return F.lit(NOW).cast("timestamp")
+
+
 TS = f"TIMESTAMP '{NOW}'"
 AGE = f"((epoch_us({TS}) - epoch_us(occurred_at)) / 60e6)"
 
@@ -31,24 +36,24 @@ assessed AS (SELECT event_id, list_filter([CASE WHEN NOT regexp_full_match(numbe
 
 @job("b1_quality_screen", f"WITH {UPDATES} SELECT event_id, array_to_string(errors, ',') AS errors, array_to_string(warnings, ',') AS warnings, len(errors) = 0 AS accepted FROM assessed")
 def b1(spark, sf):
-    out = screening.assess(_updates(spark, sf), AT)
+    out = screening.assess(_updates(spark, sf), now_at())
     return out.select("event_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "accepted")
 
 
 @job("b1_warning_counts", f"WITH {UPDATES} SELECT warning, count(*) AS rows FROM (SELECT unnest(warnings) AS warning FROM assessed) GROUP BY warning")
 def b1_counts(spark, sf):
-    return screening.warning_counts(screening.assess(_updates(spark, sf), AT))
+    return screening.warning_counts(screening.assess(_updates(spark, sf), now_at()))
 
 
 @job("a20_quarantine", f"WITH {UPDATES} SELECT event_id, array_to_string(errors, ',') AS errors FROM assessed WHERE len(errors) > 0")
 def a20(spark, sf):
-    return screening.assess(_updates(spark, sf), AT).where("NOT accepted").select("event_id", F.array_join("errors", ",").alias("errors"))
+    return screening.assess(_updates(spark, sf), now_at()).where("NOT accepted").select("event_id", F.array_join("errors", ",").alias("errors"))
 
 
 @job("a1_ingest_latest", f"""WITH {UPDATES}, good AS (SELECT upd.* FROM upd JOIN assessed USING (event_id) WHERE len(errors) = 0)
 SELECT run_id, event_id, station, delay FROM good QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY occurred_at DESC, event_id DESC) = 1""")
 def a1(spark, sf):
-    good = screening.assess(_updates(spark, sf), AT).where("accepted")
+    good = screening.assess(_updates(spark, sf), now_at()).where("accepted")
     return ledger.latest(good, ["run_id"], "occurred_at", "event_id").select("run_id", "event_id", "station", "delay")
 
 
@@ -232,7 +237,7 @@ SELECT event_id FROM ev LEFT JOIN c USING (source_id) WHERE NOT (epoch_us({TS})
 def a21(spark, sf):
     rows = ev(spark, sf)
     covered = rows.where("event_id % 5 < 3 AND occurred_at < '2024-01-20 00:00:00'").groupBy("source_id").agg(F.max("occurred_at").alias("covered_through"))
-    return ledger.prune(rows, covered, AT, 2).select("event_id")
+    return ledger.prune(rows, covered, now_at(), 2).select("event_id")
 
 
 @job("a16_snapshot", f"""WITH {EV} SELECT run_id, event_id, epoch_us(max(occurred_at) OVER ()) AS generated_at FROM (SELECT * FROM ev WHERE epoch_us(TIMESTAMP '2024-01-15 12:00:00') - epoch_us(occurred_at) BETWEEN 0 AND 43200000000 ORDER BY occurred_at DESC, event_id DESC LIMIT 1000)""")

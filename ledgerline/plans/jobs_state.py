@@ -11,7 +11,12 @@ from ledgerline.plans.proxy import EV, ev, seg, table
 from ledgerline.plans.registry import job
 
 NOON = "2024-01-15 12:00:00"
-AT = F.lit(NOON).cast("timestamp")
+
+
+def now_at():
+    return F.lit(NOON).cast("timestamp")
+
+
 TS = f"TIMESTAMP '{NOON}'"
 AGE = f"((epoch_us({TS}) - epoch_us(occurred_at)) / 60e6)"
 
@@ -23,7 +28,7 @@ def f3(spark, sf):
 
 @job("d5_timeline_as_of", f"WITH {EV} SELECT run_id, event_id, station FROM ev WHERE {AGE} >= 0 AND {AGE} < 360 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY occurred_at DESC, event_id DESC) = 1")
 def d5(spark, sf):
-    return state.as_of(ev(spark, sf), "run_id", AT, "occurred_at", "event_id", 6).select("run_id", "event_id", "station")
+    return state.as_of(ev(spark, sf), "run_id", now_at(), "occurred_at", "event_id", 6).select("run_id", "event_id", "station")
 
 
 @job("d4_as_of_join", f"""WITH {EV}, a AS (SELECT train, event_id, occurred_at FROM ev WHERE station = 'view'), b AS (SELECT train, event_id AS fact, occurred_at AS fact_at FROM ev WHERE station = 'click')
@@ -78,10 +83,10 @@ lab AS (SELECT run_id, CASE WHEN held AND position <> 'unknown' THEN 'held' WHEN
 
 @job("m7_operational_state", f"WITH {STATE} SELECT run_id, state, round(0.8 * CASE WHEN state IN ('at_station', 'dwelling', 'held') THEN 1.0 WHEN state = 'stale' THEN 0.55 WHEN state = 'unknown' THEN 0.0 ELSE 0.85 END, 4) AS state_confidence FROM lab")
 def m7(spark, sf):
-    rows = state.tail_islands(ev(spark, sf)).where((F.col("until") <= AT) & (F.unix_micros(AT) - F.unix_micros("until") <= 86_400_000_000))
-    age = (F.unix_micros(AT) - F.unix_micros("until")) / F.lit(60e6)
+    rows = state.tail_islands(ev(spark, sf)).where((F.col("until") <= now_at()) & (F.unix_micros(now_at()) - F.unix_micros("until") <= 86_400_000_000))
+    age = (F.unix_micros(now_at()) - F.unix_micros("until")) / F.lit(60e6)
     rows = rows.withColumns({"position": F.when(age > 180, "unknown").when(age > 90, "stale").otherwise("estimated"), "held": F.col("repeats") >= 3, "progress": (F.col("repeats") % 10) / 10, "eta_end": F.timestamp_micros(F.unix_micros("until") + 40 * 60_000_000), "confidence": F.lit(0.8)})
-    return state.operational_state(rows, AT).select("run_id", "state", "state_confidence")
+    return state.operational_state(rows, now_at()).select("run_id", "state", "state_confidence")
 
 
 @job("f6_transitions", f"""WITH {EV}, l AS (SELECT *, lag(station) OVER w AS from_station, lag(authority) OVER w AS from_authority, row_number() OVER w AS n FROM ev WINDOW w AS (PARTITION BY train ORDER BY occurred_at, event_id))
@@ -132,10 +137,10 @@ en AS (SELECT *, CASE WHEN n > 1 THEN -sum(probability * ln(greatest(probability
   round(least(300.0, greatest(3.0, (greatest(3.0, 60 * greatest(0.05, (p90 - p10) / greatest(p50, 1.0)) * 0.5) + age * 0.35 + (1 - probability) * 35) * (1 + entropy * 0.45))), 2) AS uncertainty_km,
   round(least(1.0, fr * er * probability * exp(-age / 150)), 6) AS confidence, CASE WHEN age > 180 THEN 'unknown' WHEN age > 90 THEN 'stale' ELSE 'estimated' END AS position, best < 0.58 OR (n > 1 AND best - second < 0.18) OR entropy > 0.78 AS ambiguous FROM en""")
 def m6(spark, sf):
-    e = ev(spark, sf).where("service_date = '2024-01-15'").where(F.col("occurred_at") <= AT)
+    e = ev(spark, sf).where("service_date = '2024-01-15'").where(F.col("occurred_at") <= now_at())
     order = Window.partitionBy("run_id").orderBy("occurred_at", "event_id")
-    anchors = state.as_of(e.withColumn("previous", F.lag("station").over(order)), "run_id", AT, "occurred_at", "event_id").withColumn("fusion_reliability", F.col("reliability"))
-    return state.hypotheses(anchors, segments.segment_stats(seg(spark, sf)), AT)
+    anchors = state.as_of(e.withColumn("previous", F.lag("station").over(order)), "run_id", now_at(), "occurred_at", "event_id").withColumn("fusion_reliability", F.col("reliability"))
+    return state.hypotheses(anchors, segments.segment_stats(seg(spark, sf)), now_at())
 
 
 POST = f"""{EV}, inp AS (SELECT run_id, 100.0 + train AS route_km, (train % 60)::DOUBLE AS anchor_km, occurred_at AS anchor_at, 1.0 + train % 3 AS error_km, reliability, CASE WHEN train % 4 <> 0 THEN 80.0 + train % 20 END AS next_km, CASE WHEN train % 4 <> 0 THEN occurred_at + to_minutes(60 + train % 50) END AS next_at
@@ -152,10 +157,10 @@ qs AS (SELECT run_id, {', '.join(f"round(min(km) FILTER (upto >= {p} - 1e-12), 2
 @job("m1_position_posterior", f"""WITH {POST}, jo AS (SELECT m.run_id, age, route_km, reliability, qs.* EXCLUDE (run_id) FROM ms m LEFT JOIN qs ON m.run_id = qs.run_id), cf AS (SELECT *, least(0.96, greatest(0.05, least(1.0, reliability) * 0.48 + least(1.0, greatest(0.0, 1 - age / 180)) * 0.3 + least(1.0, greatest(0.0, 1 - (p95 - p05) / greatest(route_km, 1.0))) * 0.22)) AS c FROM jo)
 SELECT run_id, CASE WHEN age > 180 THEN 'unknown' WHEN age > 90 THEN 'stale' WHEN age <= 3 AND greatest(p50 - p05, p95 - p50) <= 5 THEN 'reported' ELSE 'estimated' END AS status, p025, p05, p10, p25, p50, p75, p90, p95, p975, round(CASE WHEN age > 180 THEN NULL WHEN age > 90 THEN least(c, 0.32) ELSE c END, 4) AS confidence FROM cf""")
 def m1(spark, sf):
-    e = state.as_of(ev(spark, sf), "run_id", AT, "occurred_at", "event_id", 4.0000001)
+    e = state.as_of(ev(spark, sf), "run_id", now_at(), "occurred_at", "event_id", 4.0000001)
     t, there = F.col("train"), F.col("train") % 4 != 0
     rows = e.select("run_id", (100.0 + t).alias("route_km"), (t % 60).cast("double").alias("anchor_km"), F.col("occurred_at").alias("anchor_at"), (1.0 + t % 3).alias("error_km"), "reliability", F.when(there, 80.0 + t % 20).alias("next_km"), F.when(there, F.timestamp_micros(F.unix_micros("occurred_at") + (60 + t % 50) * 60_000_000)).alias("next_at"))
-    return state.posterior(rows, AT)
+    return state.posterior(rows, now_at())
 
 
 LINK = f"""{SESSIONS}, runs AS (SELECT run_id, train AS number, service_date, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen, list(DISTINCT station) AS stations, arg_min(station, (occurred_at, event_id)) AS origin, arg_max(station, (occurred_at, event_id)) AS destination FROM ev GROUP BY ALL),
@@ -213,19 +218,19 @@ pub AS (SELECT corridor, "start", "end", sources, round(conf, 4) AS confidence,
 
 @job("e17_public_projection", f"{CLUSTERS} SELECT * FROM pub")
 def e17(spark, sf):
-    return publish.project(_evidence(spark, sf), AT)
+    return publish.project(_evidence(spark, sf), now_at())
 
 
 @job("e34_presentation", f"""{CLUSTERS} SELECT corridor, "start", CASE WHEN (epoch_us({TS}) - "end") / 3.6e9 <= 48 THEN 'recent' WHEN (epoch_us({TS}) - "end") / 3.6e9 <= 96 THEN 'older' ELSE 'archive' END AS freshness, round(0.82 * confidence + 0.18 * least(1.0, sources / 4.0::DOUBLE), 4) AS quality, greatest(35.0, uncertainty_km) AS error_km, NULL::DOUBLE AS position FROM pub""")
 def e34(spark, sf):
-    return publish.presentation(publish.project(_evidence(spark, sf), AT), F.unix_micros(AT))
+    return publish.presentation(publish.project(_evidence(spark, sf), now_at()), F.unix_micros(now_at()))
 
 
 @job("f12_first_anchored_clusters", f"""{CLUSTERS} SELECT corridor, cluster, count(*) AS rows FROM gr GROUP BY ALL""")
 def f12(spark, sf):
     rows = _evidence(spark, sf)
-    newest = F.unix_micros(AT) - F.unix_micros(F.greatest("occurred_at", "received_at", "updated_at"))
-    ready = rows.where((newest >= 24 * 3_600_000_000) & (F.unix_micros(AT) - F.unix_micros("occurred_at") <= 7 * 86_400_000_000))
+    newest = F.unix_micros(now_at()) - F.unix_micros(F.greatest("occurred_at", "received_at", "updated_at"))
+    ready = rows.where((newest >= 24 * 3_600_000_000) & (F.unix_micros(now_at()) - F.unix_micros("occurred_at") <= 7 * 86_400_000_000))
     once = Window.partitionBy("fingerprint").orderBy("occurred_at", "source_group")
     ready = ready.withColumn("p", F.row_number().over(once)).where("p = 1")
     return publish.first_anchored(ready, ["corridor"], "occurred_at", 6).groupBy("corridor", "cluster").agg(F.count("*").alias("rows"))
@@ -233,7 +238,7 @@ def f12(spark, sf):
 
 @job("e18_evidence_roll_up", f"""WITH {EVIDENCE}, k AS (SELECT *, (epoch_us({TS}) - epoch_us(occurred_at)) / 3.6e9 AS age FROM evi) SELECT corridor, round(1 - product(1 - least(0.95, confidence) * pow(0.5, age / 6)), 6) AS strength, count(*) AS reports, count(DISTINCT source_group) AS sources FROM k WHERE age BETWEEN 0 AND 24 GROUP BY corridor""")
 def e18(spark, sf):
-    return publish.roll_up(_evidence(spark, sf), AT)
+    return publish.roll_up(_evidence(spark, sf), now_at())
 
 
 @job("f11_thinned_snapshots", f"""WITH RECURSIVE {EV}, o AS (SELECT train, epoch_us(occurred_at) AS t, row_number() OVER (PARTITION BY train ORDER BY occurred_at) AS n FROM (SELECT DISTINCT train, occurred_at FROM ev)),
@@ -253,14 +258,14 @@ def f11_bucket(spark, sf):
 def d12(spark, sf):
     e = ev(spark, sf)
     links = e.where("event_id % 3 <> 0").select("event_id", F.col("occurred_at").alias("linked_at"), (F.col("event_id") % 3 == 1).alias("pending"))
-    stale = (F.unix_micros(AT) - F.unix_micros("linked_at")) / F.lit(60e6) > 60
+    stale = (F.unix_micros(now_at()) - F.unix_micros("linked_at")) / F.lit(60e6) > 60
     return e.where("service_date = '2024-01-15'").join(links, "event_id", "left").where(F.col("linked_at").isNull() | stale & F.col("pending")).select("event_id")
 
 
 @job("d13_current_against_baseline", f"""WITH {EV}, c AS (SELECT station, authority, count(*) AS n FROM ev WHERE {AGE} BETWEEN 0 AND 120 GROUP BY ALL), b AS (SELECT station, authority, count(*) AS n FROM ev WHERE {AGE} > 120 AND {AGE} <= 1440 GROUP BY ALL)
 SELECT station, authority, coalesce(c.n, 0) AS current, coalesce(b.n, 0) AS baseline FROM c FULL OUTER JOIN b USING (station, authority)""")
 def d13(spark, sf):
-    age = (F.unix_micros(AT) - F.unix_micros("occurred_at")) / F.lit(60e6)
+    age = (F.unix_micros(now_at()) - F.unix_micros("occurred_at")) / F.lit(60e6)
     e = ev(spark, sf).withColumn("age", age)
     count = lambda rows, name: rows.groupBy("station", "authority").agg(F.count("*").alias(name))
     return count(e.where("age BETWEEN 0 AND 120"), "current").join(count(e.where("age > 120 AND age <= 1440"), "baseline"), ["station", "authority"], "full_outer").select("station", "authority", F.coalesce("current", F.lit(0)).alias("current"), F.coalesce("baseline", F.lit(0)).alias("baseline"))
