@@ -47,7 +47,7 @@ def project(evidence: DataFrame, now: Column, delay_hours: int = LEAST_DELAY_HOU
     width = ROUND_MINUTES * 60_000_000
     rounded = {c: F.expr(f"(unix_micros({c}) div {width}) * {width}") for c in ("start", "end")}
     uncertainty = F.greatest(F.lit(LEAST_UNCERTAINTY_KM), F.round(LEAST_UNCERTAINTY_KM + (1 - F.col("confidence")) * 60, 1))
-    return out.withColumns(rounded).select("corridor", "start", "end", "sources", F.round("confidence", 4).alias("confidence"), uncertainty.alias("uncertainty_km"))
+    return out.withColumns(rounded).select("corridor", "start", "end", "sources", F.round("confidence", 6).alias("confidence"), uncertainty.alias("uncertainty_km"))
 
 
 def presentation(projected: DataFrame, now_us: Column) -> DataFrame:

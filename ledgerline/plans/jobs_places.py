@@ -72,8 +72,8 @@ def g3(spark, sf):
     return geo.measure(_lines(spark, sf)).select("route_id", "seq", F.round("km_at", 3).alias("km_at"))
 
 
-@job("g4_interpolate", f"""WITH {LINES}, leg AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(km_at) OVER w AS km2 FROM mea WINDOW w AS (PARTITION BY route_id ORDER BY seq)), want AS (SELECT DISTINCT route_id, 777.0::DOUBLE + route_id AS km FROM mea),
-h AS (SELECT w.route_id, w.km, arg_min({{'lat': lat + (lat2 - lat) * (w.km - km_at) / (km2 - km_at), 'lon': lon + (lon2 - lon) * (w.km - km_at) / (km2 - km_at)}}, seq) AS p FROM want w JOIN leg l ON l.route_id = w.route_id AND w.km >= km_at AND w.km <= km2 GROUP BY ALL)
+@job("g4_interpolate", f"""WITH {LINES}, leg AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(km_at) OVER w AS km2 FROM mea WINDOW w AS (PARTITION BY route_id ORDER BY seq)), want AS (SELECT route_id, 777.0::DOUBLE + route_id AS km, least(777.0::DOUBLE + route_id, max(km_at)) AS w_at FROM mea GROUP BY route_id),
+h AS (SELECT w.route_id, w.km, arg_min({{'lat': lat + (lat2 - lat) * (w_at - km_at) / (km2 - km_at), 'lon': lon + (lon2 - lon) * (w_at - km_at) / (km2 - km_at)}}, seq) AS p FROM want w JOIN leg l ON l.route_id = w.route_id AND w_at >= km_at AND w_at <= km2 GROUP BY ALL)
 SELECT route_id, km, round(p.lat, 5) AS lat, round(p.lon, 5) AS lon FROM h""")
 def g4(spark, sf):
     m = geo.measure(_lines(spark, sf))

@@ -213,7 +213,7 @@ cl AS (SELECT corridor, t, n, t AS first, 1 AS cluster FROM ord WHERE n = 1 UNIO
 gr AS (SELECT r.*, cluster FROM rdy r JOIN cl ON cl.corridor = r.corridor AND cl.t = epoch_us(r.occurred_at)),
 bs AS (SELECT corridor, cluster, source_group, max(confidence) AS best, min(occurred_at) AS a, max(occurred_at) AS b, max(reviewed::INTEGER) AS reviewed FROM gr GROUP BY ALL),
 pj AS (SELECT corridor, (epoch_us(min(a)) // 900000000) * 900000000 AS "start", (epoch_us(max(b)) // 900000000) * 900000000 AS "end", count(*) AS sources, 1 - product(1 - least(0.95, best)) AS conf FROM bs GROUP BY corridor, cluster HAVING count(*) >= 2 OR max(reviewed) = 1),
-pub AS (SELECT corridor, "start", "end", sources, round(conf, 4) AS confidence, greatest(35.0, round(35.0 + (1 - conf) * 60, 1)) AS uncertainty_km FROM pj)"""
+pub AS (SELECT corridor, "start", "end", sources, round(conf, 6) AS confidence, greatest(35.0, round(35.0 + (1 - conf) * 60, 1)) AS uncertainty_km FROM pj)"""
 
 
 @job("e17_public_projection", f"{CLUSTERS} SELECT * FROM pub")
