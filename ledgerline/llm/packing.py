@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.tokens import encoder, vocabulary
-from ledgerline.llm.words import texts
+from ledgerline.llm.words import slices, texts
 from ledgerline.plans.scratch import materialize
 
 WINDOW = 2048
@@ -130,7 +130,7 @@ def _cut(path: str, blanks: bool, end: int, window: int):
         ranks = np.zeros(window + 1, np.int64)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
         names = ["doc_id", "doc_tokens", "start", "length", "rank", "part", "ids"]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 ids = np.append(encode(text), np.uint32(end)).astype("<u2")
@@ -155,7 +155,7 @@ def _placed(plan: Plan | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        for batch in batches:
+        for batch in slices(batches, 1024):
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "rank", "ids")]
             rows = []
             for doc_id, start, length, doc_tokens, rank, ids in zip(*columns, strict=True):

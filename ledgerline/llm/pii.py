@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.words import slices
 from ledgerline.plans.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone", "found")
@@ -140,7 +141,7 @@ SPANS_TYPE = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         spans, seen = [], []
         for text in batch.column("text").to_pylist():
             found = exact_spans(text or "")
@@ -193,7 +194,7 @@ def _placed(span: Column) -> Column:
 
 
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text, spans in zip(batch.column("kept_text").to_pylist(), batch.column("all_spans").to_pylist(), strict=True):
             if not spans:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.words import slices
 from ledgerline.plans.scratch import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -68,7 +69,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [measure(t or "") for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows, strict=True)) or [[]] * len(MEASURES)
         rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.words import raw
+from ledgerline.llm.words import raw, slices
 from ledgerline.plans.components import connected_components
 from ledgerline.plans.scratch import materialize
 
@@ -50,7 +50,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = np.array([fingerprint(t) for t in raw(batch)], np.uint64).view(np.int64)
         rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [pa.array(found)], names=[batch.schema.names[i] for i in rest] + ["fp"])

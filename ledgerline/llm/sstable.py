@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.tokens import encoder, vocabulary
-from ledgerline.llm.words import texts
+from ledgerline.llm.words import slices, texts
 from ledgerline.plans.scratch import materialize, scratch_root
 
 BLOCK = 1 << 16
@@ -137,7 +137,7 @@ class Shard:
 def _records(path: str, end: int, width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = encoder(path, True).encode, ShardWriter(width)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 out.append(shard.add(key_of(doc_id), np.append(encode(text), np.uint32(end))))
