@@ -140,3 +140,31 @@ def status_of(text: Column | str, rules: list[tuple[str, str]], other: str) -> C
         hit = F.lower(col(text)).rlike(pattern)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(other)
+
+
+def registry_state(operational: Column | str, evidence: Column | str, departing: Column) -> Column:
+    """What a registry shows for an update."""
+    o, e = col(operational), col(evidence)
+    return (
+        F.when(o == "depot", "depot").when(e == "station-board-window", F.when(departing, "expected_at_station").otherwise("at_station")).when(e == "reported-station-passage", F.when(o == "moving", "moving").otherwise("at_station"))
+        .when(o == "moving", "moving").when((e == "schedule-only") | (o == "planned"), "planned").otherwise("unobserved")
+    )
+
+
+def quality_score(age_minutes: Column | str, has_route: Column, has_forecast: Column, reliability: Column, anchor_error_km: Column) -> Column:
+    """0.3 source age, 0.28 route, 0.24 forecast, 0.18 reliability."""
+    age = col(age_minutes)
+    source = F.when(age <= 20, 1.0).when(age <= 45, 0.72).when(age <= 120, 0.42).otherwise(0.18)
+    route = F.when(has_route, F.greatest(F.lit(0.48), 1 - F.least(anchor_error_km, F.lit(140)) / 210)).otherwise(0.0)
+    return clamp(source * 0.3 + route * 0.28 + has_forecast.cast("double") * 0.24 + reliability * 0.18)
+
+
+#: Minutes a depot, a destination and a stop are held.
+DWELL = {"depot": 720, "destination": 180, "stop": 60}
+
+
+def lifecycle_phase(operational: Column | str, at_destination: Column, stopped: Column, age_minutes: Column | str) -> Column:
+    """Phase of a run that named a station."""
+    age = col(age_minutes)
+    held = lambda name, limit: F.when(age <= limit, name).otherwise("last-seen")
+    return F.when(col(operational) == "depot", held("depot", DWELL["depot"])).when(at_destination, held("completed", DWELL["destination"])).when(stopped, held("dwelling", DWELL["stop"])).otherwise("passed")

@@ -169,3 +169,23 @@ def geohash(lat: Column, lon: Column, length: int) -> Column:
 def grid_clusters(points: DataFrame, cell: float) -> DataFrame:
     """Counts and mean places per map cell; cells are cut towards zero."""
     return points.groupBy((F.col("lat") / cell).cast("int").alias("cy"), (F.col("lon") / cell).cast("int").alias("cx")).agg(F.count("*").alias("places"), F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lon"), 5).alias("lon"))
+
+
+def slice_routes(measured: DataFrame, low: Column, high: Column) -> DataFrame:
+    """The points of each route between two distances, with both cut ends."""
+    ends = measured.select("route_id").distinct()
+    cuts = interpolate(measured, ends.select("route_id", low.cast("double").alias("km")).unionByName(ends.select("route_id", high.cast("double").alias("km"))))
+    inner = measured.where((F.col("km_at") > low) & (F.col("km_at") < high)).select("route_id", F.col("km_at").alias("km"), "lat", "lon")
+    return cuts.unionByName(inner)
+
+
+def station_plan(waypoints: DataFrame, end_at: Column, speed_kph: float, current_km: Column) -> DataFrame:
+    """Planned time and state of each waypoint of a route driven at an even pace; reads ``route_id, seq, km_at``."""
+    route = Window.partitionBy("route_id")
+    total = F.greatest(F.lit(1.0), F.max("km_at").over(route))
+    took = total / speed_kph * 3_600_000_000
+    planned = F.unix_micros(end_at) - took + F.col("km_at") / total * took
+    rows = waypoints.withColumn("planned_us", F.round(planned).cast("long")).withColumn("_ahead", F.col("km_at") >= current_km)
+    first = F.min(F.when(F.col("_ahead"), F.struct("km_at", "seq"))).over(route)
+    status = F.when(~F.col("_ahead"), "model-passed").when(F.col("seq") == first["seq"], "model-next").otherwise("planned")
+    return rows.withColumn("status", status).drop("_ahead")

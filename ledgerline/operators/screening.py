@@ -95,14 +95,20 @@ def text_gate(posts: DataFrame, sensitive: str, topic: str, excluded: str) -> Da
     return posts.withColumn("verdict", verdict).withColumn("excerpt", excerpt)
 
 
-def admission(rows: DataFrame, now: Column) -> DataFrame:
-    """Whether a position may be shown, and why not; reads ``occurred_at, lat, lon, reliability, route_km``."""
-    age = (F.unix_micros(now) - F.unix_micros("occurred_at")) / F.lit(60e6)
-    why = (
-        F.when(F.col("occurred_at").isNull(), "no-time").when(age < -MAX_FUTURE, "from-the-future").when(age > 180, "expired").when(F.col("lat").isNull() | F.col("lon").isNull(), "no-coordinates")
-        .when(F.col("route_km").isNull(), "no-route").when(F.col("reliability") < 0.25, "unreliable").when(age > 90, "frozen").when(age > 60, "aging").otherwise("ok")
+def admission(rows: DataFrame) -> DataFrame:
+    """Which position claims a row supports, and why; reads ``age_minutes, operational, evidence, station, has_route, forecast``.
+
+    ``allowed`` is any claim, ``reported`` one at the named station, ``calculated`` one along the route.
+    """
+    moving, named, route = F.col("operational") == "moving", F.coalesce(F.col("station"), F.lit("")) != "", F.col("has_route")
+    reason = (
+        F.when(~F.coalesce(F.col("age_minutes") <= 180, F.lit(False)), "source_expired").when((F.col("operational") == "depot") & named, "confirmed_depot").when((F.col("evidence") == "reported-station-passage") & named, "station_fact")
+        .when((F.col("evidence") == "station-board-window") & named, "station_window").when((F.col("evidence") == "schedule-only") | (F.col("operational") == "planned"), "planned_only").when(moving & ~route, "route_unavailable")
+        .when(moving & F.col("forecast").isNull() & ~named, "forecast_unavailable").when(moving & route, "calculated_corridor").otherwise("insufficient_evidence")
     )
-    return rows.withColumn("reason", why).withColumns({"shown": why.isin("ok", "aging", "frozen"), "moving": why.isin("ok", "aging"), "exact": why == "ok"})
+    reported = reason.isin("confirmed_depot", "station_fact", "station_window")
+    calculated = (reason == "calculated_corridor") | ((reason == "station_fact") & route & moving)
+    return rows.withColumns({"reason": reason, "reported": reported, "calculated": calculated, "allowed": reported | calculated})
 
 
 def board_phase(minutes: Column) -> Column:

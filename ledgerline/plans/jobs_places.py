@@ -101,6 +101,21 @@ def g7(spark, sf):
     return geo.corridor_side(geo.measure(_lines(spark, sf)), F.lit(500.0), F.lit(900.0)).select("route_id", "seq", "side")
 
 
+@job("g6_route_slice", f"""WITH {LINES}, leg AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(km_at) OVER w AS km2 FROM mea WINDOW w AS (PARTITION BY route_id ORDER BY seq)), rt AS (SELECT route_id, max(km_at) AS len FROM mea GROUP BY route_id), want AS (SELECT route_id, k AS km, least(k, len) AS w_at FROM rt, (VALUES (300.0::DOUBLE), (700.0::DOUBLE)) t(k)),
+cut AS (SELECT w.route_id, w.km, arg_min({{'lat': lat + (lat2 - lat) * (w_at - km_at) / (km2 - km_at), 'lon': lon + (lon2 - lon) * (w_at - km_at) / (km2 - km_at)}}, seq) AS p FROM want w JOIN leg l ON l.route_id = w.route_id AND w_at >= km_at AND w_at <= km2 GROUP BY ALL)
+SELECT route_id, round(km, 3) AS km, round(p.lat, 5) AS lat, round(p.lon, 5) AS lon FROM cut UNION ALL SELECT route_id, round(km_at, 3), round(lat, 5), round(lon, 5) FROM mea WHERE km_at > 300 AND km_at < 700""")
+def g6(spark, sf):
+    out = geo.slice_routes(geo.measure(_lines(spark, sf)), F.lit(300.0), F.lit(700.0))
+    return out.select("route_id", F.round("km", 3).alias("km"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
+
+
+@job("m21_station_plan", f"""WITH {LINES}, t AS (SELECT *, greatest(1.0, max(km_at) OVER (PARTITION BY route_id)) AS total FROM mea), f AS (SELECT route_id, arg_min(seq, (km_at, seq)) AS nx FROM mea WHERE km_at >= 600 GROUP BY route_id)
+SELECT t.route_id, seq, round((epoch_us(TIMESTAMP '{NOON}') - total / 60 * 3600000000 + km_at / total * (total / 60 * 3600000000)) / 60e6, 2) AS planned_minute, CASE WHEN km_at < 600 THEN 'model-passed' WHEN seq = nx THEN 'model-next' ELSE 'planned' END AS status FROM t LEFT JOIN f ON f.route_id = t.route_id""")
+def m21(spark, sf):
+    out = geo.station_plan(geo.measure(_lines(spark, sf)), F.lit(NOON).cast("timestamp"), 60.0, F.lit(600.0))
+    return out.select("route_id", "seq", F.round(F.col("planned_us") / F.lit(60e6), 2).alias("planned_minute"), "status")
+
+
 @job("f10_spacing", f"WITH {LINES} SELECT route_id, seq FROM (SELECT *, km_at - lag(km_at) OVER (PARTITION BY route_id ORDER BY km_at) AS gap FROM mea) WHERE gap IS NULL OR gap >= 400")
 def f10(spark, sf):
     return geo.spaced(geo.measure(_lines(spark, sf)), "route_id", "km_at", 400).select("route_id", "seq")

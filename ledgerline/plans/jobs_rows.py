@@ -123,12 +123,40 @@ def b18(spark, sf):
     return o.where(number.rlike(r"^\d{1,4}$") & (F.col("o_orderkey") % 1000 > 0)).select(number.alias("number"), F.concat(F.lit("exp:"), F.col("o_orderkey").cast("string")).alias("expected_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("service_date"), F.substring("o_orderpriority", 1, 8).alias("kind"))
 
 
-@job("b10_position_admission", f"""WITH {EV}, p AS (SELECT event_id, occurred_at, reliability, CASE WHEN event_id % 7 <> 0 THEN 1.0 END AS lat, CASE WHEN event_id % 11 <> 0 THEN 9.0 END AS route_km, {AGE.replace(NOW, '2024-01-15 12:00:00')} AS age FROM ev),
-r AS (SELECT event_id, CASE WHEN age < -20 THEN 'from-the-future' WHEN age > 180 THEN 'expired' WHEN lat IS NULL THEN 'no-coordinates' WHEN route_km IS NULL THEN 'no-route' WHEN reliability < 0.25 THEN 'unreliable' WHEN age > 90 THEN 'frozen' WHEN age > 60 THEN 'aging' ELSE 'ok' END AS reason FROM p)
-SELECT event_id, reason, reason IN ('ok', 'aging', 'frozen') AS shown, reason IN ('ok', 'aging') AS moving, reason = 'ok' AS exact FROM r""")
+CLAIMS = f"""{EV}, clm AS (SELECT event_id, occurred_at, delay_min, CASE WHEN event_id % 6 <> 0 THEN station END AS station, ['moving', 'depot', 'planned', 'station'][(event_id % 4 + 1)::INTEGER] AS operational,
+  ['reported-station-passage', 'station-board-window', 'schedule-only', 'none', 'none'][(event_id % 5 + 1)::INTEGER] AS evidence, event_id % 3 <> 0 AS has_route, CASE WHEN event_id % 7 <> 0 THEN 1 END AS forecast, (event_id * 13 % 240)::DOUBLE AS age_minutes FROM ev)"""
+
+
+def _claims(spark, sf):
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    return ev(spark, sf).select("event_id", "occurred_at", "delay_min", F.when(F.col("event_id") % 6 != 0, F.col("station")).alias("station"), pick(("moving", "depot", "planned", "station")).alias("operational"), pick(("reported-station-passage", "station-board-window", "schedule-only", "none", "none")).alias("evidence"),
+                                (F.col("event_id") % 3 != 0).alias("has_route"), F.when(F.col("event_id") % 7 != 0, 1).alias("forecast"), (F.col("event_id") * 13 % 240).cast("double").alias("age_minutes"))
+
+
+@job("b10_position_admission", f"""WITH {CLAIMS}, r AS (SELECT *, CASE WHEN age_minutes > 180 THEN 'source_expired' WHEN operational = 'depot' AND station IS NOT NULL THEN 'confirmed_depot' WHEN evidence = 'reported-station-passage' AND station IS NOT NULL THEN 'station_fact' WHEN evidence = 'station-board-window' AND station IS NOT NULL THEN 'station_window'
+  WHEN evidence = 'schedule-only' OR operational = 'planned' THEN 'planned_only' WHEN operational = 'moving' AND NOT has_route THEN 'route_unavailable' WHEN operational = 'moving' AND forecast IS NULL AND station IS NULL THEN 'forecast_unavailable' WHEN operational = 'moving' THEN 'calculated_corridor' ELSE 'insufficient_evidence' END AS reason FROM clm),
+f AS (SELECT *, reason IN ('confirmed_depot', 'station_fact', 'station_window') AS reported, reason = 'calculated_corridor' OR (reason = 'station_fact' AND has_route AND operational = 'moving') AS calculated FROM r)
+SELECT event_id, reason, reported, calculated, reported OR calculated AS allowed FROM f""")
 def b10(spark, sf):
-    rows = ev(spark, sf).withColumns({"lat": F.when(F.col("event_id") % 7 != 0, 1.0), "lon": F.lit(1.0), "route_km": F.when(F.col("event_id") % 11 != 0, 9.0)})
-    return screening.admission(rows, F.lit("2024-01-15 12:00:00").cast("timestamp")).select("event_id", "reason", "shown", "moving", "exact")
+    return screening.admission(_claims(spark, sf)).select("event_id", "reason", "reported", "calculated", "allowed")
+
+
+@job("c25_registry_state", f"""WITH {CLAIMS} SELECT event_id, CASE WHEN operational = 'depot' THEN 'depot' WHEN evidence = 'station-board-window' THEN CASE WHEN has_route THEN 'expected_at_station' ELSE 'at_station' END WHEN evidence = 'reported-station-passage' THEN CASE WHEN operational = 'moving' THEN 'moving' ELSE 'at_station' END
+  WHEN operational = 'moving' THEN 'moving' WHEN evidence = 'schedule-only' OR operational = 'planned' THEN 'planned' ELSE 'unobserved' END AS state FROM clm""")
+def c25(spark, sf):
+    return _claims(spark, sf).select("event_id", scalars.registry_state("operational", "evidence", F.col("has_route")).alias("state"))
+
+
+@job("c20_weighted_quality", f"""WITH {CLAIMS} SELECT event_id, round(least(1.0, greatest(0.0, CASE WHEN age_minutes <= 20 THEN 1 WHEN age_minutes <= 45 THEN 0.72 WHEN age_minutes <= 120 THEN 0.42 ELSE 0.18 END * 0.3 + CASE WHEN has_route THEN greatest(0.48, 1 - least(delay_min, 140) / 210.0::DOUBLE) ELSE 0 END * 0.28 + CASE WHEN forecast IS NOT NULL THEN 1 ELSE 0 END * 0.24 + 0.7 * 0.18)), 6) AS quality FROM clm""")
+def c20(spark, sf):
+    return _claims(spark, sf).select("event_id", F.round(scalars.quality_score("age_minutes", F.col("has_route"), F.col("forecast").isNotNull(), F.lit(0.7), F.col("delay_min")), 6).alias("quality"))
+
+
+@job("c24_station_lifecycle", f"""WITH {CLAIMS}, p AS (SELECT *, CASE WHEN operational = 'depot' THEN 'depot' WHEN event_id % 8 = 3 THEN 'destination-arrival' WHEN operational = 'station' THEN 'station-stop' ELSE 'passage' END AS kind FROM clm WHERE station IS NOT NULL)
+SELECT event_id, CASE WHEN kind = 'depot' THEN CASE WHEN age_minutes <= 720 THEN 'depot' ELSE 'last-seen' END WHEN kind = 'destination-arrival' THEN CASE WHEN age_minutes <= 180 THEN 'completed' ELSE 'last-seen' END WHEN kind = 'station-stop' THEN CASE WHEN age_minutes <= 60 THEN 'dwelling' ELSE 'last-seen' END ELSE 'passed' END AS phase FROM p""")
+def c24(spark, sf):
+    rows = _claims(spark, sf).where("station IS NOT NULL").withColumns({"arrived": F.col("event_id") % 8 == 3, "stopped": F.col("operational") == "station"})
+    return rows.select("event_id", scalars.lifecycle_phase("operational", F.col("arrived"), F.col("stopped"), "age_minutes").alias("phase"))
 
 
 @job("b5_text_gate", """WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), v AS (SELECT *, CASE WHEN regexp_matches(t, 'token|@') THEN 'quarantined' WHEN NOT regexp_matches(t, 'the|que|der') THEN 'off-topic' WHEN regexp_matches(t, 'idiot') THEN 'excluded' ELSE 'accepted' END AS verdict FROM t)
