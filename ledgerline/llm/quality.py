@@ -12,6 +12,7 @@ are judged alike; an empty table gives an empty result; other columns are carrie
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from ledgerline.plans.scratch import materialize
 SYMBOLS = "#*$%&|<>"
 RUN = 8
 #: Ratios in thousandths with the least spread that counts: symbols and capitals to characters of words, repeated
-#: lines to lines, words in repeated windows to words.
-METRICS = {"symbol_ratio": 10, "capital_ratio": 100, "line_ratio": 200, "repeat_ratio": 60}
+#: lines to lines, words equal to the word before to words.
+METRICS = {"symbol_ratio": 10, "capital_ratio": 100, "line_ratio": 200, "stutter_ratio": 50}
 SPREAD = 3
 MIN_DOCS = 50
 MIN_WORDS = 20
@@ -56,16 +57,16 @@ def repeated_words(words: list[bytes], run: int = RUN) -> int:
     return int((np.cumsum(marks) > 0).sum())
 
 
-def measure(text: str) -> tuple[int, int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines with a word, capitals of one whole text."""
+def measure(text: str) -> tuple[int, ...]:
+    """The ``MEASURES`` of one whole text."""
     words = text.encode("utf-8", "surrogatepass").split()
     blanks = sum(map(text.count, " \t\n\v\f\r"))
     lines = [line for line in text.split("\n") if line.strip(" \t\v\f\r")]
     capitals = sum(map(str.isupper, text)) if text.lower() != text else 0
-    return len(words), len(text) - blanks, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), capitals
+    return len(words), len(text) - blanks, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), capitals, sum(map(eq, words, words[1:]))
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stutters")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,7 @@ def ratios(df: DataFrame) -> DataFrame:
     def mille(part: str, whole: str) -> Column:
         return F.expr(f"(1000 * {part}) div greatest(1, {whole})")
 
-    return df.withColumns({"symbol_ratio": mille("n_symbols", "word_chars"), "capital_ratio": mille("n_capitals", "word_chars"), "line_ratio": mille("n_dup_lines", "n_lines"), "repeat_ratio": mille("n_repeat_words", "n_words")})
+    return df.withColumns({"symbol_ratio": mille("n_symbols", "word_chars"), "capital_ratio": mille("n_capitals", "word_chars"), "line_ratio": mille("n_dup_lines", "n_lines"), "stutter_ratio": mille("n_stutters", "n_words")})
 
 
 def bucket_floor(value: Column) -> Column:
