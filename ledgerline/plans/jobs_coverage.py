@@ -257,7 +257,7 @@ def c16(spark, sf):
     return ev(spark, sf).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("other"))
 
 
-@job("c19_reliability_map", f"WITH {EV} SELECT event_id, CASE authority WHEN 'official' THEN 1.0 WHEN 'operator' THEN 0.97 WHEN 'reference' THEN 0.72 ELSE 0.62 END AS weight FROM ev")
+@job("c19_reliability_map", f"WITH {EV} SELECT event_id, (CASE authority WHEN 'official' THEN 1.0 WHEN 'operator' THEN 0.97 WHEN 'reference' THEN 0.72 ELSE 0.62 END)::DOUBLE AS weight FROM ev")
 def c19(spark, sf):
     return ev(spark, sf).select("event_id", scalars.authority_weight("authority").alias("weight"))
 

@@ -81,7 +81,7 @@ sta AS (SELECT *, greatest(0.0, (epoch_us({TS}) - epoch_us(until)) / 60e6) AS ag
 lab AS (SELECT run_id, CASE WHEN held AND position <> 'unknown' THEN 'held' WHEN position = 'unknown' THEN 'unknown' WHEN position = 'stale' THEN 'stale' WHEN repeats >= 2 AND dwell_minutes >= 2 AND age <= 20 THEN 'dwelling' WHEN age <= 5 THEN 'at_station' WHEN overdue > 0 THEN 'overdue' WHEN progress < 0.18 THEN 'departing' WHEN progress >= 0.78 THEN 'approaching' ELSE 'in_transit' END AS state FROM sta)"""
 
 
-@job("m7_operational_state", f"WITH {STATE} SELECT run_id, state, round(0.8 * CASE WHEN state IN ('at_station', 'dwelling', 'held') THEN 1.0 WHEN state = 'stale' THEN 0.55 WHEN state = 'unknown' THEN 0.0 ELSE 0.85 END, 4) AS state_confidence FROM lab")
+@job("m7_operational_state", f"WITH {STATE} SELECT run_id, state, round(0.8::DOUBLE * CASE WHEN state IN ('at_station', 'dwelling', 'held') THEN 1.0 WHEN state = 'stale' THEN 0.55 WHEN state = 'unknown' THEN 0.0 ELSE 0.85 END, 4) AS state_confidence FROM lab")
 def m7(spark, sf):
     rows = state.tail_islands(ev(spark, sf)).where((F.col("until") <= now_at()) & (F.unix_micros(now_at()) - F.unix_micros("until") <= 86_400_000_000))
     age = (F.unix_micros(now_at()) - F.unix_micros("until")) / F.lit(60e6)
