@@ -18,7 +18,7 @@ from ledgerline.llm.words import spread
 
 #: Words kept per worker.  A full table stays as it is while it serves; after as many further words as it holds
 #: times four it is emptied, so that it follows a change of language.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 450_000
 #: All white space of Unicode but blank and line end, with the four separators that Python also counts.
 _ODD = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
 _WITH_BLANKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
