@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.words import raw, slices
@@ -170,21 +170,52 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS, tile: int = TILE)
     return small.unionByName(pairs).mapInArrow(_linked(radius), "src long, dst long")
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest doc_id reachable through links of at most ``radius`` bits."""
-    prints = materialize(fingerprints(documents), "simhash-prints")
+def _rooted(prints: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``fp, least_id, root`` for each fingerprint: the root is the smallest fingerprint of its component."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
     edges = links(nodes, nodes.count(), radius, tile)
     parts = connected_components(edges, name="simhash-parts")
     named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
-    named = materialize(named, "simhash-named")
+    return materialize(named, "simhash-named")
+
+
+def near_duplicates(documents: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``doc_id, fp, component_id``: the smallest doc_id reachable through links of at most ``radius`` bits."""
+    prints = materialize(fingerprints(documents), "simhash-prints")
+    named = _rooted(prints, radius, tile)
     roots = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialize(named.join(roots, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_key(documents: DataFrame) -> Column:
+    """A 64-bit hash of all columns, nulls told apart: only equal rows share it."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
+def one_a_root(documents: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The row of least ``first`` of each ``root``; ``first`` is a struct whose last field, ``tie``, is the row's key."""
+    ties = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.tie").alias("tie"))
+    rows = documents.select(F.struct("*").alias("row"), row_key(documents).alias("tie"))
+    return rows.join(ties, "tie", "left_semi").dropDuplicates(["tie"]).select("row.*")
+
+
+def keep_one(documents: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each component of linked fingerprints stays: that of the smallest doc_id, nulls last.
+
+    Rows are told apart by all their columns, so null and repeated doc_ids join nothing that is not linked.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", "text", row_key(documents).alias("tie"))
+    prints = materialize(rows.mapInArrow(_fingerprints, f"doc_id {kind}, tie long, fp long"), "simhash-prints")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie")
+    firsts = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    return one_a_root(documents, firsts.join(_rooted(prints, radius, tile), "fp").select("root", "first"))
+
+
 def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id, and of its repeated rows one."""
+    """One row of each doc_id that names a component; ``keep_one`` is for tables with null or repeated doc_ids."""
     keep = near_duplicates(documents, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
     kinds = {c: "max" for c in documents.columns if c != "doc_id"}
     rows = documents.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")

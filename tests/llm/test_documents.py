@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -97,6 +98,22 @@ def test_simhash_keep_first(docs, rows, clashing):
     assert simhash.keep_first(clashing).columns == clashing.columns
 
 
+def test_simhash_keep_one(spark, docs, rows, clashing):
+    prints = [fingerprint(r[1]) for r in rows]
+    part = components(prints, 4)
+    least = {p: min((sid(r[0]) for r, q in zip(rows, part, strict=True) if q == p)) for p in part}
+    kept = simhash.keep_one(docs).collect()
+    assert ordered((r[0],) for r in kept) == ordered((None if d == LAST else d,) for d in least.values())
+    by_text = {(r[0], r[1]): p for r, p in zip(rows, part, strict=True)}
+    assert {by_text[r[0], r[1]] for r in kept} == set(part)
+    assert simhash.keep_one(clashing).columns == clashing.columns
+    # null and repeated doc_ids of unlike texts all stay, equal rows once
+    rng = random.Random(1)
+    texts = [" ".join(f"u{rng.random()}" for _ in range(40)) for _ in range(6)]
+    unlike = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (8, texts[4]), (9, texts[5])], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_one(unlike).collect()) == sorted(texts)
+
+
 def measures(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
