@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerline.llm import ctw, mixing, packing, pii, quality, simhash, sstable, substring, tokens
+import corpus_pipeline
+from ledgerline.llm import ctw, mixing, packing, pii, quality, resemblance, simhash, sstable, substring, tokens
 
 LAST = 1 << 62
 
@@ -114,6 +115,57 @@ def test_simhash_keep_one(spark, docs, rows, clashing):
     assert sorted(r.text for r in simhash.keep_one(unlike).collect()) == sorted(texts)
 
 
+def alike_components(rows):
+    sets = []
+    for r in rows:
+        w = (r[1] or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {"no words"})
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(rows))]
+
+
+def one_of_each(kept, rows, part):
+    least = {p: min(sid(r[0]) for r, q in zip(rows, part, strict=True) if q == p) for p in part}
+    assert ordered((r[0],) for r in kept) == ordered((None if d == LAST else d,) for d in least.values())
+    by_text = {(r[0], r[1]): p for r, p in zip(rows, part, strict=True)}
+    assert {by_text[r[0], r[1]] for r in kept} == set(part)
+
+
+@pytest.mark.parametrize("tile", [2048, 2])
+def test_near_dedup_against_brute_force(spark, rows, tile):
+    """Chains of texts a few words apart: most links of 0.8 are far beyond four bits of a fingerprint."""
+    rng = random.Random(5)
+    more = []
+    for g in range(40):
+        w = [f"t{rng.randrange(500)}" for _ in range(rng.randint(40, 200))]
+        for k in range(5):
+            more.append((1000 + 10 * g + k, " ".join(w), "en", "a", 0))
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(9999)}"
+    both = rows + more
+    part = alike_components(both)
+    assert 10 < len(more) - len(set(part[len(rows) :])) < 150
+    found = spark.createDataFrame(both, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = resemblance.keep_one(found, tile=tile).collect()
+    one_of_each(kept, both, part)
+    assert len(corpus_pipeline.near_dedup(spark, found, "").collect()) == len(kept)
+
+
+def test_near_dedup_columns(clashing, no_docs):
+    assert resemblance.keep_one(clashing).columns == clashing.columns
+    assert resemblance.keep_one(no_docs).collect() == []
+
+
 def measures(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
