@@ -6,26 +6,80 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Folders written by this process and not yet released, oldest first.
+_WRITTEN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one is set only where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of this session.
+
+    Executors of a cluster do not share local disks, so a local folder is made only for a ``local`` master (tests).
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and return the table read back.
 
     Unlike ``localCheckpoint`` the rows survive any executor, and a reader knows the size on disk, so Spark
-    broadcasts the table only when it is below the session's threshold.  The folder goes when the JVM ends.
+    broadcasts the table only when it is below the session's threshold.  The folder goes when it is released or when
+    the JVM ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """As ``materialize``, in buckets of ``keys``: joins and groupings on these keys do not shuffle the table again."""
+    spark = df.sparkSession
+    path, table = _new_path(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(buckets, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that nothing will read any more."""
+    for table in tables:
+        _delete(table.sparkSession, getattr(table, "_scratch_path", None))
+
+
+def written() -> int:
+    """A mark for ``release_since``."""
+    return len(_WRITTEN)
+
+
+def release_since(spark: SparkSession, begin: int, end: int | None = None) -> None:
+    """Delete what was written between two marks; its results must have been written elsewhere."""
+    for path in _WRITTEN[begin:end]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str | None) -> None:
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def table_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of a text column."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
