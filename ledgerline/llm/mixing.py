@@ -1,14 +1,18 @@
 """Mix sources to target weights by Sainte-Laguë apportionment of equal-token blocks.  DataFrame functions only.
 
-Sizes are words.  Each source is cut into shards by a seeded hash of ``doc_id``; inside a shard the documents stand in
-seeded order and their words form one stream of blocks of ``block_words``.  The highest quotients
-``share / (k - 1/2)`` down to one block win: that is the Sainte-Laguë apportionment whose divisor is the block, and it
-gives each shard ``floor(share / block + 1/2)`` blocks with no ranking across shards.  Each whole round over the
+Sizes are words.  Each source is cut into shards by a seeded hash of ``doc_id``; a shard's votes are its part of the
+source's target.  All sources and shards compete for one fixed number of blocks of ``block_words``: the highest quotients
+``votes / (2 k + 1)`` win, and no shard wins more blocks than ``cap`` times those it has.  The winners are found by the
+divisor at which the rounded votes use up all blocks: each round of the search is one aggregation that counts the blocks
+at many divisors at once, so nothing is ranked in one task; only exact ties at the last quotient are, by source and shard.
+
+Inside a shard the documents stand in seeded order and their words form one stream of blocks.  Each whole round over the
 shard's blocks takes every block once more; the rest of the quota takes the first blocks in seeded order.
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last; null doc_ids are documents
-like any other; repeated rows each count and each get their own part; an empty table gives an empty result; columns
-other than doc_id, text and source are not looked at.
+like any other; repeated rows each count and each get their own part; documents that tie in the seeded order follow each
+other by size; a very long text is one document of many blocks, cut at its taken words; an empty table gives an empty
+result; columns other than doc_id, text and source are not looked at.
 """
 
 from __future__ import annotations
@@ -48,28 +52,73 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return sums.select("source", "source_size", F.least(cap * F.col("source_size"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _blocks_at(divisor: float | Column) -> Column:
+    return F.least("most", F.floor(F.col("votes") / F.lit(divisor) + F.lit(0.5)))
+
+
+def last_divisors(parties: DataFrame, blocks: int, points: int = 16) -> tuple[float, float]:
+    """Divisors ``low <= high`` with at least and at most ``blocks`` blocks won; equal where one fits exactly."""
+    low, high = parties.agg(F.min(F.col("votes") / (F.col("most") + 1)), 3 * F.max("votes")).first()
+    while True:
+        grid = [low * (high / low) ** (k / (points + 1)) if high > 2 * low else low + (high - low) * k / (points + 1) for k in range(1, points + 1)]
+        grid = sorted({d for d in grid if low < d < high})
+        if not grid:
+            return low, high
+        won = list(parties.agg(*[F.sum(_blocks_at(d)).alias(f"b{i}") for i, d in enumerate(grid)]).first())
+        if blocks in won:
+            exact = grid[won.index(blocks)]
+            return exact, exact
+        low = max([low, *[d for d, n in zip(grid, won, strict=True) if n > blocks]])
+        high = min([high, *[d for d, n in zip(grid, won, strict=True) if n < blocks]])
+
+
+def sainte_lague(parties: DataFrame, blocks: int) -> DataFrame:
+    """``source, shard, quota`` from ``source, shard, votes, most``: ``blocks`` go to the highest quotients."""
+    if not blocks:
+        return parties.select("source", "shard", F.lit(0).cast("long").alias("quota"))
+    low, high = last_divisors(parties, blocks)
+    quotas = parties.select("source", "shard", _blocks_at(high).cast("long").alias("quota"), _blocks_at(low).cast("long").alias("next"))
+    if low == high:
+        return quotas.drop("next")
+    left = blocks - quotas.agg(F.sum("quota")).first()[0]
+    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source", "shard"))
+    ties = quotas.where("next > quota").select("source", "shard", "next", place.alias("place"))
+    ties = ties.where(F.col("place") <= left).select(F.col("source").alias("s"), F.col("shard").alias("h"), F.lit(1).alias("more"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))
+    return quotas.join(ties, same, "left").select("source", "shard", (F.col("quota") + F.coalesce("more", F.lit(0))).alias("quota"))
+
+
 def apportion(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: its size, its source's size and target, its shard and the shard's quota, words ``taken``.
 
     ``rounds`` is how often the whole document is taken and ``extra`` how many of its first words once more;
-    ``taken = rounds * size + extra``.  ``keep`` names further columns, carried as ``kept_*``.
+    ``taken = rounds * size + extra``.  ``keep`` names further columns, carried as ``kept_*``; they take no part in the
+    apportionment and are joined back by row.
     """
     who = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     sizes = documents.select("doc_id", "source", *[F.col(c).alias(f"kept_{c}") for c in keep], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(who).alias("turn"), _hash32(who).alias("deal"))
-    sizes = materialize(sizes, "mix-sizes")
+    sizes = materialize(sizes.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     targets = source_targets(sizes, weights, share, cap)
-    docs = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
-    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words)))
-    docs = docs.withColumn("shard", F.pmod("deal", shards))
-    shard = Window.partitionBy("source", "shard")
-    stream = shard.orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0))).withColumn("shard_size", F.sum("size").over(shard))
-    share_words = F.col("target") * F.col("shard_size") / F.greatest(F.lit(1), F.col("source_size"))
-    docs = docs.withColumn("quota", F.floor(share_words / F.lit(block_words) + F.lit(0.5)))
-    docs = docs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.lit(block_words))))
+    docs = sizes.select("row", "doc_id", "source", "size", "turn", "deal").alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target")
+    docs = docs.withColumn("shard", F.pmod("deal", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words)))))
+    docs = materialize(docs.drop("deal"), "mix-dealt")
+    parties = docs.groupBy("source", "shard", "source_size", "target").agg(F.sum("size").alias("shard_size")).where("shard_size > 0")
+    parties = parties.withColumn("votes", F.col("target") * F.col("shard_size") / F.col("source_size")).withColumn("blocks", F.ceil(F.col("shard_size") / F.lit(block_words)))
+    parties = materialize(parties.withColumn("most", F.floor(F.lit(cap) * F.col("blocks"))).where("votes > 0"), "mix-parties")
+    wanted = parties.agg(F.floor(F.coalesce(F.sum("votes"), F.lit(0.0)) / block_words + 0.5)).first()[0]
+    quotas = sainte_lague(parties, int(wanted)).withColumnRenamed("source", "s").withColumnRenamed("shard", "h")
+    won = parties.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))).select("s", "h", "quota", "blocks")
+    docs = docs.join(won, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")), "left").drop("s", "h")
+    docs = docs.withColumn("quota", F.coalesce("quota", F.lit(0))).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    stream = Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     docs = docs.withColumn("rounds", F.expr("quota div blocks")).withColumn("cut", (F.col("quota") % F.col("blocks")) * block_words)
     docs = docs.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), "cut") - F.least("start", "cut")))
-    return docs.withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra")).select("doc_id", "source", *[f"kept_{c}" for c in keep], "size", "source_size", "target", "shard", "quota", "rounds", "extra", "taken")
+    docs = docs.withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra"))
+    columns = ("size", "source_size", "target", "shard", "quota", "rounds", "extra", "taken")
+    if keep:
+        docs = sizes.select("row", *[f"kept_{c}" for c in keep]).join(docs, "row")
+    return docs.select("doc_id", "source", *[f"kept_{c}" for c in keep], *columns)
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
@@ -114,10 +163,18 @@ dealt AS (
 streams AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
          (sum(size) OVER (PARTITION BY source, shard))::BIGINT AS shard_size FROM dealt),
-quotas AS (
-  SELECT *, floor(target * shard_size / greatest(1, source_size) / {BLOCK_WORDS} + 0.5)::BIGINT AS quota,
-         greatest(1, ceil(shard_size / {BLOCK_WORDS}))::BIGINT AS blocks FROM streams),
-cuts AS (SELECT *, (quota % blocks) * {BLOCK_WORDS} AS cut FROM quotas)
+parties AS (
+  SELECT source, shard, shard_size, target * shard_size / source_size AS votes, ceil(shard_size / {BLOCK_WORDS})::BIGINT AS blocks
+  FROM (SELECT DISTINCT source, shard, shard_size, source_size, target FROM streams WHERE shard_size > 0)),
+quotients AS (
+  SELECT source, shard, blocks, row_number() OVER (ORDER BY votes / (2 * k + 1) DESC, source IS NULL, source, shard) AS place
+  FROM parties, unnest(generate_series(0, 2 * blocks - 1)) AS u(k)),
+won AS (
+  SELECT source, shard, blocks, count(*) AS quota FROM quotients
+  WHERE place <= (SELECT floor(sum(votes) / {BLOCK_WORDS} + 0.5) FROM parties) GROUP BY ALL),
+cuts AS (
+  SELECT s.*, coalesce(w.quota, 0) AS quota, coalesce(w.blocks, 1) AS blocks, (coalesce(w.quota, 0) % coalesce(w.blocks, 1)) * {BLOCK_WORDS} AS cut
+  FROM streams s LEFT JOIN won w ON s.source IS NOT DISTINCT FROM w.source AND s.shard = w.shard)
 SELECT doc_id, size, source_size, target,
        (quota // blocks) * size + greatest(0, least(start + size, cut) - least(start, cut)) AS taken
 FROM cuts
