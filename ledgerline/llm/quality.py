@@ -1,12 +1,15 @@
 """Quality rules whose thresholds adapt to each language and source through mergeable quantile sketches.
 
-The sketch of a metric is a log-linear histogram with integer bucket bounds (relative error 1/16): two sketches merge
+The sketch of a ratio is a log-linear histogram with integer bucket bounds (relative error 1/16): two sketches merge
 by adding counts, so it is a plain grouped sum, computed partially before the shuffle and equal on every rerun.
-A document is rejected when a ratio lies above its group's fence ``q3 + spread * max(q3 - q1, floor)``.  Groups below
-``min_docs`` documents use the merged sketch of their language, then that of all documents.
-
-Defined cases: null text has no words and fails; null languages and sources are groups of their own; repeated rows
-are judged alike; an empty table gives an empty result; other columns are carried or ignored.
+A group's sketch is shrunk towards its language's and that one towards the sketch of all documents: ``prior`` documents
+of the parent are merged in, whatever the group's size.  The fence of a ratio is ``q + spread * (q - median)`` with ``q``
+the quantile up to which a group is trusted.  A document is rejected when its count lies above the fence by more than
+``noise`` standard deviations of counting, so that short documents are not judged by one sign.
+
+Defined cases: null text has no words and fails; null languages and sources are groups of their own; equal ratios lie
+in one bucket, and a document on its fence stays; repeated rows are judged alike and count each; a very long text is
+measured whole, by one task that holds it; an empty table gives an empty result; other columns are carried or ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ from ledgerline.plans.scratch import materialize
 
 SYMBOLS = "#*$%&|<>"
 RUN = 8
-#: Ratios in thousandths with the least spread that counts: symbols and capitals to characters of words, repeated
-#: lines to lines, words equal to the word before to words.
-METRICS = {"symbol_ratio": 10, "capital_ratio": 100, "line_ratio": 200, "stutter_ratio": 50}
-SPREAD = 3
-MIN_DOCS = 50
+#: For each ratio: its count, its whole, and the share of a group's documents that is trusted.
+METRICS = {
+    "symbol_ratio": ("n_symbols", "word_chars", 0.85), "capital_ratio": ("n_capitals", "word_chars", 0.98), "line_ratio": ("n_dup_lines", "n_lines", 0.98),
+    "stutter_ratio": ("n_stutters", "n_words", 0.9), "repeat_ratio": ("n_repeat_words", "n_words", 0.98),
+}
+SPREAD = 1.0
+NOISE = 3.0
+PRIOR = 100.0
 MIN_WORDS = 20
 MAX_REPEAT = 30
 
@@ -84,49 +90,64 @@ def measures(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.mapInArrow(_measured, f"{kinds}{kept}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def ratios(df: DataFrame) -> DataFrame:
-    def mille(part: str, whole: str) -> Column:
-        return F.expr(f"(1000 * {part}) div greatest(1, {whole})")
-
-    return df.withColumns({"symbol_ratio": mille("n_symbols", "word_chars"), "capital_ratio": mille("n_capitals", "word_chars"), "line_ratio": mille("n_dup_lines", "n_lines"), "stutter_ratio": mille("n_stutters", "n_words")})
-
-
 def bucket_floor(value: Column) -> Column:
     """Lower bound of the value's bucket: exact below 16, then 16 buckets to each power of two."""
     shift = F.greatest(F.lit(0), F.length(F.bin(value)) - 5)
     return value - F.pmod(value, F.pow(F.lit(2), shift).cast("long"))
 
 
-def fences(measured: DataFrame, spread_factor: int = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``lang, source, metric, fence`` from sketches at three levels, the finest with ``min_docs`` documents."""
-    judged = measured.where(F.col("n_words") >= MIN_WORDS)
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(f).cast("long").alias("least"), F.col(m).alias("value")) for m, f in METRICS.items()]))
-    sketch = judged.select("lang", "source", pairs.alias("p")).select("lang", "source", "p.metric", "p.least", bucket_floor(F.col("p.value")).alias("bucket"))
-    sketch = sketch.groupBy("lang", "source", "metric", "least", "bucket").agg(F.count("*").alias("n"))
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+
+
+def _quantile(share: Column) -> Column:
+    return F.min(F.when(F.col("upto") >= F.col("total") * share, F.col("bucket")))
 
-    def quartiles(keys: list[str]) -> DataFrame:
-        merged = sketch.groupBy(*keys, "metric", "least", "bucket").agg(F.sum("n").alias("n"))
-        group = Window.partitionBy(*keys, "metric", "least")
-        below = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        merged = merged.withColumn("upto", below).withColumn("total", F.sum("n").over(group))
-        q = {k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket"))) for k in (1, 3)}
-        merged = merged.groupBy(*keys, "metric", "least").agg(F.max("total").alias("docs"), q[1].alias("q1"), q[3].alias("q3"))
-        return merged.withColumn("fence", F.col("q3") + spread_factor * F.greatest(F.col("q3") - F.col("q1"), "least")).drop("q1", "q3", "least")
 
-    fine, by_lang, overall = quartiles(["lang", "source"]), quartiles(["lang"]), quartiles([])
-    found = fine.alias("f").join(by_lang.alias("l"), (F.col("f.metric") == F.col("l.metric")) & F.col("f.lang").eqNullSafe(F.col("l.lang"))).join(overall.alias("o"), F.col("f.metric") == F.col("o.metric"))
-    fence = F.when(F.col("f.docs") >= min_docs, F.col("f.fence")).when(F.col("l.docs") >= min_docs, F.col("l.fence")).otherwise(F.col("o.fence"))
-    return found.select("f.lang", "f.source", "f.metric", fence.alias("fence"))
+def fences(measured: DataFrame, spread: float = SPREAD, prior: float = PRIOR) -> DataFrame:
+    """``lang, source, metric, fence`` (in thousandths) from the shrunken sketch of each language and source,
+    over the documents that pass the base rules."""
+    judged = measured.where(~_base_failed())
+    mille = {m: F.expr(f"(1000 * {part}) div greatest(1, {whole})") for m, (part, whole, _) in METRICS.items()}
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(METRICS[m][2]).alias("trusted"), v.alias("value")) for m, v in mille.items()]))
+    sketch = judged.select("lang", "source", pairs.alias("p")).select("lang", "source", "p.metric", "p.trusted", bucket_floor(F.col("p.value")).alias("bucket"))
+    fine = sketch.groupBy("lang", "source", "metric", "trusted", "bucket").agg(F.count("*").cast("double").alias("weight"))
+    fine = materialize(fine, "quality-sketch")
 
+    def shares(df: DataFrame, keys: list[str]) -> DataFrame:
+        merged = df.groupBy(*keys, "metric", "bucket").agg(F.sum("weight").alias("weight"))
+        return merged.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy(*keys, "metric"))).drop("weight")
 
-def judge(documents: DataFrame, keep: tuple[str, ...] = (), spread_factor: int = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
+    def shrunk(df: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str]) -> DataFrame:
+        groups = df.select(*keys, "metric", "trusted").distinct().alias("g")
+        same = F.col("g.metric") == F.col("p.metric")
+        for k in parent_keys:
+            same &= F.col(f"g.{k}").eqNullSafe(F.col(f"p.{k}"))
+        lent = groups.join(parent.alias("p"), same).select("g.*", "p.bucket", (prior * F.col("p.share")).alias("weight"))
+        both = df.select(*keys, "metric", "trusted", "bucket", "weight").unionByName(lent)
+        return both.groupBy(*keys, "metric", "trusted", "bucket").agg(F.sum("weight").alias("weight"))
+
+    by_lang = fine.groupBy("lang", "metric", "trusted", "bucket").agg(F.sum("weight").alias("weight"))
+    by_lang = shares(shrunk(by_lang, ["lang"], shares(fine, []), []), ["lang"])
+    group = Window.partitionBy("lang", "source", "metric")
+    merged = shrunk(fine, ["lang", "source"], by_lang, ["lang"])
+    merged = merged.withColumn("upto", F.sum("weight").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.max("upto").over(group))
+    found = merged.groupBy("lang", "source", "metric").agg(_quantile(F.lit(0.5)).alias("median"), _quantile(F.col("trusted")).alias("top"))
+    return found.select("lang", "source", "metric", (F.col("top") + spread * (F.col("top") - F.col("median"))).alias("fence"))
+
+
+def judge(documents: DataFrame, keep: tuple[str, ...] = (), spread: float = SPREAD, noise: float = NOISE, prior: float = PRIOR) -> DataFrame:
     """One row a document: its measures, ``base_failed``, ``kept`` and ``broken``, the ratios above their fence."""
-    measured = ratios(materialize(measures(documents, keep), "quality"))
-    wide = fences(measured, spread_factor, min_docs).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias("limits"))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    measured = materialize(measures(documents, keep), "quality")
+    wide = fences(measured, spread, prior).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias("limits"))
     rows = measured.alias("m").join(wide.alias("w"), F.col("m.lang").eqNullSafe(F.col("w.lang")) & F.col("m.source").eqNullSafe(F.col("w.source")), "left").select("m.*", "w.limits")
-    broken = F.array_compact(F.array(*[F.when(F.col(m) > F.try_element_at("limits", F.lit(m)), F.lit(m)) for m in METRICS]))
-    rows = rows.withColumn("base_failed", base).withColumn("broken", broken)
+
+    def above(metric: str, part: str, whole: str) -> Column:
+        expected = F.try_element_at("limits", F.lit(metric)) * F.col(whole) / 1000
+        return F.when(F.col(part) > expected + noise * F.sqrt(expected + 1), F.lit(metric))
+
+    broken = F.array_compact(F.array(*[above(m, part, whole) for m, (part, whole, _) in METRICS.items()]))
+    rows = rows.withColumn("base_failed", _base_failed()).withColumn("broken", broken)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop("limits")
 
 
