@@ -21,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.tokens import encoder, vocabulary
+from ledgerline.llm.tokens import encoder, id_bytes, vocabulary
 from ledgerline.llm.words import slices, texts
-from ledgerline.plans.scratch import materialize
+from ledgerline.plans.scratch import bucketed, materialize
 
 WINDOW = 2048
 END = 1
@@ -124,7 +124,7 @@ class Plan:
         return pieces
 
 
-def _cut(path: str, blanks: bool, end: int, window: int):
+def _cut(path: str, blanks: bool, end: int, window: int, width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path, blanks).encode, TaskContext.get().partitionId()
         ranks = np.zeros(window + 1, np.int64)
@@ -133,7 +133,7 @@ def _cut(path: str, blanks: bool, end: int, window: int):
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = np.append(encode(text), np.uint32(end)).astype("<u2")
+                ids = np.append(encode(text), np.uint32(end)).astype(f"<u{width}")
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
                     rows.append((doc_id, len(ids), at, len(piece), int(ranks[len(piece)]), part, piece.tobytes()))
@@ -145,11 +145,7 @@ def _cut(path: str, blanks: bool, end: int, window: int):
     return work
 
 
-def _wide(ids: bytes) -> bytes:
-    return np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-
-
-def _placed(plan: Plan | None):
+def _placed(plan: Plan | None, width: int):
     """Places tails by ``plan``; without one, rows are full windows with a sequence of their own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +155,7 @@ def _placed(plan: Plan | None):
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "rank", "ids")]
             rows = []
             for doc_id, start, length, doc_tokens, rank, ids in zip(*columns, strict=True):
-                ids = _wide(ids)
+                ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
                 for first, n, sequence, offset in plan.place(length, rank) if plan else [(0, length, rank, 0)]:
                     rows.append((doc_id, start + first, n, doc_tokens, sequence, offset, ids[4 * first : 4 * (first + n)]))
             if rows:
@@ -174,21 +170,26 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 def pack(documents: DataFrame, tokenizer: str | None = None, blanks: bool = False, end: int = END, window: int = WINDOW) -> DataFrame:
     """One row a piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (unsigned 32-bit, little endian)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tokenizer = tokenizer or default_tokenizer()
+    width = id_bytes(tokenizer)
     schema = "doc_id long, doc_tokens long, start long, length int, rank long, part int, ids binary"
-    pieces = materialize(rows.mapInArrow(_cut(tokenizer or default_tokenizer(), blanks, end, window), schema), "pack-pieces")
-    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    counts = materialize(counts, "pack-counts")
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pieces = bucketed(rows.mapInArrow(_cut(tokenizer, blanks, end, window, width), schema), "pack-pieces", ["part"], parts)
+    counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "pack-counts")
     histogram = np.zeros(window, np.int64)
     for row in counts.where(F.col("length") < window).groupBy("length").agg(F.sum("n").alias("n")).collect():  # under `window` rows
         histogram[row["length"]] = row["n"]
     plan = Plan(histogram, window)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.where(F.col("length") < window).select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    offsets = materialize(offsets, "pack-offsets")
-    tails = pieces.where(F.col("length") < window).join(offsets, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # one row a partition, with an array by length: the pieces stay in their buckets and only these rows move
+    offsets = offsets.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("known"))
+    by_length = F.transform(F.sequence(F.lit(1), F.lit(window - 1)), lambda length: F.coalesce(F.try_element_at("known", length), F.lit(0)))
+    offsets = materialize(offsets.select("part", by_length.alias("befores")), "pack-offsets").hint("shuffle_hash")
+    tails = pieces.where(F.col("length") < window).join(offsets, "part").withColumn("rank", F.col("rank") + F.element_at("befores", F.col("length")))
     columns = ("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "rank", "ids")
     full = pieces.where(F.col("length") == window).withColumn("rank", F.lit(plan.sequences) + F.shiftleft(F.col("part").cast("long"), 33) + F.col("rank"))
-    return tails.select(*columns).mapInArrow(_placed(plan), PIECES).unionByName(full.select(*columns).mapInArrow(_placed(None), PIECES))
+    return tails.select(*columns).mapInArrow(_placed(plan, width), PIECES).unionByName(full.select(*columns).mapInArrow(_placed(None, width), PIECES))
 
 
 def default_tokenizer() -> str:

@@ -2,7 +2,8 @@
 
 Both supported vocabularies cut a text at blanks before they look for merges, so a text's ids are those of its words in
 order; each distinct word (with the blanks before it) goes through the tokenizers library once and is kept in a bounded
-table.  A text with any other white space than blanks and line ends is encoded as a whole.
+table.  A text with any other white space than blanks and line ends, or with an added token's string in it, is encoded
+as a whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the library takes for one token wherever they stand; a text that holds one is encoded as a whole
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.blanks = blanks
         self.marks: dict[str, list[int]] = {}
         self._clear()
@@ -92,7 +94,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit integers."""
-        if any(map(text.__contains__, _ODD)):
+        if any(map(text.__contains__, _ODD)) or any(map(text.__contains__, self.added)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         words = _WITH_BLANKS.findall(text) if self.blanks else text.replace("\n", " ").split(" ")
         if len(words) == 0:
@@ -128,6 +130,14 @@ def encoder(path: str, blanks: bool) -> Encoder:
     return _ENCODERS[key]
 
 
+def id_bytes(path: str) -> int:
+    """Bytes that hold any id of this file."""
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()
+    return 2 if max(ids, default=0) < 1 << 16 else 4
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer file on this machine."""
     import public_tokenizers
