@@ -3,14 +3,20 @@
 Equal vectors are one node with a weight.  Codebooks for the two halves of the unit vectors are fitted on a bounded
 sample; their product is the grid of cells, and every vector is indexed in its cell.  A vector visits the cells in the
 order of the multi-sequence algorithm (ascending sum of its distances to the two half centroids).  How many cells it
-visits is calibrated on the sample against brute force until ``TARGET`` of the true links are reached.  A link is
-verified by cosine in double precision.  It is found if either end visits the other's cell; a member knows its own
-visits, so each link is counted once for each end.  Cells are cut into tiles by a hash, pairs of tiles are dealt out,
-and each returns link counts and a spanning forest, never all pairs.
-
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do
-vectors of another length than the common one; null vec_ids come after all others; repeated rows are vectors of their
-own; an empty table gives an empty result; columns other than vec_id and embedding (labels too) are not looked at.
+visits is calibrated until ``TARGET`` of the partners of the probes are met: the partners are the links found in the
+sample by brute force and vectors made at exactly the wanted cosine from each probe in a random direction, so that the
+number does not rest on there being links in the sample.  No number of visits is a limit: where the target asks for it,
+all cells are visited.  A link is verified by cosine in double precision.  It is found if either end visits the other's
+cell; a member knows its own visits, so each link is counted once for each end.  Cells are cut into tiles by a hash,
+pairs of tiles are dealt out, and each returns link counts and a spanning forest, never all pairs.
+
+Vectors of one length are compared with each other only.  A length has an index of its own when the sample holds
+``LEAST_SAMPLE`` of its vectors; one that is rarer is a single cell, compared exactly in tiles.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; magnitudes
+up to the ends of the double range are scaled before they are squared; null vec_ids come after all others; repeated rows
+are vectors of their own, linked with each other; a pair at exactly the cosine is linked; very long vectors are held
+whole; an empty table gives an empty result; columns other than vec_id and embedding (labels too) are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from ledgerline.plans.scratch import materialize
 COSINE = 0.9
 TARGET = 0.99
 #: Bounds of the sample: vectors that fit the codebooks, and those of them that calibrate the visits.
-SAMPLE, PROBES = 20_000, 1_000
+SAMPLE, PROBES, LEAST_SAMPLE = 20_000, 1_000, 256
 CELL, MOST_CENTROIDS = 16, 1024
 TILE = 1024
 LAST = (1 << 63) - 1
@@ -38,6 +44,7 @@ LAST = (1 << 63) - 1
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # so that no square leaves the double range
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -104,51 +111,69 @@ class MultiIndex:
         return orders[0][rows, pairs[first, 0]] * self.k + orders[1][rows, pairs[first, 1]]
 
     def _calibrate(self, sample: np.ndarray, cosine: float, target: float) -> int:
-        most = min(self.k * self.k, 256)
         probes = sample[: min(PROBES, len(sample))]
         rows, columns = np.nonzero(probes @ sample.T >= cosine)
         keep = rows != columns
-        rows, columns = rows[keep], columns[keep]
-        if not len(rows):
-            return min(most, 8)
-        homes = self.traverse(sample, 1)[:, 0]
-        there = self.traverse(probes, most)
-        ends = np.unique(columns)
-        back = self.traverse(sample[ends], most)
-        place = np.searchsorted(ends, columns)
-
-        def rank(lists: np.ndarray, cells: np.ndarray) -> np.ndarray:
-            hit = lists == cells[:, None]
-            return np.where(hit.any(1), hit.argmax(1), most)
-
-        ranks = []
-        for lo in range(0, len(rows), 4096):
-            part = slice(lo, lo + 4096)
-            ranks.append(np.minimum(rank(there[rows[part]], homes[columns[part]]), rank(back[place[part]], homes[rows[part]])))
-        ranks = np.sort(np.concatenate(ranks))
-        return int(min(most, ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))] + 1))
-
-
-def _indexed(index: MultiIndex, dims: int):
+        real = probes[rows[keep]], sample[columns[keep]]
+        if len(real[0]) > 8 * PROBES:  # as many of them as keep the lists of visits small
+            some = np.random.default_rng(4).permutation(len(real[0]))[: 8 * PROBES]
+            real = real[0][some], real[1][some]
+        most = 16
+        while True:
+            most = min(self.k * self.k, 2 * most)
+            wanted = [self._visits(a, b, most, target) for a, b in (real, self._made(probes, cosine)) if len(a)]
+            if max(wanted) < most or most == self.k * self.k:
+                return int(max(wanted, default=0)) + 1
+
+    @staticmethod
+    def _made(probes: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """The probes, and for each a partner at the given cosine in a random direction."""
+        rng = np.random.default_rng(5)
+        away = rng.standard_normal(probes.shape)
+        away -= (away * probes).sum(1, keepdims=True) * probes
+        size = np.sqrt((away * away).sum(1, keepdims=True))
+        lean = np.where(size > 1e-9, away / np.maximum(size, 1e-9), 0.0)
+        return probes, unit(cosine * probes + np.sqrt(max(0.0, 1 - cosine * cosine)) * lean)
+
+    def _visits(self, one: np.ndarray, two: np.ndarray, most: int, target: float) -> int:
+        """The place up to which ``target`` of the pairs meet, in the visits of either end; ``most`` if they do not."""
+        ranks = np.full(len(one), most)
+        for lo in range(0, len(one), 512):
+            a, b = one[lo : lo + 512], two[lo : lo + 512]
+            for asker, other in ((a, b), (b, a)):
+                hit = self.traverse(asker, most) == self.traverse(other, 1)[:, :1]
+                ranks[lo : lo + 512] = np.minimum(ranks[lo : lo + 512], np.where(hit.any(1), hit.argmax(1), most))
+        return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))])
+
+
+def _indexed(indexes: dict[int, MultiIndex]):
+    """Visited cells of each vector, its own first; a length without an index has the one cell 0."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            vectors = unit(np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float64).reshape(-1, dims))
-            for lo in range(0, len(vectors), 2048):
-                cells = index.traverse(vectors[lo : lo + 2048], index.visits).astype(np.int32)
-                part = batch.slice(lo, 2048)
-                visits = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("weight"), part.column("vec"), visits], names=["id", "weight", "vec", "visits"])
+            vecs = batch.column("vec").to_pylist()
+            sizes = np.array([len(v) for v in vecs])
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                for lo in range(0, len(at), 2048):
+                    rows = at[lo : lo + 2048]
+                    cells = np.zeros((len(rows), 1), np.int32)
+                    if size in indexes:
+                        vectors = unit(np.frombuffer(b"".join(vecs[i] for i in rows), np.float64).reshape(-1, size // 8))
+                        cells = indexes[size].traverse(vectors, indexes[size].visits).astype(np.int32)
+                    part = batch.take(pa.array(rows))
+                    visits = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("weight"), part.column("vec"), visits], names=["id", "weight", "vec", "visits"])
 
     return work
 
 
-def _compared(dims: int, cosine: float):
+def _compared(cosine: float):
     def work(table: pa.Table) -> pa.Table:
         asks = np.asarray(table.column("asks"))
         ids, weights = np.asarray(table.column("id")), np.asarray(table.column("weight"))
-        vectors = unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(-1, dims))
+        vecs = table.column("vec").to_pylist()
+        vectors = unit(np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1))
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         counts = np.zeros(len(ids), np.int64)
         rows, columns = [], []
@@ -177,39 +202,48 @@ def _compared(dims: int, cosine: float):
     return work
 
 
+def _fitted(nodes: DataFrame, cosine: float, target: float) -> dict[int, MultiIndex]:
+    """An index for each vector length that the sample holds often enough."""
+    sample = [r["vec"] for r in nodes.orderBy("d1", "d2").select("vec").limit(SAMPLE).collect()]  # at most SAMPLE vectors
+    by_size: dict[int, list[bytes]] = {}
+    for v in sample:
+        by_size.setdefault(len(v), []).append(v)
+    often = {size: some for size, some in by_size.items() if len(some) >= LEAST_SAMPLE}
+    count = nodes.count()
+    return {size: MultiIndex(unit(np.frombuffer(b"".join(some), np.float64).reshape(len(some), -1)), count * len(some) // len(sample), cosine, target) for size, some in often.items()}
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, target: float = TARGET, tile: int = TILE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
     rows = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST)).alias("id"), "embedding")
     rows = materialize(rows.mapInArrow(_checked, "id long, d1 long, d2 long, vec binary"), "vectors")
-    sizes = rows.where("vec IS NOT NULL").groupBy(F.length("vec").alias("bytes")).agg(F.count("*").alias("n"))
-    common = sizes.orderBy(F.desc("n"), "bytes").first()
-    whole = rows.where(F.length("vec") == (common["bytes"] if common else -1))
-    nodes = whole.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
-    nodes = materialize(nodes, "vector-nodes")
-    named = nodes.select("d1", "d2", F.col("id").alias("node"), "weight", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
-    if common:
-        dims, count = common["bytes"] // 8, nodes.count()
-        sample = [r["vec"] for r in nodes.orderBy("d1", "d2").select("vec").limit(SAMPLE).collect()]  # at most SAMPLE vectors
-        index = MultiIndex(unit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dims)), count, cosine, target)
-        placed = materialize(nodes.select("id", "weight", "vec").mapInArrow(_indexed(index, dims), "id long, weight long, vec binary, visits array<int>"), "vector-cells")
-        members = placed.select("id", "weight", "vec", "visits", F.col("visits")[0].alias("cell"))
-        askers = placed.select("id", "weight", "vec", F.slice("visits", 1, 1).alias("visits"), F.explode("visits").alias("cell"))
-        cuts = placed.select(F.explode("visits").alias("cell"), F.lit(1).alias("ask"), F.lit(0).alias("own")).unionByName(placed.select(F.col("visits")[0].alias("cell"), F.lit(0).alias("ask"), F.lit(1).alias("own")))
-        cuts = cuts.groupBy("cell").agg(F.ceil(F.sum("ask") / tile).alias("ask_cuts"), F.ceil(F.sum("own") / tile).alias("own_cuts")).where("own_cuts > 0")
+    nodes = rows.where("vec IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")  # vec_ids may be null or repeated
+    named = nodes.select("d1", "d2", "id", "node", "weight", F.lit(0).cast("long").alias("links"), F.col("node").alias("component"))
+    if not nodes.isEmpty():
+        indexes = _fitted(nodes, cosine, target)
+        placed = nodes.select(F.col("node").alias("id"), "weight", "vec").mapInArrow(_indexed(indexes), "id long, weight long, vec binary, visits array<int>")
+        placed = materialize(placed.withColumn("bytes", F.length("vec")), "vector-cells")
+        members = placed.select("bytes", "id", "weight", "vec", "visits", F.col("visits")[0].alias("cell"))
+        askers = placed.select("bytes", "id", "weight", "vec", F.slice("visits", 1, 1).alias("visits"), F.explode("visits").alias("cell"))
+        cuts = placed.select("bytes", F.explode("visits").alias("cell"), F.lit(1).alias("ask"), F.lit(0).alias("own")).unionByName(placed.select("bytes", F.col("visits")[0].alias("cell"), F.lit(0).alias("ask"), F.lit(1).alias("own")))
+        cuts = cuts.groupBy("bytes", "cell").agg(F.ceil(F.sum("ask") / tile).alias("ask_cuts"), F.ceil(F.sum("own") / tile).alias("own_cuts")).where("own_cuts > 0")
         cuts = materialize(cuts, "vector-cuts")
         deal = F.xxhash64("id")
-        members = members.join(cuts, "cell").withColumn("own", F.pmod(deal, "own_cuts")).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ask_cuts") - 1)))
-        askers = askers.join(cuts, "cell").withColumn("ask", F.pmod(deal, "ask_cuts")).withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_cuts") - 1)))
-        columns = ["cell", "own", "ask", "id", "weight", "vec", "visits"]
+        members = members.join(cuts, ["bytes", "cell"]).withColumn("own", F.pmod(deal, "own_cuts")).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ask_cuts") - 1)))
+        askers = askers.join(cuts, ["bytes", "cell"]).withColumn("ask", F.pmod(deal, "ask_cuts")).withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_cuts") - 1)))
+        columns = ["bytes", "cell", "own", "ask", "id", "weight", "vec", "visits"]
         both = members.select(*columns, F.lit(False).alias("asks")).unionByName(askers.select(*columns, F.lit(True).alias("asks")))
-        found = both.groupBy("cell", "own", "ask").applyInArrow(_compared(dims, cosine), "id long, links long, root long")
+        found = both.groupBy("bytes", "cell", "own", "ask").applyInArrow(_compared(cosine), "id long, links long, root long")
         found = materialize(found, "vector-links")
         parts = connected_components(found.where("root IS NOT NULL").select(F.col("id").alias("src"), F.col("root").alias("dst")), name="vector-parts")
-        links = found.groupBy("id").agg(F.sum("links").alias("found_links"))
-        named = nodes.select("d1", "d2", F.col("id").alias("node"), "weight").join(links, F.col("node") == links.id, "left").drop("id")
-        named = named.join(parts.withColumnRenamed("node", "part_node"), F.col("node") == F.col("part_node"), "left")
-        named = named.select("d1", "d2", "node", "weight", F.coalesce("found_links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
-    named = materialize(named, "vector-named")
+        links = found.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("found_links"))
+        named = nodes.select("d1", "d2", "id", "node", "weight").join(links, "node", "left").join(parts, "node", "left")
+        named = named.select("d1", "d2", "id", "node", "weight", F.coalesce("found_links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("part"))
+        named = materialize(named, "vector-parted")
+        least = named.groupBy("part").agg(F.min("id").alias("component"))
+        named = named.join(least, "part").drop("part")
+    named = materialize(named.drop("id", "node"), "vector-named")
     out = rows.alias("r").join(named.withColumn("linkable", F.lit(True)).alias("n"), ["d1", "d2"], "left")
     own = F.coalesce("linkable", F.lit(False)) & F.col("vec").isNotNull()
     out = out.select("id", F.when(own, F.col("weight") - 1 + F.col("links")).otherwise(0).cast("long").alias("n_links"), F.when(own, F.col("component")).otherwise(F.col("id")).alias("component_id"))
