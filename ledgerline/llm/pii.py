@@ -1,13 +1,17 @@
 """Personal data: exact patterns, and identifiers found by bootstrapped contextual extraction.
 
-The spans of the exact patterns are seeds.  Each seed and each other word that holds a digit is an occurrence of an
-instance (its text) in a pattern (the two words before it and the shape of the instance).  Patterns and instances form
-a bipartite graph; each round scores a pattern by the mean score of its distinct instances and an instance by the
-noisy-or of its good patterns, with seeds fixed at one.  Occurrences of patterns that end above ``CONFIDENT`` with
-enough distinct instances become spans of the kind ``found``.
-
-Defined cases: null text is empty; repeated rows are scanned each for itself but count once as evidence; null doc_ids
-are rows like any other; an empty table gives an empty result; other columns are carried or ignored.
+The spans of the exact patterns are seeds, and so are secrets of publicly known forms (``SECRET_SEEDS``: keys with a fixed
+prefix, values assigned to a name such as password or token).  Each seed and each other word that holds a digit is an
+occurrence of an instance (its text) in lexical patterns: the two words before it with the instance's shape, the lead of
+the word up to its last sign of assignment with the shape of the rest, and the same with the word before where that word is such
+a sign.  Patterns and instances form a bipartite graph; each round scores a pattern by the mean score of its distinct
+instances and an instance by the noisy-or of its good patterns, with seeds fixed at one.  Occurrences of patterns that end
+above ``CONFIDENT`` with enough distinct instances become spans of the kind ``found``; secret seeds are of the kind ``secret``.
+
+Defined cases: null text is empty; repeated rows are scanned each for itself but count once as evidence; patterns that tie
+at a bound are taken; contexts and shapes are read whole, however long their words; a very long text is scanned whole, by
+one task that holds it; null doc_ids are rows like any other; an empty table gives an empty result; other columns are
+carried or ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.words import slices
 from ledgerline.plans.scratch import materialize
 
-KINDS = ("email", "ip", "card", "phone", "found")
+KINDS = ("email", "ip", "card", "phone", "secret", "found")
 ROUNDS = 3
 #: A pattern is good from this score on while scoring, and its occurrences are spans from ``CONFIDENT`` on.
 GOOD, CONFIDENT = 0.6, 0.8
@@ -38,6 +42,12 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _BLANKS = " \t\n\v\f\r"
 _EDGES = "\"'()[]{}<>,.;:!?"
+#: Names to which secrets are assigned, and public key formats.
+_SECRET_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key")
+_SECRET_HINT = re.compile("|".join(_SECRET_NAMES), re.IGNORECASE | re.ASCII)
+_ASSIGNED = re.compile(r"""[ ]?[=:][ ]?["']?([^\s"']{8,})""")
+_KEY_HINTS = ("AKIA", "ghp_")
+_KEYS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
 
 Span = tuple[str, int, int]
 
@@ -83,19 +93,70 @@ def exact_spans(text: str) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def secret_spans(text: str, spans: list[Span]) -> list[Span]:
+    """Secrets of known forms that touch none of ``spans``."""
+    found = [m.span() for m in _KEYS.finditer(text)] if any(h in text for h in _KEY_HINTS) else []
+    for m in _SECRET_HINT.finditer(text):
+        value = _ASSIGNED.match(text, m.end())
+        if value and any(c.isdigit() for c in value[1]):
+            found.append(value.span(1))
+    taken = sorted((s, e) for _, s, e in spans)
+    out, k, done = [], 0, 0
+    for start, end in sorted(set(found)):
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if start >= done and not (k < len(taken) and taken[k][0] < end):
+            out.append(("secret", start, end))
+            done = end
+    return out
+
+
 def shape(instance: str) -> str:
     """Letters become a, digits 9, runs are written once."""
     out = []
-    for c in instance[:64]:
+    for c in instance:
         c = "9" if c.isdigit() else "a" if c.isalpha() else c
         if not out or out[-1] != c:
             out.append(c)
     return "".join(out)
 
 
-def _before(text: str, start: int) -> str:
-    """The two words before ``start``, in lower case, digits masked; a longer stretch than 80 characters is no word."""
-    return " ".join(re.sub(r"[0-9]+", "9", text[max(0, start - 80) : start].lower()).split()[-2:])
+def form(instance: str) -> str:
+    """The kinds of signs in the instance, whatever their order, and its length."""
+    kinds = {"9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in instance}
+    return f"{''.join(sorted(kinds))}{len(instance)}"
+
+
+def _word_before(text: str, at: int) -> tuple[int, int]:
+    """The bounds of the last word that ends at or before ``at``."""
+    while at and text[at - 1] in _BLANKS:
+        at -= 1
+    end = at
+    while at and text[at - 1] not in _BLANKS:
+        at -= 1
+    return at, end
+
+
+def _masked(word: str) -> str:
+    return re.sub(r"[0-9]+", "9", word.lower())
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of the instance at ``start .. end``."""
+    entity = text[start:end]
+    one, two = _word_before(text, start), (0, 0)
+    if one[1] > one[0]:
+        two = _word_before(text, one[0])
+    near, far = (_masked(text[s:e]) for s, e in (one, two))
+    out = [f"before\n{far} {near}\n{shape(entity)}"] if near else []
+    cut = max(entity.rfind("="), entity.rfind(":")) + 1
+    if cut and cut < len(entity):
+        out.append(f"lead\n{entity[:cut].lower()}\n{form(entity[cut:])}")
+    lead = text[one[0] : start] if start and text[start - 1] not in _BLANKS else ""
+    sign = (lead or near).rstrip("\"'")
+    if sign[-1:] in ("=", ":"):
+        out.append(f"lead\n{sign.lower() if lead else f'{far} {sign}'}\n{form(entity)}")
+    return out
 
 
 def _other_words(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
@@ -124,17 +185,19 @@ def _other_words(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
 
 
 def occurrences(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, bool]]:
-    """``start, end, pattern, instance, seed`` of every seed and other word that has a word before it."""
+    """``start, end, pattern, instance, seed`` of every seed and other word, once for each pattern around it."""
     out = []
     for start, end, seed in [(s, e, True) for _, s, e in spans] + [(s, e, False) for s, e in _other_words(text, spans)]:
-        context = _before(text, start)
-        if context:
-            entity = text[start:end]
-            digests = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in (f"{context}\n{shape(entity)}", entity)]
-            out.append((start, end, *(d - (d >> 63 << 64) for d in digests), seed))
+        instance = _digest(text[start:end])
+        out += [(start, end, _digest(p), instance, seed) for p in patterns(text, start, end)]
     return out
 
 
+def _digest(x: str) -> int:
+    d = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
+    return d - (d >> 63 << 64)
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_())]))
 SPANS_TYPE = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -142,13 +205,16 @@ SPANS_TYPE = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        spans, seen = [], []
+        spans, secrets, seen = [], [], []
         for text in batch.column("text").to_pylist():
             found = exact_spans(text or "")
-            spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-            seen.append([dict(zip(("start", "end", "pattern", "instance", "seed"), o, strict=True)) for o in occurrences(text or "", found)])
+            known = secret_spans(text or "", found)
+            for out, some in ((spans, found), (secrets, known)):
+                out.append([{"kind": k, "start": s, "end": e} for k, s, e in some])
+            both = sorted(found + known, key=lambda s: s[1])
+            seen.append([dict(zip(("start", "end", "pattern", "instance", "seed"), o, strict=True)) for o in occurrences(text or "", both)])
         rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [pa.array(spans, _SPANS), pa.array(seen, _SEEN)], names=[batch.schema.names[i] for i in rest] + ["spans", "seen"])
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [pa.array(spans, _SPANS), pa.array(secrets, _SPANS), pa.array(seen, _SEEN)], names=[batch.schema.names[i] for i in rest] + ["spans", "secrets", "seen"])
 
 
 def confident_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -168,18 +234,19 @@ def confident_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def find(documents: DataFrame, keep: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
-    """One row a document: ``doc_id``, exact ``spans``, ``found`` spans; ``keep`` names columns carried as ``kept_*``."""
+    """One row a document: ``doc_id``, exact ``spans``, secrets and ``found`` spans in ``found``; ``keep`` names columns carried as ``kept_*``."""
     kinds = "".join(f", kept_{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
     rows = documents.select("doc_id", "text", *[F.col(c).alias(f"kept_{c}") for c in keep])
     kind = documents.schema["doc_id"].dataType.simpleString()
     seen_type = "array<struct<start:bigint,end:bigint,pattern:bigint,instance:bigint,seed:boolean>>"
-    scanned = rows.mapInArrow(_scanned, f"doc_id {kind}{kinds}, spans {SPANS_TYPE}, seen {seen_type}")
+    scanned = rows.mapInArrow(_scanned, f"doc_id {kind}{kinds}, spans {SPANS_TYPE}, secrets {SPANS_TYPE}, seen {seen_type}")
     scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "pii-scanned")
     seen = scanned.where(F.size("seen") > 0).select("row", F.explode("seen").alias("o")).select("row", "o.*")
     good = confident_patterns(seen.select("pattern", "instance", "seed"), rounds)
-    found = seen.where(~F.col("seed")).join(good, "pattern").groupBy("row").agg(F.collect_list(F.struct(F.lit("found").alias("kind"), "start", "end")).alias("found"))
+    found = seen.where(~F.col("seed")).join(good, "pattern").groupBy("row").agg(F.collect_set(F.struct(F.lit("found").alias("kind"), "start", "end")).alias("found"))
     none = F.expr(f"cast(array() as {SPANS_TYPE})")
-    return scanned.drop("seen").join(found, "row", "left").withColumn("found", F.coalesce("found", none)).drop("row")
+    rows = scanned.drop("seen").join(found, "row", "left")
+    return rows.withColumn("found", F.concat("secrets", F.coalesce("found", none))).drop("row", "secrets")
 
 
 def joined(spans: Column) -> Column:
