@@ -29,12 +29,12 @@ SYMBOLS = "#*$%&|<>"
 RUN = 8
 #: For each ratio: its count, its whole, and the share of a group's documents that is trusted.
 METRICS = {
-    "symbol_ratio": ("n_symbols", "word_chars", 0.85), "capital_ratio": ("n_capitals", "word_chars", 0.98), "line_ratio": ("n_dup_lines", "n_lines", 0.98),
-    "stutter_ratio": ("n_stutters", "n_words", 0.9), "repeat_ratio": ("n_repeat_words", "n_words", 0.98),
+    "symbol_ratio": ("n_symbols", "word_chars", 0.8), "capital_ratio": ("n_capitals", "word_chars", 0.98), "line_ratio": ("n_dup_lines", "n_lines", 0.98),
+    "stutter_ratio": ("n_stutters", "n_words", 0.9), "repeat_ratio": ("n_repeat_words", "n_words", 0.99),
 }
 SPREAD = 1.0
 NOISE = 3.0
-PRIOR = 100.0
+PRIOR = 25.0
 MIN_WORDS = 20
 MAX_REPEAT = 30
 
