@@ -6,10 +6,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerline.llm import ctw, mixing, packing, pii, quality, resemblance, simhash, sstable, substring, tokens
@@ -200,45 +202,123 @@ def test_quality_sketch_is_order_free_and_adapts(spark):
     assert all(one[r[0]] for r in noisy), "where symbols are the rule, the fence follows"
 
 
+def bucket(v):
+    return v - v % (1 << max(0, v.bit_length() - 5))
+
+
+def judged_by_hand(rows, prior=25.0):
+    """Sketches as counters, shrunk level by level, over the documents that pass the base rules."""
+    more = []
+    for d, text, lang, source, _ in rows:
+        n_words, chars, symbols, dup, repeats = measures(text)
+        w, lines = (text or "").encode().split(), [x for x in (text or "").split("\n") if x.strip(" \t\v\f\r")]
+        capitals, stutters = sum(c.isupper() for c in text or ""), sum(a == b for a, b in zip(w, w[1:], strict=False))
+        parts = {"symbol": (symbols, chars, 0.8), "capital": (capitals, chars, 0.98), "line": (dup, len(lines), 0.98), "stutter": (stutters, n_words, 0.9), "repeat": (repeats, n_words, 0.99)}
+        more.append((d, lang, source, n_words < 20 or 100 * repeats > 30 * n_words, parts))
+    good = [m for m in more if not m[3]]
+
+    def sketch(some, metric):
+        return Counter(bucket(1000 * m[4][metric][0] // max(1, m[4][metric][1])) for m in some)
+
+    def shrink(own, parent):
+        total = sum(parent.values())
+        return Counter({b: own[b] + prior * n / total for b, n in parent.items()})
+
+    def at(counts, q):
+        upto, total = 0.0, sum(counts.values())
+        for b in sorted(counts):
+            upto += counts[b]
+            if upto >= total * q - 1e-9:
+                return b
+
+    out = []
+    for d, lang, source, failed, parts in more:
+        kept = not failed
+        for metric, (n, whole, trusted) in parts.items():
+            alike = [m for m in good if m[1] == lang]
+            own = [m for m in alike if m[2] == source]
+            if own:
+                counts = shrink(sketch(own, metric), shrink(sketch(alike, metric), sketch(good, metric)))
+                expected = (2 * at(counts, trusted) - at(counts, 0.5)) * whole / 1000
+                kept &= n <= expected + 3 * math.sqrt(expected + 1)
+        out.append((d, failed, kept))
+    return out
+
+
+def test_quality_against_brute_force(spark, docs, rows):
+    rng = random.Random(8)
+    more = []
+    for i in range(300):
+        lang, source = rng.choice(["en", "de"]), rng.choice(["a", "b", "c", "d"])
+        w = [rng.choice(["Alpha", "beta", "GAMMA", "x#", "y", "tail\n"]) if rng.random() < {"a": 0.02, "b": 0.3}.get(source, 0.1) else f"v{rng.randrange(500)}" for _ in range(rng.randint(15, 90))]
+        more.append((1000 + i, " ".join(w) + (" #$%" * 30 if rng.random() < 0.06 else ""), lang, source, 0))
+    both = rows + more
+    got = quality.judge(spark.createDataFrame(both, docs.schema).repartition(3)).select("doc_id", "base_failed", "kept").collect()
+    want = judged_by_hand(both)
+    assert 5 < sum(not k and not f for _, f, k in want) < 200
+    assert ordered(map(tuple, got)) == ordered(want)
+    limits = quality.fences(quality.measures(spark.createDataFrame(both, docs.schema))).where("metric = 'capital_ratio'").select("fence").distinct().count()
+    assert limits > 2, "thresholds differ between groups"
+
+
 def test_quality_keep_good(docs, clashing):
     kept = quality.keep_good(clashing)
     assert kept.columns == clashing.columns
     assert ordered((r.doc_id, r.text) for r in kept.collect()) == ordered((r.doc_id, r.kept_text) for r in quality.judge(docs, keep=("text",)).where("kept").collect())
 
 
+@lru_cache
+def plain_library(name):
+    """The library's object as the file gives it, apart from the one in the encoder."""
+    return Tokenizer.from_file(tokens.vocabulary(name))
+
+
 def library_ids(name, text):
-    t = tokens.encoder(tokens.vocabulary(name), True).library
-    return t.encode(text or "", add_special_tokens=False).ids
+    return plain_library(name).encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_library(rows):
-    extra = ["", " ", "\n", " a", "a ", "  a  b ", "a\n\n b", "x\ty  z", "ÀÉ é ", "don't we'll 12345", "<|endoftext|> hi", "KK İ x .. ", ".a ,b c.,.", "가 ½ a b", "\x1c a", "a" * 5000]
+    extra = ["", " ", "\n", " a", "a ", "  a  b ", "a\n\n b", "x\ty  z", "ÀÉ é ", "don't we'll 12345", "<|endoftext|> hi", "a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|>", "KK İ x .. ", ".a ,b c.,.", "가 ½ a b", "\x1c a", "a" * 5000]
     for name, blanks in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         encoder = tokens.Encoder(tokens.vocabulary(name), blanks)
         for text in [r[1] or "" for r in rows] + extra:
-            assert encoder.encode(text).tolist() == encoder.library.encode(text, add_special_tokens=False).ids, text[:40]
+            assert encoder.encode(text).tolist() == library_ids(name, text), text[:40]
 
 
 def test_encoder_survives_a_full_table(monkeypatch, rows):
     monkeypatch.setattr(tokens, "KEPT_WORDS", 50)
     encoder = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"), False)
     for r in rows * 3:
-        assert encoder.encode(r[1] or "").tolist() == encoder.library.encode(r[1] or "", add_special_tokens=False).ids
+        assert encoder.encode(r[1] or "").tolist() == library_ids("word_bpe_49k.json", r[1])
         assert len(encoder.place) <= 50 + 1000
 
 
-def test_token_shards(spark, docs, rows):
+def text_mark(text):
+    """The order of rows with one doc_id: Spark's xxhash64, where null gives the seed."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (h >> 63 << 64)
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 26, 3000])
+def test_token_shards(spark, docs, rows, shard_bytes):
     path = sstable.shard_path(spark)
-    sstable.write_shards(docs, path, sstable.default_tokenizer())
+    sstable.write_shards(docs, path, sstable.default_tokenizer(), shard_bytes=shard_bytes)
     at, want = 0, []
-    for d, text, *_ in sorted(rows, key=lambda r: (sid(r[0]), r[1] is not None, (r[1] or "").encode())):
+    for d, text, *_ in sorted(rows, key=lambda r: (sid(r[0]), text_mark(r[1]))):
         ids = [*library_ids("byte_bpe_50k.json", text), 0]
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert ordered(sstable.read_digests(spark, path).collect()) == ordered(want)
-    found = {r.doc_id: r.ids for r in sstable.lookup(spark, path, [7, 133, 99999]).collect()}
-    assert set(found) == {7, 133}
-    assert found[133] == [*library_ids("byte_bpe_50k.json", "one"), 0]
+    found = sstable.lookup(spark, path, [7, 133, 99999, -5, 139, None]).collect()
+    assert Counter(r.doc_id for r in found) == {7: 1, 133: 1, 139: 3, None: 2}
+    assert {tuple(r.ids) for r in found if r.doc_id == 133} == {(*library_ids("byte_bpe_50k.json", "one"), 0)}
+
+
+def test_wide_ids_keep_their_value(spark, docs, rows):
+    path = sstable.shard_path(spark)
+    sstable.write_shards(docs, path, sstable.default_tokenizer(), end=70_000, width=4)
+    assert sstable.lookup(spark, path, [133]).first().ids == [*library_ids("byte_bpe_50k.json", "one"), 70_000]
+    assert tokens.id_bytes(sstable.default_tokenizer()) == 2
 
 
 def test_shard_blocks_and_bloom():
@@ -247,16 +327,20 @@ def test_shard_blocks_and_bloom():
     for k, v in ids.items():
         blocks.append(writer.add(sstable.key_of(k - 2000), v))
     content = b"".join(b + b"\n" for b in [*filter(None, blocks), *writer.finish()])
-    shard = sstable.Shard(content)
-    assert len(shard.blocks) > 5 and shard.documents == len(ids)
+    asked = []
+    shard = sstable.Shard(lambda at, size: asked.append(size) or content[at : at + size], len(content))
+    assert len(shard.blocks()[0]) > 5 and shard.documents == len(ids) and (shard.first, shard.last) == (sstable.key_of(-2000), sstable.key_of(1998))
     assert [d for d, _ in shard.scan()] == [k - 2000 for k in ids]
     assert all(np.array_equal(shard.get(k - 2000)[0], v) for k, v in ids.items())
     assert not any(shard.get(k - 1999) for k in ids)
+    asked.clear()
+    shard.get(0)
+    assert sum(asked) < len(content) / 3, "a lookup reads ranges, not the shard"
 
 
 def test_packing(docs, rows):
     got = packing.pack(docs).collect()
-    want = Counter((r[0], tuple([*tokens.encoder(tokens.vocabulary("word_bpe_49k.json"), False).library.encode(r[1] or "", add_special_tokens=False).ids, 1])) for r in rows)
+    want = Counter((r[0], tuple([*library_ids("word_bpe_49k.json", r[1]), 1])) for r in rows)
     by_doc, by_sequence = {}, {}
     for p in got:
         ids = np.frombuffer(p.ids, "<u4").tolist()
@@ -310,19 +394,48 @@ def mixed_targets(sizes):
         capped.update({s: 2.0 * sizes[s] for s in over})
 
 
-def test_mixing(docs, rows):
+def highest_quotients(votes, most, blocks):
+    """Sainte-Laguë by definition: one block at a time to the highest votes / (2 k + 1); ties by key."""
+    won = Counter()
+    for _ in range(blocks):
+        best = max((k for k in votes if won[k] < most[k]), key=lambda k: (votes[k] / (2 * won[k] + 1), *(-x for x in k)))
+        won[best] += 1
+    return won
+
+
+def test_sainte_lague_by_definition(spark):
+    rng = random.Random(4)
+    for blocks in (0, 1, 2, 17, 300):
+        parties = {(s, h): rng.choice([0.5, 3.0, 3.0, 3.0, 40.0, rng.uniform(1, 900)]) for s in range(5) for h in range(4)}
+        most = {k: rng.choice([1, 40, 1000]) for k in parties}
+        if blocks == 300:
+            most = dict.fromkeys(parties, 1000)
+        df = spark.createDataFrame([(s, h, v, most[s, h]) for (s, h), v in parties.items()], "source long, shard long, votes double, most long")
+        got = {(r.source, r.shard): r.quota for r in mixing.sainte_lague(df, blocks).collect()}
+        assert got == {k: highest_quotients(parties, most, blocks)[k] for k in parties}
+
+
+@pytest.mark.parametrize("shard_words", [mixing.SHARD_WORDS, 900])
+def test_mixing(docs, rows, shard_words):
     sizes = Counter()
     for r in rows:
         sizes[r[3]] += len(words(r[1]))
     targets = mixed_targets(sizes)
-    got = mixing.apportion(docs).collect()
-    again = mixing.apportion(docs.repartition(5)).collect()
+    got = mixing.apportion(docs, shard_words=shard_words).collect()
+    again = mixing.apportion(docs.repartition(5), shard_words=shard_words).collect()
     assert ordered((g.doc_id, g["size"], g.taken) for g in got) == ordered((g.doc_id, g["size"], g.taken) for g in again)
-    taken = Counter()
+    shards, quota, taken = Counter(), {}, Counter()
     for g in got:
         assert 0 <= g.taken <= 2 * g["size"] and math.isclose(g.target, targets[g.source]) and g.source_size == sizes[g.source]
         taken[g.source] += g.taken
-    assert all(abs(taken[s] - targets[s]) <= 24 for s in targets)
+        shards[g.source, g.shard] += g["size"]
+        quota[g.source, g.shard] = g.quota
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    votes = {(names.index(s), h): targets[s] * n / sizes[s] for (s, h), n in shards.items() if n}
+    most = {(names.index(s), h): 2 * -(-n // 16) for (s, h), n in shards.items() if n}
+    want = highest_quotients(votes, most, math.floor(sum(votes.values()) / 16 + 0.5))
+    assert {(names.index(s), h): q for (s, h), q in quota.items() if q} == {k: q for k, q in want.items() if q}
+    assert all(abs(taken[s] - targets[s]) <= 24 * sum(1 for k in shards if k[0] == s) for s in targets)
 
 
 def test_mixed_documents_match_the_plan(docs):
@@ -371,6 +484,16 @@ def test_pii_bootstraps_contexts(spark):
     assert clean[20] == "my card number is [FOUND] thanks" and clean[0] == "some text w0 write to [EMAIL] now" and clean[22] is None
 
 
+def test_pii_secrets_and_leads(spark):
+    rows = [(i, f"w{i} login pin=AKIA{'ABCDEFGH'[i]}{'Q' * 13}7{i} and more") for i in range(5)] + [(10, "w login pin=ZZZZABCDEFGHIJKLMN42 and more")]
+    rows += [(20, 'the token = "0641917ea4e9feb9" x'), (21, "password=b7db7aa4a5 y"), (22, "password=short tokens are fine"), (23, "a" * 200 + " " + "b" * 200 + "1")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == [("secret", 13, 33)] and got[20] == [("secret", 13, 29)] and got[21] == [("secret", 9, 19)] and got[22] == got[23] == []
+    assert got[10] == [("found", 8, 32)] or got[10] == [("found", 12, 32)], "an unseen identifier behind a learned lead"
+    long = "x" * 90
+    assert pii.patterns(f"{long}1 {long}2 1a1", 184, 187) != pii.patterns(f"{long}1 {long}3b 1a1", 185, 188), "contexts are whole"
+
+
 def test_context_tree_scores(docs, rows):
     train = Counter()
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0
@@ -379,26 +502,77 @@ def test_context_tree_scores(docs, rows):
         if not held(r[0]):
             train.update(toks(r[1]))
     n, v = sum(train.values()), len(train)
+    want = ordered((r[0], held(r[0]), len(toks(r[1])), sum(train[t] > 0 for t in toks(r[1])), n, round(sum(math.log10((train[t] + 0.1) / (n + 0.1 * (v + 1))) for t in toks(r[1])), 6)) for r in rows)
     for head in (1 << 18, 10):
-        want = ordered((r[0], held(r[0]), len(toks(r[1])), sum(train[t] > 0 for t in toks(r[1])), n, round(sum(math.log10((train[t] + 0.1) / (n + 0.1 * (v + 1))) for t in toks(r[1])), 6)) for r in rows)
         got = ctw.score(docs, head=head).collect()
         assert ordered((g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 6)) for g in got) == want
-        assert all(g.score < 0 for g in got)
-
-
-def test_context_tree_is_a_distribution_and_mixes():
-    text = b"the cat sat on the mat\n" * 20 + b"a dog\n"
-    counts = []
-    keys, _ = ctw._strings([text], 3)
-    for d in range(4):
-        k, n = np.unique(keys & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True)
-        counts.append((k, n.astype(float)))
-    model = ctw.Model(counts)
-    for context in (b"the", b"zzz", b"\n\n\n", b" ca"):
-        base = np.uint64(int.from_bytes(context, "big") << 8)
-        assert math.isclose((10 ** model.tree.log10(base | np.arange(256, dtype=np.uint64))).sum(), 1, rel_tol=1e-5)
-    seen, unseen = model.score([b"the cat sat\n", b"xqz vvk jjw\n"])
-    assert seen > -8 and unseen < seen
+
+
+def code_lengths_by_recursion(rows, depth):
+    """Log10 of each text's chance by the recursion of the definition, one node at a time."""
+    line = lambda t: b"\n" * depth + b" ".join((t or "").encode().lower().split()) + b"\n"
+    counts, deeper = Counter(), {}
+    for d, text in rows:
+        if zlib.crc32(b"" if d is None else str(d).encode()) % 10:
+            x = line(text)
+            for i in range(depth, len(x)):
+                for k in range(8):
+                    node = 1 << k | x[i] >> (8 - k)
+                    for c in range(depth + 1):
+                        counts[x[i - c : i], node, x[i] >> (7 - k) & 1] += 1
+                        if c:
+                            deeper.setdefault((x[i - c + 1 : i], node), set()).add(x[i - c : i])
+
+    def estimate(context, node):
+        a, b = counts[context, node, 0], counts[context, node, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @lru_cache(None)
+    def weighted(context, node):
+        own = estimate(context, node)
+        if len(context) == depth:
+            return own
+        below = sum(weighted(k, node) for k in deeper[context, node])
+        return max(own, below) + math.log1p(math.exp(-abs(own - below))) - math.log(2)
+
+    def chance(context, size, node, bit):
+        near = context[depth - size :]
+        a, b = counts[near, node, 0], counts[near, node, 1]
+        if a + b == 0:
+            return None
+        own, below = ((b if bit else a) + 0.5) / (a + b + 1), chance(context, size + 1, node, bit) if size < depth else None
+        w = 1.0 if below is None else math.exp(estimate(near, node) - math.log(2) - weighted(near, node))
+        return w * own + (1 - w) * (below or 0.0)
+
+    out = []
+    for d, text in rows:
+        x = line(text)
+        bits = [chance(x[i - depth : i], 0, 1 << k | x[i] >> (8 - k), x[i] >> (7 - k) & 1) for i in range(depth, len(x)) for k in range(8)]
+        out.append((d, sum(math.log10(0.5 if p is None else p) for p in bits)))
+    return out
+
+
+@pytest.mark.parametrize("depth,cut,head", [(5, 3, 1 << 19), (5, 3, 40), (3, 3, 0), (4, 1, 100), (2, 2, 5)])
+def test_context_tree_against_recursion(spark, monkeypatch, depth, cut, head):
+    monkeypatch.setattr(ctw, "STEP", 50)
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["the", "Cat", "sat", "ñandú", "日本", "a", "on"]) for _ in range(rng.randint(0, 30)))) for i in range(50)] + [(None, None), (7, "x" * 300), (7, "x" * 300), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ordered((r.doc_id, r.score) for r in ctw.score(df, depth=depth, cut=cut, head=head).collect())
+    want = ordered(code_lengths_by_recursion(rows, depth))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert max(abs(g[1] - w[1]) for g, w in zip(got, want, strict=True)) < 1e-4
+
+
+def test_context_tree_is_a_distribution(spark):
+    text = ("the cat sat on the mat\n" * 20).encode()
+    keys, counts = np.unique(ctw._strings([text], 3)[0], return_counts=True)
+    every = [int.from_bytes(c, "big") << 8 | b for c in (b"the", b"zzz", b"\n\n\n", b" ca") for b in range(256)]
+    rows = [(int(k), int(n)) for k, n in zip(keys, counts, strict=True)] + [(k, 0) for k in every]
+    df = spark.createDataFrame(rows, "key long, n long").groupBy("key").sum("n").withColumnRenamed("sum(n)", "n")
+    logs = {r.key: r.log for r in ctw.code_lengths(df, depth=3).collect()}
+    for at in range(0, len(every), 256):
+        assert math.isclose(sum(10 ** logs[k] for k in every[at : at + 256]), 1, rel_tol=1e-5)
     assert np.allclose(ctw.kt_log(np.array([0.0, 2, 1]), np.array([0.0, 0, 1])), np.log([1, 3 / 8, 1 / 8]))
 
 

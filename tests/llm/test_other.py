@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,9 +97,26 @@ def test_embedding_dedup(spark, tile):
     assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
     assert np.mean([got[i].component_id == part[i] for i in range(len(v))]) > 0.95
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(9001, 9007))
+    sized = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1e-200, 0.0, 0.0]), (4, [1e200, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [0.0, 5e-324]), (7, [0.0, 1.0])]
+    both = df.select("vec_id", "embedding").unionByName(spark.createDataFrame(sized, "vec_id long, embedding array<double>").withColumn("vec_id", F.col("vec_id") + 10_000))
+    parts = {r.vec_id - 10_000: (r.n_links, r.component_id - 10_000) for r in embeddings.near_duplicates(both, tile=tile).where("vec_id > 10000").collect()}
+    assert parts == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (1, 6), 7: (1, 6)}, "lengths and magnitudes"
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_rare_near_vectors_are_found(spark):
+    """30 pairs at cosine 0.9 to 0.95 among 20,000 vectors: the sample shows next to no link."""
+    rng = np.random.default_rng(2)
+    v = embeddings.unit(rng.normal(size=(20_000, 64)))
+    away = rng.normal(size=(30, 64))
+    away -= (away * v[:30]).sum(1, keepdims=True) * v[:30]
+    cosine = rng.uniform(0.9, 0.95, (30, 1))
+    v = np.concatenate([v, cosine * v[:30] + np.sqrt(1 - cosine**2) * embeddings.unit(away)])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.array(list(v))})).repartition(4)
+    linked = {r.vec_id for r in embeddings.near_duplicates(df).where("n_links > 0").collect()}
+    assert len(linked) >= 0.9 * 60
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(0)
     index = embeddings.MultiIndex(embeddings.unit(rng.normal(size=(500, 8))), 3000, 0.9, 0.99)
