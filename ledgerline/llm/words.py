@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: A word is a run of bytes other than space and the controls 9 to 13; ``bytes.split`` cuts at these six bytes too.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,3 +45,64 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit reaches every output bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+_LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+#: Longer words are hashed one by one.
+LONG_WORD = 128
+
+
+class Words:
+    """The words of some documents as hashes, with each document's first word and number of words.
+
+    A word's hash passes its bytes eight at a time through the finaliser, so that it is no sum of its bytes.
+    """
+
+    def __init__(self, docs: list[bytes], hashes: int = 1):
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        data = b"\n".join(docs) + b"\n" + bytes(8)
+        text = np.frombuffer(data, np.uint8)[:-8]
+        blank = _BLANK[text]
+        edge = np.diff(np.concatenate(([True], blank)).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        begins = np.cumsum(sizes + 1) - (sizes + 1)
+        self.first = np.searchsorted(starts, begins)
+        self.count = np.diff(np.append(self.first, len(starts)))
+        self.total = len(starts)
+        eight = np.ndarray((len(text),), "<u8", data, strides=(1,))
+        lengths = ends - starts
+        self.hashes = [lengths.astype(np.uint64) * k for k in _LANES[:hashes]]
+        at, left, short = np.flatnonzero(lengths <= LONG_WORD), 0, None
+        while len(at):
+            lane = eight[starts[at] + left]
+            short = lengths[at] - left
+            lane = np.where(short < 8, lane & ((np.uint64(1) << (np.uint64(8) * np.minimum(short, 7).astype(np.uint64))) - np.uint64(1)), lane)
+            for h, k in zip(self.hashes, _LANES, strict=False):
+                h[at] = mixed((h[at] ^ lane) * k + k)
+            left += 8
+            at = at[short > 8]
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            word = data[starts[i] : ends[i]]
+            for seed, h in enumerate(self.hashes):
+                h[i] = xxhash.xxh64_intdigest(word, seed)
+
+
+def pieces(docs: list[bytes], chunk: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about ``chunk`` bytes together; a longer document is a range of its own."""
+    at, size = 0, 0
+    for i, d in enumerate(docs):
+        if size and size + len(d) > chunk:
+            yield at, i
+            at, size = i, 0
+        size += len(d)
+    if at < len(docs):
+        yield at, len(docs)
