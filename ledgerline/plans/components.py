@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.plans.scratch import materialize
+from ledgerline.plans.scratch import materialize, release
 
 
 def _edge_state(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
         large = materialize(large, name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        now = materialize(small.where("u > v").distinct(), name)
+        before, now = now, materialize(small.where("u > v").distinct(), name)
+        release(before, large)
         after = _edge_state(now)
         if after == state:
             break
