@@ -12,24 +12,37 @@ LEAST_DELAY_HOURS, MOST_AGE_DAYS, LEAST_SOURCES, LEAST_UNCERTAINTY_KM = 24, 7, 2
 CLUSTER_HOURS, ROUND_MINUTES = 6, 15
 
 
-def first_anchored(rows: DataFrame, keys: list[str], time: str, hours: float) -> DataFrame:
-    """Cluster numbers where a cluster ends ``hours`` after its first row: a fold over each key's sorted distinct times.
+def _pieces(rows: DataFrame, keys: list[str], time: str, width: int) -> DataFrame:
+    """Distinct times ``_t`` of each key with the number ``_piece`` of the stretch without a gap wider than ``width``."""
+    times = rows.select(*keys, F.unix_micros(time).alias("_t")).distinct()
+    order = Window.partitionBy(*keys).orderBy("_t")
+    opens = F.coalesce((F.col("_t") - F.lag("_t").over(order) > width).cast("int"), F.lit(0))
+    return times.withColumn("_opens", opens).withColumn("_piece", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
 
-    Distinct times of a key are gathered, not its rows; the clusters are joined back on key and time.
+def _anchors(pieces: DataFrame, keys: list[str], width: int, at_width: bool) -> DataFrame:
+    """The times that open a cluster: the first of a piece, then each first one ``width`` or more after the last opened.
+
+    The fold passes over the times of one piece and keeps the openings alone.
     """
-    width = int(hours * 3_600_000_000)
-    times = rows.select(*keys, F.unix_micros(time).alias("_t")).distinct()
-    sorted_times = times.groupBy(*keys).agg(F.array_sort(F.collect_list("_t")).alias("ts"))
-    empty = F.struct(F.lit(-(1 << 62)).alias("first"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<_t:bigint,cluster:int>>)").alias("done"))
+    sorted_times = pieces.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list("_t")).alias("ts"))
+    empty = F.struct(F.lit(-(1 << 62)).alias("last"), F.expr("cast(array() as array<bigint>)").alias("kept"))
+    far = (lambda a, t: t - a["last"] >= width) if at_width else (lambda a, t: t - a["last"] > width)
+    fold = F.aggregate("ts", empty, lambda a, t: F.when(far(a, t), F.struct(t.alias("last"), F.concat(a["kept"], F.array(t)).alias("kept"))).otherwise(a), lambda a: a["kept"])
+    return sorted_times.select(*keys, F.explode(fold).alias("_t"))
+
 
-    def step(acc: Column, t: Column) -> Column:
-        opens = t - acc["first"] > width
-        n = F.when(opens, acc["n"] + 1).otherwise(acc["n"])
-        first = F.when(opens, t).otherwise(acc["first"])
-        return F.struct(first.alias("first"), n.alias("n"), F.concat(acc["done"], F.array(F.struct(t.alias("_t"), n.alias("cluster")))).alias("done"))
+def first_anchored(rows: DataFrame, keys: list[str], time: str, hours: float) -> DataFrame:
+    """Cluster numbers where a cluster ends ``hours`` after its first row.
 
-    folded = sorted_times.select(*keys, F.explode(F.aggregate("ts", empty, step, lambda acc: acc["done"])).alias("c")).select(*keys, "c._t", "c.cluster")
-    return rows.withColumn("_t", F.unix_micros(time)).join(folded, [*keys, "_t"]).drop("_t")
+    A gap wider than that always opens a cluster, so each key's times are cut there and only the stretches are folded.
+    """
+    width = int(hours * 3_600_000_000)
+    pieces = _pieces(rows, keys, time, width)
+    opened = _anchors(pieces, keys, width, False).withColumn("_opens", F.lit(1))
+    order = Window.partitionBy(*keys).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    numbers = pieces.join(opened, [*keys, "_t"], "left").withColumn("cluster", F.sum(F.coalesce("_opens", F.lit(0))).over(order).cast("int")).select(*keys, "_t", "cluster")
+    return rows.withColumn("_t", F.unix_micros(time)).join(numbers, [*keys, "_t"]).drop("_t")
 
 
 def project(evidence: DataFrame, now: Column, delay_hours: int = LEAST_DELAY_HOURS, sources: int = LEAST_SOURCES) -> DataFrame:
@@ -67,7 +80,4 @@ def roll_up(evidence: DataFrame, now: Column, half_life_hours: float = 6) -> Dat
 def thin(rows: DataFrame, key: str, time: str, minutes: float) -> DataFrame:
     """Times kept when each must lie at least so many minutes after the last kept one of its key."""
     width = int(minutes * 60_000_000)
-    times = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.unix_micros(time))).alias("ts"))
-    empty = F.struct(F.lit(-(1 << 62)).alias("last"), F.expr("cast(array() as array<bigint>)").alias("kept"))
-    fold = F.aggregate("ts", empty, lambda a, t: F.when(t - a["last"] >= width, F.struct(t.alias("last"), F.concat(a["kept"], F.array(t)).alias("kept"))).otherwise(a), lambda a: a["kept"])
-    return times.select(key, F.explode(fold).alias("kept_at"))
+    return _anchors(_pieces(rows, [key], time, width - 1), [key], width, True).select(key, F.col("_t").alias("kept_at"))

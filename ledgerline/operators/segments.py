@@ -36,9 +36,13 @@ def last_of_key(segments: DataFrame, keep: int = 200) -> DataFrame:
 def segment_stats(segments: DataFrame, keys: list[str] | None = None, keep: int = 200) -> DataFrame:
     """Mean, population variance and nearest-rank percentiles of the last travel times of each key."""
     keys = keys or ["train", "from_station", "to_station"]
-    rows = last_of_key(plausible(segments), keep).withColumn("minutes", F.round("minutes", 2))
+    rows = last_of_key(plausible(segments), keep).withColumn("minutes", F.round("minutes", 2)).withColumn("_h", F.round(F.col("minutes") * 100).cast("long"))
     ranks = nearest_rank(rows, keys, "minutes", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    moments = rows.groupBy(*keys).agg(F.round(F.avg("minutes"), 3).alias("mean_minutes"), F.round(F.var_pop("minutes"), 2).alias("variance_minutes"))
+    # sums of whole hundredths and of their squares, rounded once, do not depend on the order of the rows
+    sums = {"_n": F.count("*"), "_s": F.sum("_h"), "_q": F.sum(F.col("_h") * F.col("_h"))}
+    moments = rows.groupBy(*keys).agg(*[v.cast("decimal(18,0)").alias(k) for k, v in sums.items()])
+    mean, variance = F.expr("(20 * _s + _n) div (2 * _n)") / 1000, F.expr("(2 * (_n * _q - _s * _s) + 100 * _n * _n) div (200 * _n * _n)") / 100
+    moments = moments.select(*keys, mean.alias("mean_minutes"), variance.alias("variance_minutes"))
     return moments.join(ranks.withColumnRenamed("n", "sample_count"), keys)
 
 

@@ -106,12 +106,21 @@ def hypotheses(anchors: DataFrame, edges: DataFrame, now: Column, most: int = 3)
     ``anchors``: run_id, station, train, occurred_at, previous, fusion_reliability.  ``edges``: from_station, to_station,
     train, sample_count, p10, p50, p90.
     """
-    pairs = anchors.alias("a").join(edges.alias("e"), F.col("a.station") == F.col("e.from_station")).where("e.to_station <> a.station AND e.p50 > 0 AND e.p50 <= 1440")
+    edges = edges.where("to_station <> from_station AND p50 > 0 AND p50 <= 1440")
+    # what an edge of another train scores does not depend on the anchor but for one next station, so the best few to each
+    # next station are enough; the train's own edges join by train
+    base = F.log1p("sample_count") * 0.32 + clamp(F.log1p("sample_count") / F.log(F.lit(21.0))) * 0.8
+    few = Window.partitionBy("from_station", "to_station").orderBy(F.round(base, 9).desc(), "train")
+    common = edges.withColumn("_of", F.row_number().over(few)).where(F.col("_of") <= most + 1).drop("_of").alias("e")
+    here = F.col("a.station") == F.col("e.from_station")
+    others = anchors.alias("a").join(common, here & ~F.col("a.train").eqNullSafe(F.col("e.train")))
+    own = anchors.alias("a").join(edges.alias("e"), here & (F.col("a.train") == F.col("e.train")))
+    pairs = others.select("a.*", F.struct("e.*").alias("e")).unionByName(own.select("a.*", F.struct("e.*").alias("e"))).alias("a")
     family = (F.col("a.train") == F.col("e.train")).cast("double")
     reliability = clamp(F.log1p("e.sample_count") / F.log(F.lit(21.0)))
     back = F.coalesce(F.col("a.previous") == F.col("e.to_station"), F.lit(False)).cast("double")
     score = 0.35 + family * 1.4 + F.log1p("e.sample_count") * 0.32 + reliability * 0.8 - back * 0.9
-    rows = pairs.select("a.run_id", F.col("e.to_station").alias("to_station"), "a.occurred_at", "a.fusion_reliability", "e.p10", "e.p50", "e.p90", "e.sample_count", F.col("e.train").alias("family"), reliability.alias("edge_reliability"), score.alias("score"))
+    rows = pairs.select("run_id", F.col("e.to_station").alias("to_station"), "a.occurred_at", "a.fusion_reliability", "e.p10", "e.p50", "e.p90", "e.sample_count", F.col("e.train").alias("family"), reliability.alias("edge_reliability"), score.alias("score"))
     run = Window.partitionBy("run_id")
     order = run.orderBy(F.round("score", 9).desc(), "to_station", "family")
     rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

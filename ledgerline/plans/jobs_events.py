@@ -65,9 +65,11 @@ def e5(spark, sf):
     return fusion.merge_by_priority(ev(spark, sf), ["run_id", "station"], rank, [F.col("event_id").desc()]).select("run_id", "station", "event_id", "authority")
 
 
+_H = "round(m * 100)::HUGEINT"
+MOMENTS = f"((20 * sum({_H}) + count(*)) // (2 * count(*)))::DOUBLE / 1000 AS mean_minutes, ((2 * (count(*) * sum({_H} * {_H}) - sum({_H}) * sum({_H})) + 100 * count(*) * count(*)) // (200 * count(*) * count(*)))::DOUBLE / 100 AS variance_minutes"
 PLAUSIBLE = f"""{EV}, {SEG}, ok AS (SELECT *, round(minutes, 2) AS m FROM seg WHERE minutes > 1 AND minutes < 720)"""
 STATS = f"""{PLAUSIBLE}, kept AS (SELECT *, row_number() OVER (PARTITION BY train, from_station, to_station ORDER BY to_at DESC, event_id DESC) AS place FROM ok QUALIFY place <= 200),
-stats AS (SELECT train, from_station, to_station, round(avg(m), 3) AS mean_minutes, round(var_pop(m), 2) AS variance_minutes, count(*) AS sample_count,
+stats AS (SELECT train, from_station, to_station, {MOMENTS}, count(*) AS sample_count,
   list_sort(list(m))[(floor((count(*) - 1) * 0.1 + 0.5) + 1)::INTEGER] AS p10, list_sort(list(m))[(floor((count(*) - 1) * 0.5 + 0.5) + 1)::INTEGER] AS p50,
   list_sort(list(m))[(floor((count(*) - 1) * 0.9 + 0.5) + 1)::INTEGER] AS p90 FROM kept GROUP BY train, from_station, to_station)"""
 
@@ -78,7 +80,7 @@ def e6(spark, sf):
 
 
 @job("e6_segment_stats_all_trains", f"""WITH {PLAUSIBLE}, kept AS (SELECT *, row_number() OVER (PARTITION BY train, from_station, to_station ORDER BY to_at DESC, event_id DESC) AS place FROM ok QUALIFY place <= 200)
-SELECT from_station, to_station, round(avg(m), 3) AS mean_minutes, round(var_pop(m), 2) AS variance_minutes, count(*) AS sample_count,
+SELECT from_station, to_station, {MOMENTS}, count(*) AS sample_count,
   list_sort(list(m))[(floor((count(*) - 1) * 0.1 + 0.5) + 1)::INTEGER] AS p10, list_sort(list(m))[(floor((count(*) - 1) * 0.5 + 0.5) + 1)::INTEGER] AS p50,
   list_sort(list(m))[(floor((count(*) - 1) * 0.9 + 0.5) + 1)::INTEGER] AS p90 FROM kept GROUP BY from_station, to_station""")
 def e6_all(spark, sf):

@@ -124,7 +124,7 @@ def d23(spark, sf):
 
 
 LNC = "ln(1 + sample_count)"
-HYPOTHESES = f"""{STATS}, anc AS (SELECT run_id, station, train, occurred_at, lag(station) OVER w AS previous, reliability FROM ev WHERE service_date = '2024-01-15' AND occurred_at <= {TS} WINDOW w AS (PARTITION BY run_id ORDER BY occurred_at, event_id) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY occurred_at DESC, event_id DESC) = 1),
+HYPOTHESES = f"""{STATS}, anc AS (SELECT run_id, station, train, occurred_at, lag(station) OVER w AS previous, reliability FROM ev WHERE occurred_at <= {TS} WINDOW w AS (PARTITION BY run_id ORDER BY occurred_at, event_id) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY occurred_at DESC, event_id DESC) = 1),
 pr AS (SELECT a.run_id, e.to_station, a.occurred_at, a.reliability AS fr, p10, p50, p90, sample_count, e.train AS family, least(1.0, {LNC} / ln(21)) AS er,
   0.35 + (a.train = e.train)::INTEGER * 1.4 + {LNC} * 0.32 + least(1.0, {LNC} / ln(21)) * 0.8 - coalesce((a.previous = e.to_station)::INTEGER, 0) * 0.9 AS score FROM anc a JOIN stats e ON a.station = e.from_station WHERE e.to_station <> a.station AND p50 > 0 AND p50 <= 1440),
 rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(score, 9) DESC, to_station, family) AS place FROM pr QUALIFY place <= 3),
@@ -137,7 +137,7 @@ en AS (SELECT *, CASE WHEN n > 1 THEN -sum(probability * ln(greatest(probability
   round(least(300.0, greatest(3.0, (greatest(3.0, 60 * greatest(0.05, (p90 - p10) / greatest(p50, 1.0)) * 0.5) + age * 0.35 + (1 - probability) * 35) * (1 + entropy * 0.45))), 2) AS uncertainty_km,
   round(least(1.0, fr * er * probability * exp(-age / 150)), 6) AS confidence, CASE WHEN age > 180 THEN 'unknown' WHEN age > 90 THEN 'stale' ELSE 'estimated' END AS position, best < 0.58 OR (n > 1 AND best - second < 0.18) OR entropy > 0.78 AS ambiguous FROM en""")
 def m6(spark, sf):
-    e = ev(spark, sf).where("service_date = '2024-01-15'").where(F.col("occurred_at") <= now_at())
+    e = ev(spark, sf).where(F.col("occurred_at") <= now_at())
     order = Window.partitionBy("run_id").orderBy("occurred_at", "event_id")
     anchors = state.as_of(e.withColumn("previous", F.lag("station").over(order)), "run_id", now_at(), "occurred_at", "event_id").withColumn("fusion_reliability", F.col("reliability"))
     return state.hypotheses(anchors, segments.segment_stats(seg(spark, sf)), now_at())
@@ -164,8 +164,8 @@ def m1(spark, sf):
 
 
 LINK = f"""{SESSIONS}, runs AS (SELECT run_id, train AS number, service_date, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen, list(DISTINCT station) AS stations, arg_min(station, (occurred_at, event_id)) AS origin, arg_max(station, (occurred_at, event_id)) AS destination FROM ev GROUP BY ALL),
-obs AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN train END AS number, service_date, lag(station) OVER w AS origin, lead(station) OVER w AS destination, station, occurred_at, CASE event_id % 4 WHEN 0 THEN 'corroborated' WHEN 1 THEN 'conflict' ELSE 'single-source' END AS grade FROM ev WHERE event_id % 5 = 0 WINDOW w AS (PARTITION BY run_id ORDER BY occurred_at, event_id)),
-cand AS (SELECT o.*, r.run_id, r.service_date AS rdate, r.origin AS ro, r.destination AS rd, r.stations, r.last_seen FROM obs o JOIN runs r ON abs(date_diff('day', o.service_date::DATE, r.service_date::DATE)) <= 1 AND (o.number IS NULL OR o.number = r.number)),
+obs AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN train END AS number, service_date, lag(station) OVER w AS origin, lead(station) OVER w AS destination, station, occurred_at, CASE event_id % 4 WHEN 0 THEN 'corroborated' WHEN 1 THEN 'conflict' ELSE 'single-source' END AS grade FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY occurred_at, event_id)),
+cand AS (SELECT o.*, r.run_id, r.service_date AS rdate, r.origin AS ro, r.destination AS rd, r.stations, r.last_seen FROM obs o JOIN runs r ON abs(date_diff('day', o.service_date::DATE, r.service_date::DATE)) <= 1 AND (o.number = r.number OR o.number IS NULL AND list_contains(r.stations, o.station))),
 feat AS (SELECT *, coalesce(origin = ro AND destination = rd, false) AS same, coalesce(origin = rd AND destination = ro, false) AS opp, abs(epoch_us(occurred_at) - epoch_us(last_seen)) / 3.6e9 AS gap FROM cand),
 scored AS (SELECT *, least(1.0, greatest(0.0, round(CASE WHEN number IS NOT NULL THEN 0.42::DOUBLE ELSE 0 END + CASE WHEN service_date = rdate THEN 0.24 ELSE 0.08 END + CASE WHEN same THEN 0.2 WHEN opp THEN -0.18 ELSE 0 END + CASE WHEN list_contains(stations, station) THEN 0.12 ELSE -0.04 END
   + CASE WHEN gap <= 12 THEN 0.06 * (1 - gap / 12) ELSE 0 END + CASE grade WHEN 'corroborated' THEN 0.08 WHEN 'conflict' THEN -0.12 ELSE 0 END + 0.04, 4))) AS score FROM feat)"""
@@ -176,7 +176,7 @@ def _pairs(spark, sf):
     runs = e.groupBy("run_id", F.col("train").alias("number"), "service_date").agg(F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"), F.collect_set("station").alias("stations"), F.min_by("station", F.struct("occurred_at", "event_id")).alias("origin"), F.max_by("station", F.struct("occurred_at", "event_id")).alias("destination"))
     order = Window.partitionBy("run_id").orderBy("occurred_at", "event_id")
     grade = F.when(F.col("event_id") % 4 == 0, "corroborated").when(F.col("event_id") % 4 == 1, "conflict").otherwise("single-source")
-    obs = e.where("event_id % 5 = 0").select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("train")).alias("number"), "service_date", F.lag("station").over(order).alias("origin"), F.lead("station").over(order).alias("destination"), "station", "occurred_at", grade.alias("grade"))
+    obs = e.select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("train")).alias("number"), "service_date", F.lag("station").over(order).alias("origin"), F.lead("station").over(order).alias("destination"), "station", "occurred_at", grade.alias("grade"))
     return linking.candidates(obs, runs)
 
 
@@ -254,12 +254,12 @@ def f11_bucket(spark, sf):
     return ev(spark, sf).groupBy("run_id", bucket.alias("bucket")).agg(F.max("event_id").alias("event_id"))
 
 
-@job("d12_pending_links", f"WITH {EV} SELECT e.event_id FROM ev e LEFT JOIN ev l ON l.event_id = e.event_id AND l.event_id % 3 <> 0 WHERE e.service_date = '2024-01-15' AND (l.event_id IS NULL OR (epoch_us({TS}) - epoch_us(l.occurred_at)) / 60e6 > 60 AND l.event_id % 3 = 1)")
+@job("d12_pending_links", f"WITH {EV} SELECT e.event_id FROM ev e LEFT JOIN ev l ON l.event_id = e.event_id AND l.event_id % 3 <> 0 WHERE l.event_id IS NULL OR (epoch_us({TS}) - epoch_us(l.occurred_at)) / 60e6 > 60 AND l.event_id % 3 = 1")
 def d12(spark, sf):
     e = ev(spark, sf)
     links = e.where("event_id % 3 <> 0").select("event_id", F.col("occurred_at").alias("linked_at"), (F.col("event_id") % 3 == 1).alias("pending"))
     stale = (F.unix_micros(now_at()) - F.unix_micros("linked_at")) / F.lit(60e6) > 60
-    return e.where("service_date = '2024-01-15'").join(links, "event_id", "left").where(F.col("linked_at").isNull() | stale & F.col("pending")).select("event_id")
+    return e.join(links, "event_id", "left").where(F.col("linked_at").isNull() | stale & F.col("pending")).select("event_id")
 
 
 @job("d13_current_against_baseline", f"""WITH {EV}, c AS (SELECT station, authority, count(*) AS n FROM ev WHERE {AGE} BETWEEN 0 AND 120 GROUP BY ALL), b AS (SELECT station, authority, count(*) AS n FROM ev WHERE {AGE} > 120 AND {AGE} <= 1440 GROUP BY ALL)

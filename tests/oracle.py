@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 
@@ -17,32 +18,34 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
+    """Whole numbers as integers, other numbers as floats, all else as it is or as text."""
+    if hasattr(value, "item"):
+        value = value.item()
     if value is None or isinstance(value, float) and math.isnan(value):
         return None
-    if isinstance(value, bool):
+    if isinstance(value, (bool, int)):
         return value
-    if hasattr(value, "item"):
-        value = value.item()
-    if isinstance(value, (int, float)) or type(value).__name__ == "Decimal":
-        return f"{float(value):.9g}"
+    if isinstance(value, (float, Decimal)):
+        return float(value)
     return str(value)
 
 
-def rows(names: list[str], found: list) -> list[tuple]:
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted((tuple(plain(r[i]) for i in order) for r in found), key=lambda r: str([v[:4] if is_number(v) else v for v in r]))
+def _key(row: tuple) -> tuple:
+    """All of the row: what compares exactly first, then the numbers with a fraction, coarsely."""
+    exact = [str(v) for v in row if not isinstance(v, float)]
+    return tuple(exact), tuple(float(f"{v:.5g}") for v in row if isinstance(v, float)), tuple(v for v in row if isinstance(v, float))
 
 
-def is_number(value) -> bool:
-    try:
-        return isinstance(value, str) and math.isfinite(float(value))
-    except ValueError:
-        return False
+def rows(names: list[str], found: list) -> list[tuple]:
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in found), key=_key)
 
 
 def close(a, b) -> bool:
-    """Equal, or numbers that differ in the last digit a result was rounded to."""
-    return a == b or is_number(a) and is_number(b) and math.isclose(float(a), float(b), rel_tol=1e-4, abs_tol=1.1e-4)
+    """Equal; two numbers of which one has a fraction may differ in the last digit they were rounded to."""
+    if isinstance(a, float) or isinstance(b, float):
+        return a is not None and b is not None and not isinstance(a, (str, bool)) and not isinstance(b, (str, bool)) and math.isclose(a, b, rel_tol=1e-6, abs_tol=1.1e-4)
+    return type(a) is type(b) and a == b
 
 
 def assert_same(df, con, sql: str) -> None:
