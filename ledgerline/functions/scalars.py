@@ -163,8 +163,74 @@ def quality_score(age_minutes: Column | str, has_route: Column, has_forecast: Co
 DWELL = {"depot": 720, "destination": 180, "stop": 60}
 
 
-def lifecycle_phase(operational: Column | str, at_destination: Column, stopped: Column, age_minutes: Column | str) -> Column:
-    """Phase of a run that named a station."""
-    age = col(age_minutes)
-    held = lambda name, limit: F.when(age <= limit, name).otherwise("last-seen")
-    return F.when(col(operational) == "depot", held("depot", DWELL["depot"])).when(at_destination, held("completed", DWELL["destination"])).when(stopped, held("dwelling", DWELL["stop"])).otherwise("passed")
+#: Words left out of station names, endings of passenger stations, and all spellings of an apostrophe.
+STATION_WORDS = ("станція", "станция", "station", "вокзал", "залізнична", "железнодорожная")
+PASSENGER_ENDINGS = ("пас", "пасажирський", "пасс", "пассажирский", "головний", "главный")
+PASSENGER_FORMS = ("пас", "пасажирська", "пасажирський", "пасс", "пассажирская", "пассажирский")
+APOSTROPHES = "[’'`]"
+
+
+def alias_key(name: Column | str) -> Column:
+    """A station name as a key: lower case, one apostrophe, no filler words, runs of other signs as one hyphen."""
+    plain = F.regexp_replace(F.lower(F.coalesce(col(name), F.lit(""))), APOSTROPHES, "ʼ")
+    plain = F.regexp_replace(plain, rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(STATION_WORDS)})($|[^\p{{L}}\p{{N}}])", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
+
+
+def alias_variants(name: Column | str) -> Column:
+    """Keys under which a station may be listed: its own, without a passenger ending, with a trailing number joined."""
+    key = alias_key(name)
+    short = F.regexp_replace(key, rf"-({'|'.join(PASSENGER_ENDINGS)})$", "")
+    joined = F.regexp_replace(key, r"-([0-9]+)$", "$1")
+    return F.array_distinct(F.array_compact(F.array(F.when(key != "", key), F.when((key != "") & (F.length(short) >= 3), short), F.when(key != "", joined))))
+
+
+def station_match(left: Column | str, right: Column | str) -> Column:
+    """Equal keys, equal without a passenger ending, or one edit apart when both have at least five characters."""
+    a, b = alias_key(left), alias_key(right)
+    bare = lambda k: F.regexp_replace(k, rf"-({'|'.join(PASSENGER_FORMS)})$", "")
+    near = (F.least(F.length(a), F.length(b)) >= 5) & (F.levenshtein(a, b) <= 1)
+    return (a != "") & (b != "") & ((a == b) | (bare(a) == bare(b)) | near)
+
+
+#: Parts of a source's name and the independent domain it speaks for; the first that is found counts.
+SOURCE_DOMAINS = (("uz-public", "uz-official"), ("official-board", "uz-official"), ("anytrain-uz", "uz-official"), ("trusted-collector", "trusted-board"), ("station-edge", "trusted-board"), ("telegram", "telegram"), ("freight-tg", "telegram"), ("^tg-", "telegram"), ("operator", "operator"), ("operations-hub", "operator"))
+
+
+def source_domain(source: Column | str, domains: tuple[tuple[str, str], ...] = SOURCE_DOMAINS) -> Column:
+    """The domain of a source; sources of one domain do not confirm each other."""
+    name = slug(F.coalesce(col(source), F.lit("")))
+    out = None
+    for part, domain in domains:
+        out = F.when(name.rlike(part), domain) if out is None else out.when(name.rlike(part), domain)
+    return out.when(name != "", name).otherwise("unknown")
+
+
+def fnv1a(text: Column | str) -> Column:
+    """The 32-bit FNV-1a hash of a text's characters, as eight hexadecimal digits."""
+    step = lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619), F.lit(1 << 32))
+    return F.lower(F.lpad(F.hex(F.aggregate(F.filter(F.split(col(text), ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)), 8, "0"))
+
+
+#: Statuses that hold a run where it is.
+HOLD_STATUSES = ("held", "hold", "stopped", "suspended", "station", "at-station", "dwelling", "waiting", "depot")
+
+
+def disruption(operational: Column | str, text: Column | str, delay: Column | str, age_minutes: Column | str, pattern: str) -> Column:
+    """State, hold, delay of at most a day, confidence and reasons; ``pattern`` says which texts speak of a hold."""
+    held = F.lower(F.trim(F.coalesce(col(operational), F.lit("")))).isin(*HOLD_STATUSES) | F.coalesce(F.lower(col(text)).rlike(pattern), F.lit(False))
+    late = F.when(col(delay) > 0, F.least(F.lit(1440), col(delay))).otherwise(0)
+    confidence = F.when(held, F.greatest(F.lit(0.45), F.exp(-F.greatest(F.lit(0.0), F.coalesce(col(age_minutes), F.lit(0.0))) / 240))).when(late > 0, 0.7).otherwise(1.0)
+    reasons = F.array_compact(F.array(F.when(held, "explicit-operational-hold"), F.when(late >= 60, "material-delay")))
+    return F.struct(F.when(held, "held").when(late > 0, "delayed").otherwise("normal").alias("state"), held.alias("held"), late.alias("delay_minutes"), F.round(confidence, 6).alias("confidence"), reasons.alias("reasons"))
+
+
+def station_lifecycle(cancelled: Column, departed: Column, station: Column | str, operational: Column | str, at_destination: Column, stopped: Column, evidence: Column | str, age_minutes: Column | str) -> Column:
+    """One of nine phases of a run: cancelled, depot, departed, completed, dwelling, passed, last-seen, scheduled, in-transit."""
+    seen, depot = col(station).isNotNull(), F.coalesce(col(operational) == "depot", F.lit(False))
+    destination, stop = (F.coalesce(x, F.lit(False)) for x in (at_destination, stopped))
+    held = lambda name, limit: F.when(col(age_minutes) <= limit, name).otherwise("last-seen")
+    return (
+        F.when(cancelled, "cancelled").when(seen & depot, held("depot", DWELL["depot"])).when(seen & departed, "departed").when(seen & destination, held("completed", DWELL["destination"]))
+        .when(seen & stop, held("dwelling", DWELL["stop"])).when(seen, "passed").when(col(evidence) == "station-board-window", "scheduled").otherwise("in-transit")
+    )

@@ -19,13 +19,37 @@ def live_coverage(runs: DataFrame, facts: DataFrame) -> DataFrame:
     return runs.join(seen, "run_id", "left").withColumn("facts", F.coalesce("facts", F.lit(0)))
 
 
+#: Statuses that end a run, and those of a run that stands at a station.
+ENDED, STANDING = ("completed", "terminated", "finished"), ("station", "at-station", "depot", "waiting", "dwelling")
+#: Minutes for which a fact is fresh, and after which a run is no longer merely unobserved.
+FRESH_FACT, GAP_LIMIT = 90, 360
+
+
 def run_status(rows: DataFrame, now: Column) -> DataFrame:
-    """planned, active, completed, unobserved or unknown_completion; reads ``departure, arrival, facts, last_at``."""
-    before, after = now < F.col("departure"), now > F.timestamp_micros(F.unix_micros("arrival") + 3 * 3_600_000_000)
-    reached = F.col("last_at") >= F.col("arrival")
-    status = F.when(before, "planned").when(F.coalesce(reached, F.lit(False)), "completed").when(after & (F.col("facts") > 0), "unknown_completion").when((F.col("facts") == 0), "unobserved").otherwise("active")
-    missing = F.when(status == "unobserved", F.col("departure")).when(status == "unknown_completion", F.col("last_at"))
-    return rows.withColumn("status", status).withColumn("missing_since", missing)
+    """Adds ``status, reason, missing_since``; reads ``service_date, departure, arrival, last_at, operational``.
+
+    A run is completed only by a fresh fact that says so; a passed schedule alone leaves its completion unknown.
+    """
+    minutes = lambda later, earlier: (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(60e6)
+    plus = lambda ts, m: F.timestamp_micros(F.unix_micros(ts) + m * 60_000_000)
+    age, day = minutes(now, F.col("last_at")), F.to_timestamp("service_date")
+    end = F.timestamp_micros(F.unix_micros(day) + 86_399_000_000)
+    fresh = F.coalesce(age <= FRESH_FACT, F.lit(False))
+    ended, standing = (F.coalesce(F.lower("operational").isin(*names), F.lit(False)) for names in (ENDED, STANDING))
+    rules = (
+        (fresh & ended, "completed", "explicit-terminal-fact", None), (fresh & standing, "at_station", "fresh-station-presence", None), (fresh, "active", "fresh-observation", None),
+        (F.coalesce(age <= GAP_LIMIT, F.lit(False)), "unobserved", "observation-gap", plus(F.col("last_at"), 90)),
+        (now < plus(F.col("departure"), 20), "planned", "departure-window-not-open", None),
+        (F.col("departure").isNull() & (now < plus(day, 360)), "planned", "service-day-not-open", None),
+        (now > plus(F.col("arrival"), 180), "unknown_completion", "arrival-window-passed-without-fact", plus(F.col("arrival"), 60)),
+        (now > plus(end, 360), "unknown_completion", "service-day-ended-without-fact", end),
+    )
+    out = None
+    for test, status, reason, since in rules:
+        answer = F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"), (F.lit(None).cast("timestamp") if since is None else since).alias("missing_since"))
+        out = F.when(test, answer) if out is None else out.when(test, answer)
+    rest = F.struct(F.lit("unobserved").alias("status"), F.lit("expected-run-without-current-fact").alias("reason"), F.coalesce(plus(F.col("departure"), 20), plus(day, 360)).alias("missing_since"))
+    return rows.withColumn("_s", out.otherwise(rest)).select(*rows.columns, "_s.*")
 
 
 def station_priority(rows: DataFrame) -> DataFrame:
@@ -75,3 +99,38 @@ def versioned(rows: DataFrame, key: str, order: str, content: Column) -> DataFra
     marked = rows.withColumn("hash", F.sha2(content, 256))
     changed = F.coalesce(F.col("hash") != F.lag("hash").over(w), F.lit(True)).cast("int")
     return marked.withColumn("_changed", changed).withColumn("version", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
+
+
+def import_progress(chunks: DataFrame, planned: DataFrame, stall_minutes: float = 20) -> DataFrame:
+    """Running count, rate, hours left and stalls of an import; ``chunks``: at, chunks; ``planned``: one row.
+
+    One row a moment of arrival, so the running window is over the log of the import, not over its rows.
+    """
+    order = Window.orderBy("at")
+    rows = chunks.crossJoin(F.broadcast(planned))  # one row
+    rows = rows.withColumns({"done": F.sum("chunks").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("at").over(order), "_first": F.min("at").over(Window.partitionBy())})
+    hours = (F.unix_micros("at") - F.unix_micros("_first")) / F.lit(3.6e9)
+    rate = F.when(hours > 0, F.col("done") / hours)
+    pause = (F.unix_micros("_next") - F.unix_micros("at")) / F.lit(60e6)
+    return rows.withColumns({"per_hour": F.round(rate, 4), "eta_hours": F.round((F.col("planned") - F.col("done")) / rate, 3), "stalled": F.coalesce(pause > stall_minutes, F.lit(False))}).drop("_next", "_first", "planned")
+
+
+def operations_view(events: DataFrame, now: Column) -> DataFrame:
+    """One row a run: facts, history, worst delay, last station, number of moves and how far its position is to be trusted."""
+    order = Window.partitionBy("run_id").orderBy("occurred_at", "event_id")
+    rows = events.withColumn("_moved", F.coalesce(F.col("station") != F.lag("station").over(order), F.lit(False)))
+    out = rows.groupBy("run_id").agg(F.count("*").alias("facts"), F.array_sort(F.collect_list(F.struct("occurred_at", "event_id", "station"))).alias("history"), F.max("delay_min").alias("worst"), F.count_if("_moved").alias("changes"))
+    last = F.element_at("history", -1)
+    age = (F.unix_micros(now) - F.unix_micros(last["occurred_at"])) / F.lit(60e6)
+    return out.withColumns({"station": last["station"], "position": F.when(age > 180, "unknown").when(age > 90, "stale").otherwise("estimated")})
+
+
+def alert_rows(events: DataFrame) -> DataFrame:
+    """``alert_key, event_id, delay``: holds by run and station, delays by run and half hour, and stations where three runs of a
+    day are an hour late; the first event of a key stands for it."""
+    hold = F.when(F.col("held"), F.concat_ws(":", F.lit("hold"), "run_id", "station"))
+    late = F.when(F.col("delay_min") >= 30, F.concat_ws(":", F.lit("delay"), "run_id", F.expr("delay_min div 30").cast("string")))
+    rows = events.select("event_id", "delay_min", F.explode(F.array_compact(F.array(hold, late))).alias("alert_key"))
+    own = rows.groupBy("alert_key").agg(F.min("event_id").alias("event_id"), F.max("delay_min").cast("long").alias("delay"))
+    network = events.where("delay_min >= 60").groupBy("station", "service_date").agg(F.countDistinct("run_id").alias("runs"), F.min("event_id").alias("event_id"), F.max("delay_min").cast("long").alias("delay"))
+    return own.unionByName(network.where("runs >= 3").select(F.concat_ws(":", F.lit("network"), "station", "service_date").alias("alert_key"), "event_id", "delay"))

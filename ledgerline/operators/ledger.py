@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 
 
 def unpivot_update(updates: DataFrame) -> DataFrame:
-    """Up to four typed events of one update; an absent value gives no event.
+    """Up to six typed events of one update; an absent value gives no event.
 
-    Reads ``event_id, run_id, station, occurred_at, delay_min, reliability, value``.
+    Reads ``event_id, run_id, occurred_at, public_status, delay_min, forecast_arrival, forecast_departure, station, platform``.
     """
-
-    def event(kind: str, value: Column, there: Column) -> Column:
-        return F.when(there, F.struct(F.lit(kind).alias("type"), value.cast("string").alias("detail")))
-
-    events = F.array_compact(F.array(
-        event("station_report", F.col("station"), F.col("station").isNotNull()),
-        event("delay_update", F.col("delay_min"), F.col("delay_min").isNotNull()),
-        event("disruption", F.lit("material-delay"), F.col("delay_min") >= 60),
-        event("position", F.col("reliability") >= 0.5, F.col("reliability") >= 0.5)))
+    values = {"movement_status": "public_status", "delay_update": "delay_min", "forecast_arrival": "forecast_arrival", "forecast_departure": "forecast_departure", "station_report": "station", "platform_update": "platform"}
+    events = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct(F.lit(kind).alias("type"), F.col(c).cast("string").alias("detail"))) for kind, c in values.items()]))
     rows = updates.select("event_id", "run_id", "occurred_at", F.explode(events).alias("e"))
     return rows.select(F.concat_ws(":", F.col("event_id").cast("string"), "e.type").alias("ledger_id"), "run_id", "occurred_at", F.col("e.type").alias("type"), F.col("e.detail").alias("detail"))
 
@@ -36,8 +29,9 @@ def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def append_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The rows of ``new`` whose key is neither in ``old`` nor earlier in ``new``."""
-    return new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
+    """The rows of ``new`` whose key is not in ``old``, one of each key: the least by all columns, so that reruns agree."""
+    least = new.groupBy(key).agg(F.min(F.struct(*[c for c in new.columns if c != key])).alias("_r"))
+    return least.join(old.select(key), key, "left_anti").select(key, "_r.*").select(*new.columns)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, newest: list[str], largest: list[str], first: list[str]) -> DataFrame:

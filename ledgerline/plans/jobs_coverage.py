@@ -50,17 +50,29 @@ def e25(spark, sf):
     return _covered(spark, sf).select("run_id", "facts", F.unix_micros("last_at").alias("last_at"), "last_station")
 
 
-STATUS = f"""{COVER}, sta AS (SELECT *, CASE WHEN TIMESTAMP '{THEN}' < departure THEN 'planned' WHEN coalesce(last_at >= arrival, false) THEN 'completed' WHEN TIMESTAMP '{THEN}' > arrival + INTERVAL 3 HOUR AND facts > 0 THEN 'unknown_completion' WHEN facts = 0 THEN 'unobserved' ELSE 'active' END AS status FROM cov)"""
+NAMES = ("completed", "at-station", "moving", "depot")
+STATUS = f"""{COVER}, opr AS (SELECT *, last_at + to_minutes(run_id % 480) AS seen_at, ['completed', 'at-station', 'moving', 'depot'][(run_id % 4 + 1)::INTEGER] AS operational, departure::DATE::TIMESTAMP AS day, TIMESTAMP '{THEN}' AS now FROM cov),
+aged AS (SELECT *, (epoch_us(now) - epoch_us(seen_at)) / 60e6 AS age FROM opr), sta AS (SELECT *, CASE WHEN age <= 90 THEN CASE operational WHEN 'completed' THEN 'completed' WHEN 'moving' THEN 'active' ELSE 'at_station' END WHEN age <= 360 THEN 'unobserved' WHEN now < departure + INTERVAL 20 MINUTE THEN 'planned'
+  WHEN departure IS NULL AND now < day + INTERVAL 6 HOUR THEN 'planned' WHEN now > arrival + INTERVAL 3 HOUR OR now > day + INTERVAL 1 DAY - INTERVAL 1 SECOND + INTERVAL 6 HOUR THEN 'unknown_completion' ELSE 'unobserved' END AS status,
+  epoch_us(CASE WHEN age <= 90 THEN NULL WHEN age <= 360 THEN seen_at + INTERVAL 90 MINUTE WHEN now < departure + INTERVAL 20 MINUTE OR departure IS NULL AND now < day + INTERVAL 6 HOUR THEN NULL WHEN now > arrival + INTERVAL 3 HOUR THEN arrival + INTERVAL 1 HOUR
+  WHEN now > day + INTERVAL 1 DAY - INTERVAL 1 SECOND + INTERVAL 6 HOUR THEN day + INTERVAL 1 DAY - INTERVAL 1 SECOND ELSE coalesce(departure + INTERVAL 20 MINUTE, day + INTERVAL 6 HOUR) END) AS missing_since FROM aged)"""
 
 
-@job("m17_run_status", f"WITH {STATUS} SELECT run_id, status FROM sta")
+def _statuses(spark, sf):
+    names = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("run_id") % 4 + 1).cast("int"))
+    seen = F.timestamp_micros(F.unix_micros("last_at") + F.col("run_id") % 480 * 60_000_000)
+    rows = _covered(spark, sf).withColumns({"last_at": seen, "operational": names, "service_date": F.to_date("departure")})
+    return coverage.run_status(rows, _at(THEN))
+
+
+@job("m17_run_status", f"WITH {STATUS} SELECT run_id, status, missing_since FROM sta")
 def m17(spark, sf):
-    return coverage.run_status(_covered(spark, sf), _at(THEN)).select("run_id", "status")
+    return _statuses(spark, sf).select("run_id", "status", F.unix_micros("missing_since").alias("missing_since"))
 
 
 @job("e30_readiness", f"""WITH {STATUS} SELECT count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'active') AS active, CASE WHEN count(*) FILTER (status = 'active') > 0 AND count(*) FILTER (status = 'completed') > 0 THEN 'ready' ELSE 'degraded' END AS readiness FROM sta""")
 def e30(spark, sf):
-    out = coverage.run_status(_covered(spark, sf), _at(THEN)).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "active").alias("active"))
+    out = _statuses(spark, sf).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "active").alias("active"))
     return out.withColumn("readiness", F.when((F.col("active") > 0) & (F.col("completed") > 0), "ready").otherwise("degraded"))
 
 
@@ -180,16 +192,18 @@ def d16(spark, sf):
     return ev(spark, sf).join(plans, "train", "left").select("event_id", "plan")
 
 
-@job("d20_coverage_join", f"""WITH {PRIORITY}, h AS (SELECT station || ':' || train AS station, arg_max(source_id, (occurred_at, event_id)) AS last_source FROM ev WHERE event_id % 2 = 0 GROUP BY 1) SELECT station, score, last_source FROM pri LEFT JOIN h USING (station)""")
+@job("d20_coverage_join", f"""WITH {PRIORITY}, h AS (SELECT station || ':' || train AS station, arg_max(source_id, (occurred_at, event_id)) AS last_source FROM ev GROUP BY 1) SELECT station, score, last_source FROM pri LEFT JOIN h USING (station)""")
 def d20(spark, sf):
-    polls = ev(spark, sf).where("event_id % 2 = 0").groupBy(F.concat_ws(":", "station", F.col("train").cast("string")).alias("station")).agg(F.max_by("source_id", F.struct("occurred_at", "event_id")).alias("last_source"))
+    polls = ev(spark, sf).groupBy(F.concat_ws(":", "station", F.col("train").cast("string")).alias("station")).agg(F.max_by("source_id", F.struct("occurred_at", "event_id")).alias("last_source"))
     return _priorities(spark, sf).select("station", "score").join(polls, "station", "left")
 
 
-@job("d21_operations_view", f"""WITH {EV} SELECT run_id, count(*) AS facts, array_to_string(list(station ORDER BY occurred_at, event_id), '>') AS history, max(delay_min) AS worst FROM ev WHERE service_date = '2024-01-15' GROUP BY run_id""")
+@job("d21_operations_view", f"""WITH {EV}, chg AS (SELECT run_id, count(*) AS changes FROM (SELECT run_id, station <> lag(station) OVER (PARTITION BY run_id ORDER BY occurred_at, event_id) AS moved FROM ev) WHERE moved GROUP BY run_id)
+SELECT run_id, count(*) AS facts, array_to_string(list(station ORDER BY occurred_at, event_id), '>') AS history, max(delay_min) AS worst, arg_max(station, (occurred_at, event_id)) AS station, coalesce(max(changes), 0) AS changes,
+  CASE WHEN (epoch_us({TS}) - epoch_us(max(occurred_at))) / 60e6 > 180 THEN 'unknown' WHEN (epoch_us({TS}) - epoch_us(max(occurred_at))) / 60e6 > 90 THEN 'stale' ELSE 'estimated' END AS position FROM ev LEFT JOIN chg USING (run_id) GROUP BY run_id""")
 def d21(spark, sf):
-    rows = ev(spark, sf).where("service_date = '2024-01-15'").groupBy("run_id").agg(F.count("*").alias("facts"), F.array_sort(F.collect_list(F.struct("occurred_at", "event_id", "station"))).alias("h"), F.max("delay_min").alias("worst"))
-    return rows.select("run_id", "facts", F.array_join(F.transform("h", lambda x: x["station"]), ">").alias("history"), "worst")
+    rows = coverage.operations_view(ev(spark, sf), _at(NOON))
+    return rows.withColumn("history", F.array_join(F.transform("history", lambda h: h["station"]), ">"))
 
 
 @job("d22_catalogue_detail", "SELECT p_partkey, p_name, n, last_ship FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, epoch_us(max(l_shipdate)) AS last_ship FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
@@ -200,11 +214,13 @@ def d22(spark, sf):
     return table(spark, sf, "part").join(allowed, "p_partkey", "left_semi").join(use, "p_partkey", "left").select("p_partkey", "p_name", "n", "last_ship")
 
 
-@job("a15_import_progress", "WITH c AS (SELECT o_orderdate::DATE AS day, count(*) AS chunks FROM orders GROUP BY 1) SELECT strftime(day, '%Y-%m-%d') AS day, chunks, (sum(chunks) OVER (ORDER BY day))::BIGINT AS done FROM c WHERE day < DATE '1992-03-01'")
+@job("a15_import_progress", """WITH c AS (SELECT o_orderdate::TIMESTAMP AS t_at, count(*) AS chunks FROM orders GROUP BY 1), t AS (SELECT count(*)::BIGINT AS planned FROM orders),
+r AS (SELECT t_at, chunks, (sum(chunks) OVER w)::BIGINT AS done, (epoch_us(t_at) - epoch_us(min(t_at) OVER ())) / 3.6e9 AS hours, (epoch_us(lead(t_at) OVER w) - epoch_us(t_at)) / 60e6 AS pause, planned FROM c, t WINDOW w AS (ORDER BY t_at))
+SELECT strftime(t_at, '%Y-%m-%d') AS day, chunks, done, round(CASE WHEN hours > 0 THEN done / hours END, 4) AS per_hour, round(CASE WHEN hours > 0 THEN (planned - done) / (done / hours) END, 3) AS eta_hours, coalesce(pause > 1440, false) AS stalled FROM r""")
 def a15(spark, sf):
-    days = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("chunks")).where("day < date'1992-03-01'")
-    done = F.sum("chunks").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))  # one row a day
-    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "chunks", done.alias("done"))
+    orders = table(spark, sf, "orders")
+    at = orders.groupBy(F.col("o_orderdate").cast("timestamp").alias("at")).agg(F.count("*").alias("chunks"))
+    return coverage.import_progress(at, orders.agg(F.count("*").alias("planned")), 1440).select(F.date_format("at", "yyyy-MM-dd").alias("day"), "chunks", "done", "per_hour", "eta_hours", "stalled")
 
 
 @job("a25_partner_clean", f"WITH {PTS}, c AS (SELECT id, brand, round(lat, 1) AS la, round(lon, 1) AS lo, 'ph' || (id % 90) AS phone FROM lpts), k AS (SELECT *, row_number() OVER (PARTITION BY brand, la, lo ORDER BY id) AS n, count(*) OVER (PARTITION BY phone) AS shared FROM c) SELECT id, CASE WHEN shared <= 10 THEN phone END AS phone FROM k WHERE n = 1")
@@ -267,11 +283,18 @@ def c22(spark, sf):
     return ev(spark, sf).select("event_id", F.when(F.col("station").isin("error"), "unknown").otherwise("reported").alias("status"))
 
 
-@job("c23_disruption", f"WITH {EV} SELECT event_id, CASE WHEN station = 'error' THEN 'held' WHEN delay_min > 0 THEN 'delayed' ELSE 'normal' END AS state, concat_ws(',', CASE WHEN station = 'error' THEN 'explicit-operational-hold' END, CASE WHEN delay_min >= 60 THEN 'material-delay' END) AS reasons FROM ev")
+C23_TEXT = "stands|delayed indefinitely"
+
+
+@job("c23_disruption", f"""WITH {EV}, c AS (SELECT event_id, delay_min, ['moving', 'held', 'Dwelling ', 'x'][(event_id % 4 + 1)::INTEGER] AS operational, CASE WHEN event_id % 9 = 0 THEN 'train STANDS at signal' ELSE station END AS text, (event_id * 13 % 400)::DOUBLE AS age FROM ev),
+h AS (SELECT *, lower(trim(operational)) IN ('held', 'hold', 'stopped', 'suspended', 'station', 'at-station', 'dwelling', 'waiting', 'depot') OR regexp_matches(lower(text), '{C23_TEXT}') AS held FROM c)
+SELECT event_id, CASE WHEN held THEN 'held' WHEN delay_min > 0 THEN 'delayed' ELSE 'normal' END AS state, round(CASE WHEN held THEN greatest(0.45, exp(-age / 240)) WHEN delay_min > 0 THEN 0.7 ELSE 1 END, 6) AS confidence,
+  concat_ws(',', CASE WHEN held THEN 'explicit-operational-hold' END, CASE WHEN delay_min >= 60 THEN 'material-delay' END) AS reasons FROM h""")
 def c23(spark, sf):
-    held = F.col("station") == "error"
-    why = F.array_compact(F.array(F.when(held, F.lit("explicit-operational-hold")), F.when(F.col("delay_min") >= 60, F.lit("material-delay"))))
-    return ev(spark, sf).select("event_id", F.when(held, "held").when(F.col("delay_min") > 0, "delayed").otherwise("normal").alias("state"), F.array_join(why, ",").alias("reasons"))
+    operational = F.element_at(F.array(*map(F.lit, ("moving", "held", "Dwelling ", "x"))), (F.col("event_id") % 4 + 1).cast("int"))
+    text = F.when(F.col("event_id") % 9 == 0, "train STANDS at signal").otherwise(F.col("station"))
+    found = scalars.disruption(operational, text, "delay_min", (F.col("event_id") * 13 % 400).cast("double"), C23_TEXT)
+    return ev(spark, sf).select("event_id", found.alias("d")).select("event_id", "d.state", "d.confidence", F.array_join("d.reasons", ",").alias("reasons"))
 
 
 @job("c26_brand_canonical", "SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'first' WHEN p_brand = 'Brand#3' THEN '' ELSE lower(replace(p_brand, '#', '-')) END AS brand FROM part")
@@ -295,10 +318,11 @@ def f8(spark, sf):
     return p.groupBy("train").agg(F.round(F.when(F.max("k") > 1, -F.sum(F.col("p") * F.log("p")) / F.log(F.max("k"))).otherwise(0.0), 6).alias("entropy"))
 
 
-@job("m20_alert_rows", f"WITH {EV} SELECT run_id || ':' || (delay_min // 30) AS alert_key, min(event_id) AS event_id, max(delay_min) AS delay FROM ev WHERE delay_min >= 30 GROUP BY 1")
+@job("m20_alert_rows", f"""WITH {EV}, al AS (SELECT event_id, unnest(list_filter([CASE WHEN station = 'error' THEN 'hold:' || run_id || ':' || station END, CASE WHEN delay_min >= 30 THEN 'delay:' || run_id || ':' || (delay_min // 30) END], lambda x: x IS NOT NULL)) AS alert_key, delay_min FROM ev),
+net AS (SELECT 'network:' || station || ':' || service_date AS alert_key, min(event_id) AS event_id, max(delay_min)::BIGINT AS delay FROM ev WHERE delay_min >= 60 GROUP BY station, service_date HAVING count(DISTINCT run_id) >= 3)
+SELECT alert_key, min(event_id) AS event_id, max(delay_min)::BIGINT AS delay FROM al GROUP BY alert_key UNION ALL SELECT * FROM net""")
 def m20(spark, sf):
-    key = F.concat_ws(":", "run_id", F.expr("delay_min div 30").cast("string"))
-    return ev(spark, sf).where("delay_min >= 30").groupBy(key.alias("alert_key")).agg(F.min("event_id").alias("event_id"), F.max("delay_min").alias("delay"))
+    return coverage.alert_rows(ev(spark, sf).withColumn("held", F.col("station") == "error"))
 
 
 @job("m18_probability_history", f"WITH {EV} SELECT run_id || ':' || strftime(occurred_at, '%Y-%m-%dT%H:%M') || ':' || station AS sample_id, round(max(reliability), 4) AS probability FROM ev GROUP BY 1")
@@ -337,6 +361,6 @@ def g24(spark, sf):
 @job("g16_path_checks")
 def g16(spark, sf):
     nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
-    reached = graph.shortest(nodes.where("node % 300 = 2"), graph.undirected(g_edges(spark, sf)), 5, 100.0)
+    reached = graph.shortest(nodes.where("node % 50 = 0"), graph.undirected(g_edges(spark, sf)), 5, 100.0)
     paths = graph.walk_back(reached, reached.where("hops >= 2").select("source", "node"), 6)
     return graph.path_quality(paths, F.col("node") - 1).select("source", "node", "steps", "repeats", "via")

@@ -59,12 +59,12 @@ def e20(spark, sf):
     return geo.grid_clusters(pts(spark, sf)[0], 0.5)
 
 
-LINES = f"{PTS}, line AS (SELECT id % 25 AS route_id, id AS seq, lat, lon FROM lpts WHERE id % 4 = 0), stp AS (SELECT a.*, CASE WHEN lag(lat) OVER w IS NULL THEN 0 ELSE {KM_SQL.format(lat1='lag(lat) OVER w', lon1='lag(lon) OVER w', lat2='lat', lon2='lon')} END AS step FROM line a WINDOW w AS (PARTITION BY route_id ORDER BY seq)), mea AS (SELECT *, sum(step) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS km_at FROM stp)"
+LINES = f"{PTS}, line AS (SELECT id // 40 AS route_id, id AS seq, lat, lon FROM lpts), stp AS (SELECT a.*, CASE WHEN lag(lat) OVER w IS NULL THEN 0 ELSE {KM_SQL.format(lat1='lag(lat) OVER w', lon1='lag(lon) OVER w', lat2='lat', lon2='lon')} END AS step FROM line a WINDOW w AS (PARTITION BY route_id ORDER BY seq)), mea AS (SELECT *, sum(step) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS km_at FROM stp)"
 
 
 def _lines(spark, sf):
     left, _ = pts(spark, sf)
-    return left.where("id % 4 = 0").select((F.col("id") % 25).alias("route_id"), F.col("id").alias("seq"), "lat", "lon")
+    return left.select(F.expr("id div 40").alias("route_id"), F.col("id").alias("seq"), "lat", "lon")
 
 
 @job("g3_route_measure", f"WITH {LINES} SELECT route_id, seq, round(km_at, 3) AS km_at FROM mea")
@@ -86,13 +86,13 @@ def _off(y: str, x: str) -> str:
 
 
 @job("g5_project", f"""WITH {LINES}, leg AS (SELECT route_id, seq, lat AS y1, lon AS x1, km_at, lead(lat) OVER w AS y2, lead(lon) OVER w AS x2, lead(km_at) OVER w AS km2 FROM mea WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
-j AS (SELECT r.id, r.id % 25 AS route_id, r.lat, r.lon, l.* EXCLUDE (route_id), cos(radians(r.lat)) AS sc FROM rpts r JOIN leg l ON l.route_id = r.id % 25 AND km2 IS NOT NULL),
+j AS (SELECT r.id, r.id // 3 AS route_id, r.lat, r.lon, l.* EXCLUDE (route_id), cos(radians(r.lat)) AS sc FROM rpts r JOIN leg l ON l.route_id = r.id // 3 AND km2 IS NOT NULL),
 t AS (SELECT *, greatest(0.0, least(1.0, coalesce(((lon - x1) * sc * (x2 - x1) * sc + (lat - y1) * (y2 - y1)) / nullif((x2 - x1) * sc * (x2 - x1) * sc + (y2 - y1) * (y2 - y1), 0), 0.0))) AS t FROM j),
 o AS (SELECT *, {_off('(y1 + (y2 - y1) * t)', '(x1 + (x2 - x1) * t)')} AS off_km, km_at + (km2 - km_at) * t AS along FROM t)
 SELECT id, route_id, round(along, 3) AS km_at, round(off_km, 4) AS off_km FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(off_km, 9), seq) = 1""")
 def g5(spark, sf):
     _, right = pts(spark, sf)
-    points = right.select("id", "lat", "lon", (F.col("id") % 25).alias("route_id"))
+    points = right.select("id", "lat", "lon", F.expr("id div 3").alias("route_id"))
     return geo.project(points, geo.measure(_lines(spark, sf))).select("id", "route_id", F.round("km_at", 3).alias("km_at"), F.round("off_km", 4).alias("off_km"))
 
 
@@ -132,8 +132,8 @@ def a13(spark, sf):
     return left.select("id", geo.geohash(F.col("lat"), F.col("lon"), 6).alias("geohash6"), geo.geohash(F.col("lat"), F.col("lon"), 8).alias("geohash8"), F.sha2(F.concat_ws("|", "name", "brand"), 256).alias("stable_id"))
 
 
-def _nodes(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
+def _nodes(spark, sf, having="true"):
+    return table(spark, sf, "part").where(having).select(F.col("p_partkey").alias("node"))
 
 
 @job("g1_components")
@@ -147,38 +147,38 @@ def g1_health(spark, sf):
     return graph.health(graph.components(_nodes(spark, sf), edges), edges, 45)
 
 
-@job("d11_known_ends", f"WITH {G_EDGES} SELECT src, dst, km FROM g_edges WHERE src % 5 <> 0 AND dst % 5 <> 0 AND src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part)")
+@job("d11_known_ends", f"WITH {G_EDGES} SELECT src, dst, km FROM g_edges WHERE src IN (SELECT p_partkey FROM part WHERE p_size >= 10) AND dst IN (SELECT p_partkey FROM part WHERE p_size >= 10)")
 def d11(spark, sf):
-    return graph.known_ends(g_edges(spark, sf), _nodes(spark, sf).where("node % 5 <> 0")).select("src", "dst", "km")
+    return graph.known_ends(g_edges(spark, sf), _nodes(spark, sf, "p_size >= 10")).select("src", "dst", "km")
 
 
 @job("g2_component_gaps")
 def g2(spark, sf):
-    edges = g_edges(spark, sf).where("src % 7 <> 0")
+    edges = g_edges(spark, sf).where("km < 25")
     parts = graph.components(_nodes(spark, sf), edges)
     at = _nodes(spark, sf).select(F.col("node").alias("id"), (44 + F.pmod(F.col("node") * 7919, F.lit(9000)) / 1000.0).alias("lat"), (22 + F.pmod(F.col("node") * 104729, F.lit(18000)) / 1000.0).alias("lon"))
     return graph.gaps(parts, at, 1.0, 35)
 
 
 PATHS = f"""WITH RECURSIVE {G_EDGES}, sy AS (SELECT src AS a, dst AS b, km FROM g_edges UNION ALL SELECT dst, src, km FROM g_edges), sym AS (SELECT a, b, min(km) AS km FROM sy GROUP BY a, b),
-walk AS (SELECT p_partkey AS source, p_partkey AS node, 0.0::DOUBLE AS cost, 0 AS hops FROM part WHERE p_partkey % 100 = 1 UNION SELECT w.source, s.b, w.cost + s.km, w.hops + 1 FROM walk w JOIN sym s ON s.a = w.node WHERE w.hops < 6 AND w.cost + s.km <= 120)"""
+walk AS (SELECT p_partkey AS source, p_partkey AS node, 0.0::DOUBLE AS cost, 0 AS hops FROM part WHERE p_partkey % 50 = 0 UNION SELECT w.source, s.b, w.cost + s.km, w.hops + 1 FROM walk w JOIN sym s ON s.a = w.node WHERE w.hops < 6 AND w.cost + s.km <= 120)"""
 
 
 @job("g12_shortest_paths", f"{PATHS} SELECT source, node, min(cost) AS cost FROM walk GROUP BY ALL")
 def g12(spark, sf):
-    return graph.shortest(_nodes(spark, sf).where("node % 100 = 1"), graph.undirected(g_edges(spark, sf)), 6, 120.0).select("source", "node", "cost")
+    return graph.shortest(_nodes(spark, sf).where("node % 50 = 0"), graph.undirected(g_edges(spark, sf)), 6, 120.0).select("source", "node", "cost")
 
 
 @job("g13_walked_paths")
 def g13(spark, sf):
-    reached = graph.shortest(_nodes(spark, sf).where("node % 100 = 1"), graph.undirected(g_edges(spark, sf)), 6, 120.0)
+    reached = graph.shortest(_nodes(spark, sf).where("node % 50 = 0"), graph.undirected(g_edges(spark, sf)), 6, 120.0)
     paths = graph.walk_back(reached, reached.where("hops >= 3").select("source", "node"), 8)
     return graph.path_quality(paths, F.col("source") + 1).select("source", "node", "cost", "steps", "repeats", "via")
 
 
 @job("g11_station_contraction")
 def g11(spark, sf):
-    return graph.contract(_nodes(spark, sf).where("node % 6 = 0"), graph.undirected(g_edges(spark, sf)), 12, 250.0)
+    return graph.contract(_nodes(spark, sf, "p_size <= 8"), graph.undirected(g_edges(spark, sf)), 12, 250.0)
 
 
 @job("g10_edges_from_ways", f"""WITH {PTS}, wy AS (SELECT id // 6 AS way_id, id AS node, 44 + (id % 997) * 0.01::DOUBLE AS lat, 22 + (id % 991) * 0.02::DOUBLE AS lon, CASE id // 6 % 5 WHEN 0 THEN 'yard' WHEN 1 THEN 'siding' END AS service, CASE WHEN id // 6 % 3 = 0 THEN 'industrial' END AS usage FROM lpts),
@@ -198,18 +198,18 @@ def e28(spark, sf):
     return graph.unique_owner(p, "alias", "owner").select("owner", "alias")
 
 
-DUP = f"{PTS}, dp AS (SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE 'b' || (id % 4) END AS brand, ['gas', 'liquid', 'unknown', 'mixed'][(id % 4 + 1)::INTEGER] AS kind, name, lat, lon FROM lpts), pr AS (SELECT a.id AS left_id, b.id AS right_id, a.brand AS left_brand, b.brand AS right_brand, a.kind AS left_kind, b.kind AS right_kind, a.name AS left_name, b.name AS right_name, {KM} AS km FROM dp a JOIN dp b ON a.id < b.id AND abs(a.lat - b.lat) < 1.0 AND abs(a.lon - b.lon) < 1.6)"
+DUP = f"{PTS}, dp AS (SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE 'b' || (id % 4) END AS brand, ['gas', 'liquid', 'unknown', 'mixed'][(id % 4 + 1)::INTEGER] AS kind, name, 'Street ' || (id % 2) AS address, lat, lon FROM lpts), pr AS (SELECT a.id AS left_id, b.id AS right_id, a.brand AS left_brand, b.brand AS right_brand, a.kind AS left_kind, b.kind AS right_kind, a.name AS left_name, b.name AS right_name, a.address AS left_address, b.address AS right_address, {KM} AS km FROM dp a JOIN dp b ON a.id < b.id AND abs(a.lat - b.lat) < 1.0 AND abs(a.lon - b.lon) < 1.6)"
 
 
 def _duplicates(spark, sf):
     left, _ = pts(spark, sf)
-    rows = left.select("id", "lat", "lon", "name", F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("b"), (F.col("id") % 4).cast("string"))).alias("brand"), F.element_at(F.array(*map(F.lit, ("gas", "liquid", "unknown", "mixed"))), (F.col("id") % 4 + 1).cast("int")).alias("kind"))
-    side = lambda s: rows.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("brand", "kind", "name")])
+    rows = left.select("id", "lat", "lon", "name", F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("b"), (F.col("id") % 4).cast("string"))).alias("brand"), F.element_at(F.array(*map(F.lit, ("gas", "liquid", "unknown", "mixed"))), (F.col("id") % 4 + 1).cast("int")).alias("kind"), F.concat(F.lit("Street "), (F.col("id") % 2).cast("string")).alias("address"))
+    side = lambda s: rows.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("brand", "kind", "name", "address")])
     return geo.near_pairs(rows, rows, 1.3, 80, same=True).join(side("left"), "left_id").join(side("right"), "right_id")
 
 
 @job("m14_duplicate_decision", f"""WITH {DUP} SELECT left_id, right_id, CASE WHEN km > 70 THEN 'distance' WHEN (left_kind = 'gas' AND right_kind = 'liquid') OR (left_kind = 'liquid' AND right_kind = 'gas') THEN 'facility_type_conflict' WHEN (left_kind = 'gas' AND right_kind = 'unknown') OR (left_kind = 'unknown' AND right_kind = 'gas') THEN 'facility_type_uncertain'
-  WHEN left_brand <> '' AND right_brand <> '' AND left_brand <> right_brand THEN 'brand_conflict' WHEN left_brand <> '' AND right_brand <> '' AND km <= 60 THEN 'same_brand' WHEN NOT (left_brand <> '' AND right_brand <> '') AND km <= 40 THEN 'generic_overlap' ELSE 'insufficient_evidence' END AS reason FROM pr WHERE km <= 80""")
+  WHEN left_brand <> '' AND right_brand <> '' AND left_brand <> right_brand THEN 'brand_conflict' WHEN left_brand <> '' AND right_brand <> '' AND km <= 60 THEN 'same_brand' WHEN NOT (left_brand <> '' AND right_brand <> '') AND km <= 40 THEN 'generic_overlap' WHEN NOT (left_brand <> '' AND right_brand <> '') AND km <= 60 AND left_address = right_address THEN 'same_address' ELSE 'insufficient_evidence' END AS reason FROM pr WHERE km <= 80""")
 def m14(spark, sf):
     return places.duplicate_decision(_duplicates(spark, sf), 70, 60, 40).select("left_id", "right_id", "reason")
 
@@ -313,9 +313,9 @@ def c17(spark, sf):
     return table(spark, sf, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", F.regexp_extract("text", r"([0-9]{1,3})\.[0-9]+\.[0-9]+\.[0-9]+", 1).alias("net"), F.regexp_extract("text", 'token = "([0-9a-f]+)', 1).alias("secret"))
 
 
-@job("a14_versioned_import", f"""WITH {G_EDGES}, v AS (SELECT src, dst, km, (src // 500)::BIGINT AS version FROM g_edges WHERE src % 5 <> 0) SELECT version, count(*) AS segments, round(sum(km), 3) AS km, version = (SELECT max(version) FROM v) AS active FROM v GROUP BY version""")
+@job("a14_versioned_import", f"""WITH {G_EDGES}, v AS (SELECT src, dst, km, (src // 500)::BIGINT AS version FROM g_edges WHERE src IN (SELECT p_partkey FROM part WHERE p_size >= 10)) SELECT version, count(*) AS segments, round(sum(km), 3) AS km, version = (SELECT max(version) FROM v) AS active FROM v GROUP BY version""")
 def a14(spark, sf):
-    known = _nodes(spark, sf).where("node % 5 <> 0")
+    known = _nodes(spark, sf, "p_size >= 10")
     rows = g_edges(spark, sf).join(known.withColumnRenamed("node", "src"), "src", "left_semi").withColumn("version", F.floor(F.col("src") / 500))
     parts = rows.groupBy("version").agg(F.count("*").alias("segments"), F.round(F.sum("km"), 3).alias("km"))
     return parts.withColumn("active", F.col("version") == F.max("version").over(Window.partitionBy()))

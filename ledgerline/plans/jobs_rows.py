@@ -152,11 +152,12 @@ def c20(spark, sf):
     return _claims(spark, sf).select("event_id", F.round(scalars.quality_score("age_minutes", F.col("has_route"), F.col("forecast").isNotNull(), F.lit(0.7), F.col("delay_min")), 6).alias("quality"))
 
 
-@job("c24_station_lifecycle", f"""WITH {CLAIMS}, p AS (SELECT *, CASE WHEN operational = 'depot' THEN 'depot' WHEN event_id % 8 = 3 THEN 'destination-arrival' WHEN operational = 'station' THEN 'station-stop' ELSE 'passage' END AS kind FROM clm WHERE station IS NOT NULL)
-SELECT event_id, CASE WHEN kind = 'depot' THEN CASE WHEN age_minutes <= 720 THEN 'depot' ELSE 'last-seen' END WHEN kind = 'destination-arrival' THEN CASE WHEN age_minutes <= 180 THEN 'completed' ELSE 'last-seen' END WHEN kind = 'station-stop' THEN CASE WHEN age_minutes <= 60 THEN 'dwelling' ELSE 'last-seen' END ELSE 'passed' END AS phase FROM p""")
+@job("c24_station_lifecycle", f"""WITH {CLAIMS} SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'cancelled' WHEN station IS NOT NULL AND operational = 'depot' THEN CASE WHEN age_minutes <= 720 THEN 'depot' ELSE 'last-seen' END WHEN station IS NOT NULL AND event_id % 11 = 0 THEN 'departed'
+  WHEN station IS NOT NULL AND event_id % 8 = 3 THEN CASE WHEN age_minutes <= 180 THEN 'completed' ELSE 'last-seen' END WHEN station IS NOT NULL AND operational = 'station' THEN CASE WHEN age_minutes <= 60 THEN 'dwelling' ELSE 'last-seen' END WHEN station IS NOT NULL THEN 'passed' WHEN evidence = 'station-board-window' THEN 'scheduled' ELSE 'in-transit' END AS phase FROM clm""")
 def c24(spark, sf):
-    rows = _claims(spark, sf).where("station IS NOT NULL").withColumns({"arrived": F.col("event_id") % 8 == 3, "stopped": F.col("operational") == "station"})
-    return rows.select("event_id", scalars.lifecycle_phase("operational", F.col("arrived"), F.col("stopped"), "age_minutes").alias("phase"))
+    at = lambda n, rest: F.col("event_id") % n == rest
+    phase = scalars.station_lifecycle(at(17, 0), at(11, 0), "station", "operational", at(8, 3), F.col("operational") == "station", "evidence", "age_minutes")
+    return _claims(spark, sf).select("event_id", phase.alias("phase"))
 
 
 @job("b5_text_gate", """WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), v AS (SELECT *, CASE WHEN regexp_matches(t, 'token|@') THEN 'quarantined' WHEN NOT regexp_matches(t, 'the|que|der') THEN 'off-topic' WHEN regexp_matches(t, 'idiot') THEN 'excluded' ELSE 'accepted' END AS verdict FROM t)
@@ -219,11 +220,16 @@ def b20(spark, sf):
     return table(spark, sf, "orders").join(open_work, "o_orderkey", "left_semi").where("o_totalprice < 50000 OR o_orderstatus = 'P'").select("o_orderkey", "o_orderstatus")
 
 
-@job("c18_unpivot", f"""WITH {EV}, u AS (SELECT event_id, run_id, occurred_at, unnest(list_filter([CASE WHEN station IS NOT NULL THEN {{'t': 'station_report', 'd': station}} END, CASE WHEN delay_min IS NOT NULL THEN {{'t': 'delay_update', 'd': delay_min::VARCHAR}} END,
-  CASE WHEN delay_min >= 60 THEN {{'t': 'disruption', 'd': 'material-delay'}} END, CASE WHEN reliability >= 0.5 THEN {{'t': 'position', 'd': 'true'}} END], lambda x: x IS NOT NULL)) AS e FROM ev)
+@job("c18_unpivot", f"""WITH {EV}, k AS (SELECT event_id, run_id, occurred_at, delay_min, CASE WHEN event_id % 5 <> 0 THEN station ELSE '' END AS public_status, CASE WHEN event_id % 3 = 0 THEN strftime(occurred_at, '%H:%M') END AS arrival, CASE WHEN event_id % 4 = 0 THEN strftime(observed_at, '%H:%M') END AS departure, CASE WHEN event_id % 2 = 0 THEN station END AS station, CASE WHEN event_id % 7 = 0 THEN 'p' || (event_id % 9) END AS platform FROM ev),
+u AS (SELECT event_id, run_id, occurred_at, unnest(list_filter([{{'t': 'movement_status', 'd': public_status}}, {{'t': 'delay_update', 'd': delay_min::VARCHAR}}, {{'t': 'forecast_arrival', 'd': arrival}}, {{'t': 'forecast_departure', 'd': departure}}, {{'t': 'station_report', 'd': station}}, {{'t': 'platform_update', 'd': platform}}], lambda x: coalesce(x.d, '') <> '')) AS e FROM k)
 SELECT event_id || ':' || e.t AS ledger_id, run_id, epoch_us(occurred_at) AS occurred_at, e.t AS type, e.d AS detail FROM u""")
 def c18(spark, sf):
-    return ledger.unpivot_update(ev(spark, sf)).withColumn("occurred_at", F.unix_micros("occurred_at"))
+    some = lambda n, x: F.when(F.col("event_id") % n == 0, x)
+    rows = ev(spark, sf).withColumns({
+        "public_status": F.when(F.col("event_id") % 5 != 0, F.col("station")).otherwise(""), "forecast_arrival": some(3, F.date_format("occurred_at", "HH:mm")), "forecast_departure": some(4, F.date_format("observed_at", "HH:mm")),
+        "station": some(2, F.col("station")), "platform": some(7, F.concat(F.lit("p"), (F.col("event_id") % 9).cast("string"))),
+    })
+    return ledger.unpivot_update(rows).withColumn("occurred_at", F.unix_micros("occurred_at"))
 
 
 @job("a18_append_new", f"WITH {EV} SELECT DISTINCT event_id, station FROM ev WHERE event_id % 3 = 0 AND event_id % 2 <> 0")
