@@ -9,6 +9,8 @@ from ledgerline.functions.scalars import clamp, freshness_factor
 
 #: Minutes after which a report no longer moves a position, and after which it is gone.
 FROZEN, GONE = 90, 180
+#: Halves are rounded up, whatever the last bit of their binary form.
+HALF = 1e-9
 
 
 def _hours(later: Column, earlier: Column) -> Column:
@@ -47,9 +49,9 @@ def schedule_position(schedule: DataFrame, runs: DataFrame, now: Column, stale_m
     return rows.select(
         "run_id", status.alias("status"), method.alias("method"),
         F.when(status == "estimated", F.col("p.km") + (F.col("n.km") - F.col("p.km")) * progress).when(nearest, one["km"]).alias("km"),
-        F.round(F.when(status == "estimated", confidence).when(nearest, F.when(told, 0.72).otherwise(0.32)).otherwise(0.0), 2).alias("confidence"),
+        F.round(F.when(status == "estimated", confidence).when(nearest, F.when(told, 0.72).otherwise(0.32)).otherwise(0.0) + HALF, 2).alias("confidence"),
         F.round(F.when(status == "estimated", error).when(nearest, F.when(told, 0.9).otherwise(4.0)), 1).alias("error_km"),
-        F.when(status == "estimated", F.round(progress, 3)).alias("progress"),
+        F.when(status == "estimated", F.round(progress + HALF, 3)).alias("progress"),
         F.when(status == "estimated", F.col("last_confirmed_at")).when(nearest & (one["status"] == "confirmed"), one["at"]).alias("last_confirmed_at"),
         F.when(status == "estimated", F.col("p.event_id")).alias("from_event_id"), F.when(status == "estimated", F.col("n.event_id")).alias("to_event_id"),
     )
@@ -80,7 +82,7 @@ def forecast_position(updates: DataFrame, now: Column) -> DataFrame:
     error = F.greatest(floor, F.col("anchor_error_km") / 2 + F.col("route_km") * (1 - confidence) * F.when(loose, 0.18).otherwise(0.1) + F.greatest(F.lit(0.0), F.col("age") - 30) * 0.22)
     return rows.select(
         "run_id", F.when(frozen, "stale").otherwise("estimated").alias("status"), F.when(loose, "probabilistic-rail-envelope-v1").otherwise("rail-corridor-v6").alias("method"),
-        F.round(progress, 3).alias("progress"), F.round(F.col("route_km") * progress, 3).alias("km"), F.round(confidence, 2).alias("confidence"), F.round(error, 1).alias("error_km"),
+        F.round(progress, 3).alias("progress"), F.round(F.col("route_km") * progress, 3).alias("km"), F.round(confidence + HALF, 2).alias("confidence"), F.round(error + HALF, 1).alias("error_km"),
     )
 
 
@@ -96,7 +98,7 @@ def frozen_position(held: DataFrame, now: Column) -> DataFrame:
     error = F.least(F.lit(300.0), F.greatest(F.coalesce("error_km", F.lit(25.0)), F.when(known, 0.0).otherwise(F.col("route_km") * 0.52), 25 + age * 0.3))
     return held.select(
         "run_id", F.when(age > 90, "stale").otherwise("estimated").alias("status"), F.when(known, "operational-hold-frozen-estimate").otherwise("operational-hold-route-envelope").alias("method"),
-        F.round(progress, 3).alias("progress"), F.round(F.col("route_km") * progress, 3).alias("km"), F.round(confidence, 2).alias("confidence"), F.round(error, 1).alias("error_km"),
+        F.round(progress, 3).alias("progress"), F.round(F.col("route_km") * progress, 3).alias("km"), F.round(confidence + HALF, 2).alias("confidence"), F.round(error + HALF, 1).alias("error_km"),
     )
 
 

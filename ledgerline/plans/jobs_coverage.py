@@ -364,3 +364,13 @@ def g16(spark, sf):
     reached = graph.shortest(nodes.where("node % 50 = 0"), graph.undirected(g_edges(spark, sf)), 5, 100.0)
     paths = graph.walk_back(reached, reached.where("hops >= 2").select("source", "node"), 6)
     return graph.path_quality(paths, F.col("node") - 1).select("source", "node", "steps", "repeats", "via")
+
+
+@job("s11_cycle_watchdog", f"""WITH {EV}, lg AS (SELECT event_id // 4 AS cycle_id, CASE WHEN event_id % 4 = 0 THEN 'started' WHEN event_id % 4 = 3 AND reliability > 0.3 THEN 'finished' END AS phase, occurred_at AS t_at FROM ev), cy AS (SELECT cycle_id, min(t_at) FILTER (phase = 'started') AS began, max(t_at) FILTER (phase = 'finished') AS ended FROM lg GROUP BY cycle_id),
+mi AS (SELECT *, (epoch_us(coalesce(ended, {TS})) - epoch_us(began)) / 60e6 AS m FROM cy WHERE began IS NOT NULL) SELECT cycle_id, CASE WHEN ended IS NOT NULL THEN 'completed' WHEN m > 20 THEN 'failed' ELSE 'running' END AS status, round(m, 3) AS minutes FROM mi""")
+def s11(spark, sf):
+    from ledgerline.streaming.jobs import cycle_states
+
+    phase = F.when(F.col("event_id") % 4 == 0, "started").when((F.col("event_id") % 4 == 3) & (F.col("reliability") > 0.3), "finished")
+    log = ev(spark, sf).select(F.expr("event_id div 4").alias("cycle_id"), phase.alias("phase"), F.col("occurred_at").alias("at"))
+    return cycle_states(log, _at(NOON))

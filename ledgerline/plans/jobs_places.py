@@ -157,7 +157,7 @@ def g2(spark, sf):
     edges = g_edges(spark, sf).where("km < 25")
     parts = graph.components(_nodes(spark, sf), edges)
     at = _nodes(spark, sf).select(F.col("node").alias("id"), (44 + F.pmod(F.col("node") * 7919, F.lit(9000)) / 1000.0).alias("lat"), (22 + F.pmod(F.col("node") * 104729, F.lit(18000)) / 1000.0).alias("lon"))
-    return graph.gaps(parts, at, 1.0, 35)
+    return graph.gaps(parts, at, 2.0, 120)
 
 
 PATHS = f"""WITH RECURSIVE {G_EDGES}, sy AS (SELECT src AS a, dst AS b, km FROM g_edges UNION ALL SELECT dst, src, km FROM g_edges), sym AS (SELECT a, b, min(km) AS km FROM sy GROUP BY a, b),

@@ -171,8 +171,8 @@ e AS (SELECT rn.run_id, rn.now, geometry_quality, coalesce(cf, confirmed_at) AS
 c AS (SELECT *, greatest((epoch_us(na) - epoch_us(pa)) / 3.6e9, 1 / 3.6e6) AS gap, coalesce(greatest(0.0, (epoch_us(now) - epoch_us(last_at)) / 3.6e9), 8.0) AS age, greatest(abs(coalesce(pd, 0)), abs(coalesce(nd, 0))) AS dl, coalesce(events >= 2, false) AS known, pa IS NOT NULL AND na IS NOT NULL AS two, coalesce(pa, na) AS oa, coalesce(ps, ns) AS os, coalesce(pk, nk) AS ok FROM e),
 f AS (SELECT *, least(1.0, greatest(0.0, ((epoch_us(now) - epoch_us(pa)) / 3.6e9) / gap)) AS progress, least(0.97, greatest(0.08, CASE ps WHEN 'confirmed' THEN 0.96 WHEN 'reported' THEN 0.84 ELSE 0.7 END * 0.55 + coalesce(geometry_quality, 0.9) * 0.35 + 0.1 - least(0.27, gap * 0.07) - least(0.25, age * 0.035) - least(0.14, dl / 300.0::DOUBLE))) AS conf,
   CASE WHEN known AND two THEN 'estimated' WHEN known AND abs((epoch_us(now) - epoch_us(oa)) / 3.6e9) * 60 <= 12 THEN CASE WHEN os = 'reported' THEN 'reported' ELSE 'stale' END ELSE 'unknown' END AS status FROM c)
-SELECT run_id, status, round(CASE WHEN status = 'estimated' THEN pk + (nk - pk) * progress WHEN status <> 'unknown' THEN ok END, 3) AS km, round(CASE WHEN status = 'estimated' THEN conf WHEN status = 'reported' THEN 0.72 WHEN status = 'stale' THEN 0.32 ELSE 0.0 END, 2) AS confidence,
-  CASE WHEN status = 'estimated' THEN round(progress, 3) END AS progress, CASE WHEN status = 'estimated' THEN pe END AS from_event_id, CASE WHEN status = 'estimated' THEN ne END AS to_event_id, epoch_us(CASE WHEN status = 'estimated' THEN last_at WHEN status <> 'unknown' AND os = 'confirmed' THEN oa END) AS last_confirmed_at FROM f""")
+SELECT run_id, status, round(CASE WHEN status = 'estimated' THEN pk + (nk - pk) * progress WHEN status <> 'unknown' THEN ok END, 3) AS km, round(CASE WHEN status = 'estimated' THEN conf WHEN status = 'reported' THEN 0.72 WHEN status = 'stale' THEN 0.32 ELSE 0.0 END + 1e-9, 2) AS confidence,
+  CASE WHEN status = 'estimated' THEN round(progress + 1e-9, 3) END AS progress, CASE WHEN status = 'estimated' THEN pe END AS from_event_id, CASE WHEN status = 'estimated' THEN ne END AS to_event_id, epoch_us(CASE WHEN status = 'estimated' THEN last_at WHEN status <> 'unknown' AND os = 'confirmed' THEN oa END) AS last_confirmed_at FROM f""")
 def m2(spark, sf):
     line = table(spark, sf, "lineitem")
     at = F.timestamp_micros(F.unix_micros(_at("1995-06-17 00:00:00")) + (F.col("l_partkey") * 7 + F.col("l_linenumber") * 131) % 1200 * 60_000_000)
@@ -198,14 +198,14 @@ def _updates(spark, sf):
 
 
 @job("m3_forecast_position", f"""WITH {UPD}, src AS (SELECT *, TIMESTAMP '{NOON}' AS now FROM up WHERE updated_at <= TIMESTAMP '{NOON}'), {FORECAST}
-SELECT event_id AS run_id, {FORECAST_ROW}, round(cf, 2) AS confidence FROM fc""")
+SELECT event_id AS run_id, {FORECAST_ROW}, round(cf + 1e-9, 2) AS confidence FROM fc""")
 def m3(spark, sf):
     rows = _updates(spark, sf).where(F.col("updated_at") <= _at(NOON)).withColumn("run_id", F.col("event_id"))
     return positions.forecast_position(rows, _at(NOON)).select("run_id", "status", "km", "confidence")
 
 
 @job("m3_frozen_position", f"""WITH {UPD}, h AS (SELECT event_id AS run_id, route_km, CASE WHEN event_id % 4 <> 0 THEN event_id % 100 / 100.0::DOUBLE END AS progress, CASE WHEN event_id % 4 <> 0 THEN 0.5::DOUBLE END AS confidence, CASE WHEN event_id % 4 <> 0 THEN 12.0::DOUBLE END AS error_km, greatest(0.0, (epoch_us(TIMESTAMP '{NOON}') - epoch_us(updated_at)) / 3.6e9 * 60) AS age FROM up)
-SELECT run_id, status, km, round(err, 1) AS error_km FROM (SELECT run_id, CASE WHEN age > 90 THEN 'stale' ELSE 'estimated' END AS status, round(route_km * coalesce(progress, 0.5), 3) AS km, least(300.0, greatest(coalesce(error_km, 25.0), CASE WHEN progress IS NULL THEN route_km * 0.52 ELSE 0.0 END, 25 + age * 0.3))::DOUBLE AS err FROM h)""")
+SELECT run_id, status, km, round(err + 1e-9, 1) AS error_km FROM (SELECT run_id, CASE WHEN age > 90 THEN 'stale' ELSE 'estimated' END AS status, round(route_km * coalesce(progress, 0.5), 3) AS km, least(300.0, greatest(coalesce(error_km, 25.0), CASE WHEN progress IS NULL THEN route_km * 0.52 ELSE 0.0 END, 25 + age * 0.3))::DOUBLE AS err FROM h)""")
 def m3_frozen(spark, sf):
     k = F.col("event_id")
     some = lambda x: F.when(k % 4 != 0, x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,10 +23,15 @@ def ledger_stream(spark: SparkSession, path: str, schema: StructType, files_per_
     return reader.parquet(path)
 
 
-def run_once(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Drain the stream to a parquet table, with a checkpoint in the shared folder."""
-    root = scratch_root(stream.sparkSession)
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{root}/stream-{abs(hash(path))}").outputMode(mode).trigger(availableNow=True).start()
+def checkpoint_for(spark: SparkSession, name: str) -> str:
+    """The checkpoint of a stream in the shared folder: the same one for the same name, in every process."""
+    return f"{scratch_root(spark)}/streams/{hashlib.sha256(name.encode()).hexdigest()[:24]}"
+
+
+def run_once(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> None:
+    """Drain the stream to a parquet table.  A restart with the same checkpoint goes on where the last run ended."""
+    where = checkpoint or checkpoint_for(stream.sparkSession, path)
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", where).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -52,21 +59,28 @@ def snapshots(stream: DataFrame, width: str = "15 minutes", late: str = "36 hour
 
 
 def resolved(predictions: DataFrame, facts: DataFrame, within: str = "2 days") -> DataFrame:
-    """Facts that can resolve a prediction of the same train; the first per prediction is picked where they land."""
+    """Facts that can resolve a prediction of the same train; ``first_resolutions`` picks the first where they land."""
     p = predictions.select(F.col("event_id").alias("prediction_id"), "train", F.col("occurred_at").alias("predicted_at")).withWatermark("predicted_at", "1 hour")
     f = facts.select(F.col("event_id").alias("fact_id"), F.col("train").alias("fact_train"), F.col("occurred_at").alias("fact_at")).withWatermark("fact_at", "1 hour")
     return p.join(f, F.expr(f"train = fact_train AND fact_at > predicted_at AND fact_at <= predicted_at + interval {within}")).select("prediction_id", "fact_id", "predicted_at", "fact_at")
 
 
+def first_resolutions(landed: DataFrame) -> DataFrame:
+    """Each prediction once, with its first fact."""
+    return landed.groupBy("prediction_id").agg(F.min_by(F.struct("fact_id", "predicted_at", "fact_at"), F.struct("fact_at", "fact_id")).alias("f")).select("prediction_id", "f.*")
+
+
 TRANSITION = "run_id string, event_id long, from_station string, station string, occurred_at timestamp"
 EXPIRED = "expired"
+#: Minutes of silence after which a run is stale, unknown and forgotten.
+SILENCE = {"stale": 90, "unknown": 180, EXPIRED: 360}
 
 
 class RunState(StatefulProcessor):
-    """Last station of each run; a row for every change, and one when a run stays silent past the limit."""
+    """Last station of each run; a row for every change, and one at each limit of silence.  After the last the run is forgotten."""
 
-    def __init__(self, silent_minutes: int = 180):
-        self.silent_ms = silent_minutes * 60_000
+    def __init__(self, silence: dict[str, int]):
+        self.silence = {name: minutes * 60_000 for name, minutes in silence.items()}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -82,35 +96,99 @@ class RunState(StatefulProcessor):
             before, at = row.station, int(row.occurred_at.timestamp() * 1000)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at + self.silent_ms)
+        for wait in self.silence.values():
+            self.handle.registerTimer(at + wait)
         self.last.update((before, at))
         yield pd.DataFrame(out, columns=["run_id", "event_id", "from_station", "station", "occurred_at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        station, at = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame([(key[0], -1, station, EXPIRED, pd.Timestamp(at + self.silent_ms, unit="ms"))], columns=["run_id", "event_id", "from_station", "station", "occurred_at"])
+        out = []
+        if self.last.exists():
+            station, at = self.last.get()
+            passed = expiredTimerInfo.getExpiryTimeInMs() - at
+            out = [(key[0], -1, station, name, pd.Timestamp(at + wait, unit="ms")) for name, wait in self.silence.items() if wait == passed]
+            if passed >= max(self.silence.values()):
+                self.last.clear()
+        yield pd.DataFrame(out, columns=["run_id", "event_id", "from_station", "station", "occurred_at"])
 
     def close(self) -> None:
         pass
 
 
-def transitions(stream: DataFrame, silent_minutes: int = 180, late: str = "1 hour") -> DataFrame:
-    """Changes of station per run with event-time timers for silence.  Needs the RocksDB state store."""
+def transitions(stream: DataFrame, silence: dict[str, int] = SILENCE, late: str = "1 hour") -> DataFrame:
+    """Changes of station per run with event-time timers for silence.  Needs the RocksDB state store.
+
+    Rows of a silent run carry the name of the limit in ``station`` and -1 for ``event_id``: the queue of runs to look at again.
+    """
     rows = stream.withWatermark("occurred_at", late).select("run_id", "event_id", "station", "occurred_at")
-    return rows.groupBy("run_id").transformWithStateInPandas(RunState(silent_minutes), TRANSITION, "append", "eventtime")
+    return rows.groupBy("run_id").transformWithStateInPandas(RunState(silence), TRANSITION, "append", "eventtime")
+
 
+def with_ledger(stream: DataFrame, ledger: str, fused: Callable[[DataFrame], None], now: Column, look_back_hours: int = 36, checkpoint: str | None = None) -> StreamingQuery:
+    """Every row lands in the ledger; only rows inside the look-back go on to fusion.
 
-def with_ledger(stream: DataFrame, ledger: str, fused: Callable[[DataFrame], None], now: Column, look_back_hours: int = 36) -> StreamingQuery:
-    """Every row lands in the ledger; only rows inside the look-back go on to fusion."""
+    A batch is written under its number, so one that is tried again replaces what it had written.
+    """
 
     def both(batch: DataFrame, number: int) -> None:
         batch.persist()
-        batch.write.mode("append").parquet(ledger)
-        fused(batch.where(F.unix_micros(now) - F.unix_micros("occurred_at") <= look_back_hours * 3_600_000_000))
-        batch.unpersist()
+        try:
+            batch.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+            fused(batch.where(F.unix_micros(now) - F.unix_micros("occurred_at") <= look_back_hours * 3_600_000_000))
+        finally:
+            batch.unpersist()
+
+    where = checkpoint or checkpoint_for(stream.sparkSession, ledger)
+    return stream.writeStream.foreachBatch(both).option("checkpointLocation", where).trigger(availableNow=True).start()
+
+
+LAST_SEEN = "run_id string, last_at timestamp, since timestamp"
+
+
+def coverage_gaps(stream: DataFrame, path: str, silent_minutes: int = 180, checkpoint: str | None = None) -> StreamingQuery:
+    """Open, update and resolve coverage gaps as batches arrive: ``path/changes`` and the state after each batch in ``path/state``.
+
+    A run is silent when it lags the newest report by more than the limit.  A batch reads the state of the batch before and
+    writes its own, so it can be tried again.
+    """
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        old = spark.read.schema(LAST_SEEN).parquet(f"{path}/state/batch={number - 1}") if number else spark.createDataFrame([], LAST_SEEN)
+        seen = old.select("run_id", "last_at").unionByName(batch.select("run_id", F.col("occurred_at").alias("last_at"))).groupBy("run_id").agg(F.max("last_at").alias("last_at"))
+        newest = seen.agg(F.max("last_at").alias("newest"))
+        rows = seen.crossJoin(F.broadcast(newest))  # one row
+        late = F.unix_micros("newest") - F.unix_micros("last_at") > silent_minutes * 60_000_000
+        rows = rows.select("run_id", "last_at", F.when(late, F.col("last_at")).alias("since"))
+        rows.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        now = spark.read.schema(LAST_SEEN).parquet(f"{path}/state/batch={number}")
+        gaps = lambda df: df.where("since IS NOT NULL").select("run_id", "since")
+        gap_changes(gaps(old), gaps(now)).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    where = checkpoint or checkpoint_for(spark, path)
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", where).trigger(availableNow=True).start()
+
+
+def cycle_log(work: Callable[[DataFrame, int], dict[str, int]], log: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that logs the begin of ``work`` and its counters at the end, one row each, under the batch's number."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        row = lambda phase, counts: spark.range(1).select(F.lit(number).cast("long").alias("cycle_id"), F.lit(phase).alias("phase"), F.current_timestamp().alias("at"), F.lit(counts).cast("string").alias("counters"))
+        row("started", None).write.mode("overwrite").parquet(f"{log}/cycle={number}/step=0")
+        counters = work(batch, number)
+        row("finished", json.dumps(counters, sort_keys=True)).write.mode("overwrite").parquet(f"{log}/cycle={number}/step=1")
+
+    return run
+
 
-    return stream.writeStream.foreachBatch(both).option("checkpointLocation", f"{scratch_root(stream.sparkSession)}/ledger-{abs(hash(ledger))}").trigger(availableNow=True).start()
+def cycle_states(log: DataFrame, now: Column, limit_minutes: float = 20) -> DataFrame:
+    """``cycle_id, status, minutes``: completed, running, or failed when a cycle has not ended within the limit."""
+    began, ended = F.min(F.when(F.col("phase") == "started", F.col("at"))), F.max(F.when(F.col("phase") == "finished", F.col("at")))
+    rows = log.groupBy("cycle_id").agg(began.alias("began"), ended.alias("ended"))
+    minutes = (F.unix_micros(F.coalesce("ended", now)) - F.unix_micros("began")) / F.lit(60e6)
+    status = F.when(F.col("ended").isNotNull(), "completed").when(minutes > limit_minutes, "failed").otherwise("running")
+    return rows.where("began IS NOT NULL").select("cycle_id", status.alias("status"), F.round(minutes, 3).alias("minutes"))
 
 
 def gap_changes(open_gaps: DataFrame, silent: DataFrame) -> DataFrame:

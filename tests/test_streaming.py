@@ -66,7 +66,8 @@ def test_transitions_equal_batch(spark, ledger, tmp_path):
         out = drained(spark, jobs.transitions(jobs.ledger_stream(spark, path, rows.schema)), str(tmp_path / "out"))
         batch = state.transitions(rows, "run_id", "occurred_at", "event_id", ["station"]).select("run_id", "event_id", "from_station", "station")
         same(out.where("event_id >= 0").select("run_id", "event_id", "from_station", "station"), batch)
-        assert out.where(F.col("station") == jobs.EXPIRED).count() > 0, "silent runs expire"
+        silent = {r.station: r["count"] for r in out.where("event_id < 0").groupBy("station").count().collect()}
+        assert set(silent) == set(jobs.SILENCE) and silent["stale"] >= silent["unknown"] >= silent[jobs.EXPIRED] > 0, "silent runs pass all limits"
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
@@ -75,7 +76,7 @@ def test_resolution_contains_the_batch_answer(spark, ledger, tmp_path):
     path, rows = ledger
     stream = lambda s: jobs.ledger_stream(spark, path, rows.schema).where(F.col("station") == s)
     out = drained(spark, jobs.resolved(stream("signup"), stream("purchase"), "40 days"), str(tmp_path / "out"))
-    first = out.groupBy("prediction_id").agg(F.min_by("fact_id", F.struct("fact_at", "fact_id")).alias("fact_id"))
+    first = jobs.first_resolutions(out).select("prediction_id", "fact_id")
     p = rows.where("station = 'signup'").select("train", F.col("event_id").alias("prediction_id"), F.col("occurred_at").alias("predicted_at"))
     batch = state.first_after(p, rows.where("station = 'purchase'"), ["train"], "predicted_at", "occurred_at", "event_id").where("fact_id IS NOT NULL").select("prediction_id", "fact_id")
     same(first, batch)
@@ -95,3 +96,49 @@ def test_gaps_and_heartbeat(spark):
     assert sorted(map(tuple, jobs.gap_changes(old, new).collect())) == [("a", "resolved", 1), ("b", "updated", 2), ("c", "opened", 3)]
     checks = spark.createDataFrame([("s", i, i, ok) for i, ok in enumerate([False, False, True, False, False, False])], "source_id string, event_id long, occurred_at long, ok boolean")
     assert [r.failures for r in jobs.heartbeat(checks).orderBy("event_id").collect()] == [1, 2, 0, 1, 2, 3]
+
+
+def test_a_stream_that_fails_and_restarts_lands_every_row_once(spark, ledger, tmp_path):
+    path, rows = ledger
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = lambda: jobs.ledger_stream(spark, str(tmp_path / "in"), rows.schema, 1)
+    now, seen, kept, where = F.lit("2024-01-15 12:00:00").cast("timestamp"), [], str(tmp_path / "kept"), str(tmp_path / "checkpoint")
+
+    def failing(batch):
+        seen.append(batch.count())
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        jobs.with_ledger(stream(), kept, failing, now, checkpoint=where).awaitTermination()
+    jobs.with_ledger(stream(), kept, failing, now, checkpoint=where).awaitTermination()
+    jobs.with_ledger(stream(), kept, failing, now, checkpoint=where).awaitTermination()
+    landed = spark.read.parquet(kept)
+    assert landed.count() == rows.count() == landed.select("event_id").distinct().count()
+    out = str(tmp_path / "out")
+    jobs.run_once(stream().select("event_id"), out, checkpoint=str(tmp_path / "other"))
+    jobs.run_once(stream().select("event_id"), out, checkpoint=str(tmp_path / "other"))
+    assert spark.read.parquet(out).count() == rows.count()
+    assert jobs.checkpoint_for(spark, "x") == jobs.checkpoint_for(spark, "x")
+
+
+def test_coverage_gaps_on_a_stream(spark, tmp_path):
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    for i, part in enumerate(([("a", 0), ("b", 0)], [("b", 200)], [("a", 230), ("b", 230)])):
+        spark.createDataFrame([(r, at(m)) for r, m in part], "run_id string, t string").select("run_id", F.col("t").cast("timestamp").alias("occurred_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.ledger_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+        jobs.coverage_gaps(stream, str(tmp_path / "gaps"), 180, str(tmp_path / "checkpoint")).awaitTermination()
+    got = sorted((r.batch, r.run_id, r.status) for r in spark.read.parquet(str(tmp_path / "gaps/changes")).collect())
+    assert got == [(1, "a", "opened"), (2, "a", "resolved")]
+
+
+def test_cycle_log_and_watchdog(spark, tmp_path):
+    run = jobs.cycle_log(lambda batch, n: {"rows": batch.count()}, str(tmp_path / "log"))
+    run(spark.range(5), 0)
+    run(spark.range(5), 0)
+    with pytest.raises(ZeroDivisionError):
+        jobs.cycle_log(lambda batch, n: 1 / 0, str(tmp_path / "log"))(spark.range(2), 1)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert [r.counters for r in log.where("phase = 'finished'").collect()] == ['{"rows": 5}']
+    states = lambda after: {r.cycle_id: r.status for r in jobs.cycle_states(log, F.current_timestamp() + F.expr(f"interval {after} minutes")).collect()}
+    assert states(5) == {0: "completed", 1: "running"} and states(25) == {0: "completed", 1: "failed"}
