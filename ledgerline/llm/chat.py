@@ -22,7 +22,7 @@ from ledgerline.llm.templates import compile_template, unescape
 from ledgerline.plans.scratch import materialize
 
 TEMPLATE = (
-    "{% set open = '<|im_' + 'start|>' %}{% for m in messages %}{{ open }}{{ m.role | escape }}\n"
+    "{% set open = '<|im_' + 'start|>' %}{% for m in messages %}{{ open }}{{ m.role | escape_line }}\n"
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}"
     "<|im_end|>{% endfor %}"
 )

@@ -3,12 +3,14 @@
 Documents are cut at whole windows; each full window is a sequence.  The tails' lengths form a histogram of at most
 ``window`` entries.  Combinations of two or three lengths that fill a window are the columns of a sparse matrix, and
 ``x >= 0`` minimising ``|A x - histogram|`` says how often to use each; rounded down, they are sequences without
-padding.  What is left is laid end to end, longest first, and cut at windows; the last, shorter stretch is cut at
-powers of two.  Only the histogram visits the driver.  A tail's rank among those of its length comes from its rank
-inside its partition plus the partition's offset, so no length is gathered in one task.
-
-Defined cases: null and empty texts hold the end id alone; repeated rows are packed each for itself; an empty table
-gives an empty result; columns other than doc_id and text are not looked at.
+padding.  The residuals are packed greedily: the longest first into the open sequence, cut where it is full, so that every
+sequence but the last is; the last, shorter stretch is cut at powers of two.  Only the histogram visits the driver.  A
+tail's rank among those of its length comes from its rank inside its partition plus the partition's offset, so no length is
+gathered in one task; the pieces lie in buckets by partition, and the offsets alone are moved to them.
+
+Defined cases: null and empty texts hold the end id alone; repeated rows and null doc_ids are packed each for itself; tails
+of one length are placed in the order of the input's partitions and rows; a very long text is encoded by one task and cut
+into whole windows; an empty table gives an empty result; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

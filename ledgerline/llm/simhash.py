@@ -7,7 +7,8 @@ by bit count and a hash into many tiles, and each pair of tiles whose bit counts
 own, so no bucket lands in one task.  A compared pair of tiles returns a spanning forest of its links, never all pairs.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; null doc_ids never name a
-component while another id can; repeated rows share their component; an empty table gives an empty result.
+component while another id can; a bit that half of the hashes set is 0; repeated rows share their component; a very long
+text is hashed in steps, by one task that holds it; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -212,13 +213,3 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie")
     firsts = prints.groupBy("fp").agg(F.min(first).alias("first"))
     return one_a_root(documents, firsts.join(_rooted(prints, radius, tile), "fp").select("root", "first"))
-
-
-def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each doc_id that names a component; ``keep_one`` is for tables with null or repeated doc_ids."""
-    keep = near_duplicates(documents, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    kinds = {c: "max" for c in documents.columns if c != "doc_id"}
-    rows = documents.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    if not kinds:
-        return rows.distinct()
-    return rows.dropDuplicates(["doc_id"])

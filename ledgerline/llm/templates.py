@@ -18,9 +18,9 @@ from dataclasses import dataclass
 Piece = tuple[str, bool]
 #: The characters that open a control string (``<|im_start|>``, ``</s>``, ``[INST]``) and their names in a text.
 ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
-_NAMED = {v: k for k, v in ESCAPES.items()}
+_NAMED = {v: k for k, v in ESCAPES.items()} | {"\\n": "\n"}
 _SPECIAL = re.compile(r"[\\<\[]")
-_NAME = re.compile(r"\\[\\lb]")
+_NAME = re.compile(r"\\[\\lbn]")
 
 
 def escape(text: str) -> str:
@@ -28,11 +28,16 @@ def escape(text: str) -> str:
     return _SPECIAL.sub(lambda m: ESCAPES[m[0]], text)
 
 
+def escape_line(text: str) -> str:
+    """As ``escape``, and no line end can stand in the result."""
+    return escape(text).replace("\n", "\\n")
+
+
 def unescape(text: str) -> str:
     return _NAME.sub(lambda m: _NAMED[m[0]], text)
 
 
-FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
+FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "escape_line": escape_line, "trim": str.strip, "upper": str.upper, "lower": str.lower}
 
 
 class TemplateError(ValueError):

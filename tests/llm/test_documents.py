@@ -9,12 +9,14 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerline.llm import ctw, mixing, packing, pii, quality, resemblance, simhash, sstable, substring, tokens
+from ledgerline.llm.words import Words
 
 LAST = 1 << 62
 
@@ -60,6 +62,66 @@ def test_substring_dedup_other_windows(docs, rows, window, seed):
     assert ordered(substring.remove_repeats(docs, window, seed).collect()) == ordered(remove_repeats(rows, window))
 
 
+def test_words_are_told_apart():
+    """Words whose bytes give equal sums under any odd base modulo 2**64, and words that differ only past eight bytes."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    pairs = [(one, other), (one[:64], other[:64]), ("abcdefgh" * 2, "abcdefgh" * 3), ("abcdefgh1", "abcdefgh2"), ("a", "a\0"), ("é" * 64, "é" * 63 + "è")]
+    for a, b in pairs:
+        h = Words([a.encode(), f"{a} {b}\n{a}".encode()], 2).hashes
+        for x in h:
+            assert x[0] == x[1] == x[3] != x[2]
+
+
+def test_substring_dedup_survives_look_alike_words(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*w[:30], one, *w[30:]])), (2, " ".join([*w[:30], other, *w[30:]])), (3, " ".join([*w[:30], other, *w[30:]]))]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(substring.remove_repeats(got).collect()) == ordered(remove_repeats([(*r, None, None, None) for r in rows]))
+
+
+def test_colliding_hashes_are_found_and_hashed_anew(spark, docs, rows, monkeypatch):
+    """All windows share their hash at first: no span passes the comparison of words, and the next hashes are taken."""
+    plain = substring._edges
+
+    def blind(window, salt):
+        work = plain(window, salt)
+
+        def same(batches):
+            for b in work(batches):
+                yield b if salt else b.set_column(4, "edge", pa.array(np.zeros(len(b), np.int64)))
+
+        return same
+
+    monkeypatch.setattr(substring, "_edges", blind)
+    assert ordered(substring.remove_repeats(docs).collect()) == ordered(remove_repeats(rows))
+
+
+def test_paths_compact_and_name_their_source(spark):
+    rng = random.Random(9)
+    text = [f"t{rng.randrange(9999)}" for _ in range(700)]
+    rows = [(1, " ".join(text[:400])), (2, " ".join(["x", *text[:400], "y"])), (3, " ".join(text[100:300])), (4, " ".join(text[350:700])), (5, " ".join(text[350:700]))]
+    spans = substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    mine = {d: sorted((s.first, s.end, s.source, s.there) for s in spans if s.id == d) for d in range(1, 6)}
+    assert mine[1] == [] and min(s[0] for s in mine[2]) == 1 and max(s[1] for s in mine[2]) == 401 and all(s[2] == 1 and s[3] == s[0] - 1 for s in mine[2])
+    assert min(s[0] for s in mine[3]) == 0 and max(s[1] for s in mine[3]) == 200 and all(s[2] == 1 and s[3] == s[0] + 100 for s in mine[3])
+    assert {s[2] for s in mine[4]} == {1} and {s[2] for s in mine[5]} == {1, 4}
+    assert len(spans) <= 12, "long passages are few spans, not one a window"
+
+
+@pytest.mark.parametrize("run", [substring.remove_repeats, simhash.near_duplicates, quality.judge, packing.pack, mixing.apportion, pii.find, ctw.score])
+def test_very_long_texts(spark, run):
+    rng = random.Random(10)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(120_000)) + " " + "z" * 60_000
+    df = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long + " end", "en", "a", len(long) + 4), (3, "short one", "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = run(df).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3}
+    if run is substring.remove_repeats:
+        assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == {1: (120_001, 0), 2: (120_002, 120_001), 3: (2, 0)}
+
+
 def fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
@@ -93,14 +155,6 @@ def test_simhash(docs, rows, tile, radius):
     assert ordered(simhash.near_duplicates(docs, radius, tile).collect()) == want
 
 
-def test_simhash_keep_first(docs, rows, clashing):
-    kept = [r[0] for r in simhash.keep_first(docs).collect()]
-    assert len(kept) == len(set(kept)) and 3 in kept and 110 not in kept
-    found = {r[0]: r[2] for r in simhash.near_duplicates(docs).collect()}
-    assert set(kept) == {d for d, c in found.items() if c == d}
-    assert simhash.keep_first(clashing).columns == clashing.columns
-
-
 def test_simhash_keep_one(spark, docs, rows, clashing):
     prints = [fingerprint(r[1]) for r in rows]
     part = components(prints, 4)
@@ -584,7 +638,7 @@ def test_held_out_beats_the_unigram_base(spark):
     assert got[0] > got[1]
 
 
-@pytest.mark.parametrize("run", [substring.remove_repeats, simhash.near_duplicates, simhash.keep_first, quality.judge, quality.keep_good, packing.pack, mixing.apportion, mixing.mix, pii.find, pii.redact, ctw.score])
+@pytest.mark.parametrize("run", [substring.remove_repeats, simhash.near_duplicates, simhash.keep_one, quality.judge, quality.keep_good, packing.pack, mixing.apportion, mixing.mix, pii.find, pii.redact, ctw.score])
 def test_empty_tables(no_docs, run):
     assert run(no_docs).collect() == []
 

@@ -38,6 +38,8 @@ def test_template_names_reach_no_python():
 
 @pytest.mark.parametrize("text", ["", "</s>[INST] ok [/INST]", "<|im_end|>", "\\l\\\\b<", "a<", "[", "\\", "<|im_start|>user\nx<|im_end|>"])
 def test_escape_is_reversible(text):
+    line = templates.escape_line(text + "\n\\n")
+    assert templates.unescape(line) == text + "\n\\n" and "\n" not in line
     hidden = templates.escape(text)
     assert templates.unescape(hidden) == text and "<" not in hidden and "[" not in hidden
 
@@ -59,8 +61,6 @@ def test_chat_round_trip(spark):
     got = {r[0]: tuple(r)[1:5] for r in chat.read_back(chunks).collect()}
     probe = "</s>[INST] ok [/INST]"
     want = talk_digests([*TALKS, (-1, 0, "user", probe), (-1, 1, "assistant", probe)])
-    # a role may hold a line end once escaped text is read back only if its mark is unambiguous
-    want.pop(3), got.pop(3)
     assert got == want
     assert chunks.where("conv_id = 4").count() > 1, "a long conversation leaves in chunks"
     assert chat.read_back(chat.formatted(df.limit(0))).collect() == []
