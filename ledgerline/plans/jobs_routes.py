@@ -136,7 +136,7 @@ def g17(spark, sf):
 
 
 @job("g18_route_geometry", f"""WITH {G_EDGES}, sg AS (SELECT src, dst, min(km) AS km FROM g_edges WHERE dst = src + 1 GROUP BY ALL), rt AS (SELECT p_partkey AS route_id FROM part, g_top WHERE p_partkey % 97 BETWEEN 1 AND 93 AND p_partkey + 3 <= n),
-st AS (SELECT route_id, i, src, km FROM rt, range(3) t(i) JOIN sg ON src = route_id + i) SELECT route_id, count(*) * 2 + 1 AS points, sum(2 * src + 0.5) + min(src) + 3 AS checksum, round(min(1 - km / 100), 3) AS quality FROM st GROUP BY route_id HAVING count(*) = 3""")
+st AS (SELECT route_id, i, src, km FROM rt, range(3) t(i) JOIN sg ON src = route_id + i) SELECT route_id, count(*) * 2 + 1 AS points, sum(2 * src + 0.5)::DOUBLE + min(src) + 3 AS checksum, round(min(1 - km / 100), 3) AS quality FROM st GROUP BY route_id HAVING count(*) = 3""")
 def g18(spark, sf):
     """Paths of four nodes in a row; each segment has a bend half way."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("route_id"))
