@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars
-from ledgerline.operators import positions, routes
+from ledgerline.operators import places, positions, routes
 
 
 def network(seed, n=14):
@@ -202,3 +202,18 @@ def test_held_run_without_estimate_gets_the_route_envelope(spark):
     got = {r.run_id: r for r in positions.frozen_position(df, F.lit("2024-01-01 01:00:00").cast("timestamp")).collect()}
     assert (got["a"].km, got["a"].error_km, got["a"].method) == (100.0, 104.0, "operational-hold-route-envelope")
     assert (got["b"].km, got["b"].error_km, got["b"].confidence) == (50.0, 43.0, 0.35)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_duplicate_groups_as_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    brand = {i: rng.choice(["", "", "a", "b"]) for i in range(40)}
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)})
+    rows = [(a, b, brand[a], brand[b], rng.choice([0.1, 0.2, 0.3, rng.random()])) for a, b in pairs]
+    group = {i: i for p in pairs for i in p}
+    for a, b, *_ in sorted(rows, key=lambda r: (r[4], r[0], r[1])):
+        x, y = group[a], group[b]
+        if x != y and len({brand[i] for i in group if group[i] in (x, y)} - {""}) <= 1:
+            group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    df = spark.createDataFrame(rows, "left_id long, right_id long, left_brand string, right_brand string, km double")
+    assert {r.id: r.place_id for r in places.duplicate_groups(df).collect()} == group
