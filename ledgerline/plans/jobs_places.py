@@ -301,6 +301,17 @@ def a9(spark, sf):
     return pages.coordinates(rows, "at").where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon")
 
 
+@job("a7_station_boards", f"""WITH {EV}, b AS (SELECT event_id, train::VARCHAR AS train, station, epoch_us(occurred_at) // 1000000 AS s FROM ev)
+SELECT event_id, 'departure' AS side, train, station, s AS seconds FROM b UNION ALL SELECT event_id, 'departure', train || 'x', station, s + 60 FROM b WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'arrival', train, station, s FROM b WHERE event_id % 3 = 0""")
+def a7_boards(spark, sf):
+    seconds = F.expr("unix_micros(occurred_at) div 1000000")
+    call = lambda train, time: F.struct(train.alias("train"), F.col("station"), time.alias("time"))
+    train, k = F.col("train").cast("string"), F.col("event_id")
+    departures = F.when(k % 2 == 0, F.array(call(train, seconds), call(F.concat(train, F.lit("x")), (seconds + 60) * 1000))).otherwise(F.array(call(train, seconds * 1000)))
+    rows = ev(spark, sf).select("event_id", F.to_json(F.struct(departures.alias("departures"), F.when(k % 3 == 0, F.array(call(train, seconds))).alias("arrivals"))).alias("board"))
+    return pages.board_rows(rows, "board", "event_id")
+
+
 @job("a11_criteria_counts", "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS yes, count(*) FILTER (l_returnflag = 'N') AS no, count(*) FILTER (l_returnflag = 'A') AS not_applicable FROM lineitem GROUP BY l_orderkey")
 def a11(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("criteria"))

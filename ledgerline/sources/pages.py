@@ -51,3 +51,17 @@ def coordinates(rows: DataFrame, column: str) -> DataFrame:
     """``lat`` and ``lon`` from one text; null where either is no number."""
     parts = F.split(column, ",")
     return rows.withColumns({"lat": parts[0].try_cast("double"), "lon": parts[1].try_cast("double")})
+
+
+BOARD = "departures array<struct<train:string,station:string,time:bigint>>, arrivals array<struct<train:string,station:string,time:bigint>>"
+
+
+def board_rows(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """``key, side, train, station, seconds`` of a station board in JSON: its departures and its arrivals, one row a call.
+
+    Times are epoch seconds or milliseconds, told apart by their size; a missing list has no rows.
+    """
+    board = rows.select(key, F.from_json(column, BOARD).alias("b"))
+    side = lambda name, label: board.select(key, F.lit(label).alias("side"), F.explode(f"b.{name}").alias("c"))
+    both = side("departures", "departure").unionByName(side("arrivals", "arrival"))
+    return both.select(key, "side", "c.train", "c.station", epoch_seconds(F.col("c.time")).alias("seconds"))
