@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def unpivot_update(updates: DataFrame) -> DataFrame:
-    """Up to six typed events of one update; an absent value gives no event.
+    """Up to six typed events of one update; an absent value or column gives no event.
 
     Reads ``event_id, run_id, occurred_at, public_status, delay_min, forecast_arrival, forecast_departure, station, platform``.
     """
     values = {"movement_status": "public_status", "delay_update": "delay_min", "forecast_arrival": "forecast_arrival", "forecast_departure": "forecast_departure", "station_report": "station", "platform_update": "platform"}
-    events = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct(F.lit(kind).alias("type"), F.col(c).cast("string").alias("detail"))) for kind, c in values.items()]))
+    events = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct(F.lit(kind).alias("type"), F.col(c).cast("string").alias("detail"))) for kind, c in values.items() if c in updates.columns]))
     rows = updates.select("event_id", "run_id", "occurred_at", F.explode(events).alias("e"))
     return rows.select(F.concat_ws(":", F.col("event_id").cast("string"), "e.type").alias("ledger_id"), "run_id", "occurred_at", F.col("e.type").alias("type"), F.col("e.detail").alias("detail"))
 

@@ -182,12 +182,12 @@ def _pairs(spark, sf):
 
 @job("d3_link_candidates", f"WITH {LINK} SELECT event_id, run_id FROM cand")
 def d3(spark, sf):
-    return _pairs(spark, sf).select("event_id", "run_id")
+    return _pairs(spark, sf).where("run_id IS NOT NULL").select("event_id", "run_id")
 
 
 @job("m4_link_scores", f"WITH {LINK} SELECT event_id, run_id, score FROM scored")
 def m4(spark, sf):
-    return linking.score(_pairs(spark, sf)).select("event_id", "run_id", "score")
+    return linking.score(_pairs(spark, sf)).where("run_id IS NOT NULL").select("event_id", "run_id", "score")
 
 
 @job("m5_canonical_run", f"""WITH {LINK}, one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY event_id, ro, rd ORDER BY score DESC, run_id) = 1),
