@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, contamination, ctw, embeddings, merkle, mixing, packing, pii, quality, simhash, sstable, substring
+from ledgerline.llm import chat, collocations, contamination, ctw, embeddings, merkle, mixing, packing, pii, quality, simhash, sstable, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apportion(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,5 +72,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_quality_rules, op4_token_shards, op5_chat_formatting, op6_embedding_dedup, op7_context_tree, op8_personal_data, op9_packing, op10_source_mixing, op12_benchmark_decontamination, op13_merkle_manifest)}
-ORACLE_SQL = {"op10_source_mixing": mixing.MIX_SQL, "op12_benchmark_decontamination": contamination.JUDGE_SQL, "op13_merkle_manifest": merkle.audit_sql()}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_quality_rules, op4_token_shards, op5_chat_formatting, op6_embedding_dedup, op7_context_tree, op8_personal_data, op9_packing, op10_source_mixing, op11_phrase_collocations, op12_benchmark_decontamination, op13_merkle_manifest)}
+ORACLE_SQL = {"op10_source_mixing": mixing.MIX_SQL, "op11_phrase_collocations": collocations.MINE_SQL, "op12_benchmark_decontamination": contamination.JUDGE_SQL, "op13_merkle_manifest": merkle.audit_sql()}

@@ -80,6 +80,7 @@ class Words:
         self.total = len(starts)
         eight = np.ndarray((len(text),), "<u8", data, strides=(1,))
         lengths = ends - starts
+        self.starts, self.ends = starts, ends
         self.hashes = [lengths.astype(np.uint64) * k for k in _LANES[:hashes]]
         at, left, short = np.flatnonzero(lengths <= LONG_WORD), 0, None
         while len(at):
