@@ -63,10 +63,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]
     yield held
 
 
-def hashed(lang: str, texts: list[bytes], salt: int = 0) -> tuple[np.ndarray, Words, bytes]:
+def hashed(lang: str, texts: list[bytes], salt: int = 0, lanes: int = 1) -> tuple[np.ndarray, Words, bytes]:
     """The hash of each word, the words and the text they stand in."""
     data = b"\n".join(texts)
-    words = Words([data], 2 if salt else 1)
+    words = Words([data], 2 if salt else lanes)
     x = words.hashes[0] + words.hashes[1] * np.uint64(_SALTS[salt]) if salt else words.hashes[0]
     x = mixed(x + np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))))
     x[x == 0] = 1
@@ -112,8 +112,13 @@ def _names(salt: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             for lang, texts in chunk.items():
-                x, words, data = hashed(lang, texts, salt)
-                found, at = np.unique(x, return_index=True)
+                x, words, data = hashed(lang, texts, salt, 2)
+                # words that share x differ in their other hash, so both names are seen
+                order = np.lexsort((words.hashes[1], x))
+                other = words.hashes[1][order]
+                new = np.concatenate(([True], (x[order][1:] != x[order][:-1]) | (other[1:] != other[:-1])))[: len(x)]
+                at = order[new]
+                found = x[at]
                 tail = b"\n" + lang.encode("utf-8", "surrogatepass")
                 names = [data[s:e] + tail for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
                 columns = [pa.array(np.append(found, 0)), pa.array([*names, tail], pa.binary()), pa.array(np.append(np.zeros(len(found), np.int64), len(x)))]
