@@ -163,41 +163,53 @@ def m1(spark, sf):
     return state.posterior(rows, now_at())
 
 
-LINK = f"""{SESSIONS}, runs AS (SELECT run_id, train AS number, service_date, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen, list(DISTINCT station) AS stations, arg_min(station, (occurred_at, event_id)) AS origin, arg_max(station, (occurred_at, event_id)) AS destination FROM ev GROUP BY ALL),
-obs AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN train END AS number, service_date, lag(station) OVER w AS origin, lead(station) OVER w AS destination, station, occurred_at, CASE event_id % 4 WHEN 0 THEN 'corroborated' WHEN 1 THEN 'conflict' ELSE 'single-source' END AS grade FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY occurred_at, event_id)),
-cand AS (SELECT o.*, r.run_id, r.service_date AS rdate, r.origin AS ro, r.destination AS rd, r.stations, r.last_seen FROM obs o JOIN runs r ON abs(date_diff('day', o.service_date::DATE, r.service_date::DATE)) <= 1 AND (o.number = r.number OR o.number IS NULL AND list_contains(r.stations, o.station))),
-feat AS (SELECT *, coalesce(origin = ro AND destination = rd, false) AS same, coalesce(origin = rd AND destination = ro, false) AS opp, abs(epoch_us(occurred_at) - epoch_us(last_seen)) / 3.6e9 AS gap FROM cand),
-scored AS (SELECT *, least(1.0, greatest(0.0, round(CASE WHEN number IS NOT NULL THEN 0.42::DOUBLE ELSE 0 END + CASE WHEN service_date = rdate THEN 0.24 ELSE 0.08 END + CASE WHEN same THEN 0.2 WHEN opp THEN -0.18 ELSE 0 END + CASE WHEN list_contains(stations, station) THEN 0.12 ELSE -0.04 END
-  + CASE WHEN gap <= 12 THEN 0.06 * (1 - gap / 12) ELSE 0 END + CASE grade WHEN 'corroborated' THEN 0.08 WHEN 'conflict' THEN -0.12 ELSE 0 END + 0.04, 4))) AS score FROM feat)"""
-
-
-def _pairs(spark, sf):
+LINK = f"""{EV}, calls AS (SELECT run_id, list({{'station': station, 'called': called}}) AS calls FROM (SELECT run_id, station, min(occurred_at) AS called FROM ev GROUP BY ALL) GROUP BY run_id),
+runs AS (SELECT *, CASE WHEN number % 4 <> 0 THEN origin || ' - ' || destination END AS rroute, CASE WHEN number % 3 = 0 THEN 'l' || number % 9 END AS rloco FROM (SELECT run_id, train AS number, service_date AS rdate, max(occurred_at) AS last_seen, list(DISTINCT station) AS stations, arg_min(station, (occurred_at, event_id)) AS origin, arg_max(station, (occurred_at, event_id)) AS destination FROM ev GROUP BY ALL) JOIN calls USING (run_id)),
+obs AS (SELECT event_id, CASE WHEN event_id % 53 = 0 THEN train + 100000 WHEN event_id % 50 <> 0 THEN train END AS number, service_date, lag(station) OVER w AS eo, lead(station) OVER w AS ed, station, occurred_at, CASE event_id % 4 WHEN 0 THEN 'corroborated' WHEN 1 THEN 'conflict' ELSE 'single-source' END AS grade,
+  event_id % 3 + 1 AS domains, CASE WHEN event_id % 7 <> 0 THEN reliability END AS reliability, CASE WHEN event_id % 3 = 0 THEN lag(station) OVER w || ' - ' || lead(station) OVER w END AS route, CASE WHEN event_id % 4 = 2 THEN 'l' || event_id % 9 END AS loco, CASE WHEN event_id % 6 = 0 THEN [train::VARCHAR] WHEN event_id % 100 = 50 THEN [run_id] ELSE [] END AS negative FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY occurred_at, event_id)),
+cand AS (SELECT o.*, r.run_id, r.rdate, r.origin AS ro, r.destination AS rd, r.rroute, r.rloco, r.stations, r.calls, r.last_seen, r.number AS rnumber, regexp_replace(lower(concat_ws(' ', r.origin, r.rroute, r.destination)), '[^a-z0-9]+', '-', 'g') AS rtext FROM obs o JOIN runs r ON abs(date_diff('day', o.service_date::DATE, r.rdate::DATE)) <= 1 AND (o.number = r.number OR o.number IS NULL)),
+feat AS (SELECT *, coalesce(eo = ro AND ed = rd, false) AS same, coalesce(eo = rd AND ed = ro, false) AS opp, abs(epoch_us(occurred_at) - epoch_us(last_seen)) / 3.6e9 AS gap, list_min(list_transform(list_filter(calls, lambda c: c.station = station), lambda c: abs(epoch_us(occurred_at) - epoch_us(c.called)) / 6e7)) AS sgap FROM cand),
+weights AS (SELECT *, [{{'n': 'number', 'w': CASE WHEN number IS NOT NULL THEN 0.42::DOUBLE ELSE 0 END}}, {{'n': 'date', 'w': CASE WHEN service_date = rdate THEN 0.24 ELSE 0.08 END}}, {{'n': 'direction', 'w': CASE WHEN same THEN 0.2 ELSE 0 END}}, {{'n': 'opposite', 'w': CASE WHEN opp AND NOT same THEN -0.18 ELSE 0 END}},
+  {{'n': 'route', 'w': CASE WHEN route = rroute THEN 0.14 ELSE 0 END}}, {{'n': 'station', 'w': CASE WHEN list_contains(stations, station) THEN 0.12 WHEN contains(rtext, station) THEN 0.07 ELSE -0.04 END}}, {{'n': 'schedule', 'w': CASE WHEN sgap <= 240 THEN 0.12 * (1 - sgap / 240) ELSE 0 END}},
+  {{'n': 'locomotive', 'w': CASE WHEN loco = rloco THEN 0.12 WHEN loco <> rloco THEN -0.16 ELSE 0 END}}, {{'n': 'time', 'w': CASE WHEN gap <= 12 THEN 0.06 * (1 - gap / 12) ELSE 0 END}}, {{'n': 'corroborated', 'w': CASE WHEN grade = 'corroborated' AND domains >= 2 THEN 0.08 ELSE 0 END}}, {{'n': 'conflict', 'w': CASE WHEN grade = 'conflict' THEN -0.12 ELSE 0 END}},
+  {{'n': 'reliability', 'w': coalesce((reliability - 0.5) * 0.08, 0)}}, {{'n': 'negative', 'w': CASE WHEN list_contains(negative, run_id) OR list_contains(negative, rnumber::VARCHAR) THEN -0.28 ELSE 0 END}}, {{'n': 'completeness', 'w': (2 + (rroute IS NOT NULL)::INTEGER) / 3 * 0.04}}] AS parts FROM feat),
+scored AS (SELECT *, least(1.0, greatest(0.0, round(list_sum(list_transform(parts, lambda x: x.w)), 4))) AS score FROM weights),
+one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY event_id, ro, rd, rroute ORDER BY score DESC, run_id) = 1),
+first AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM one WINDOW w AS (PARTITION BY event_id ORDER BY score DESC, run_id) QUALIFY place <= 5),
+pb AS (SELECT *, round(exp(6 * (score - max_score)) / sum(exp(6 * (score - max_score))) OVER m, 4) AS probability FROM (SELECT *, max(score) OVER (PARTITION BY event_id) AS max_score FROM first) WINDOW m AS (PARTITION BY event_id))"""
+
+
+def _linked(spark, sf):
+    """Observations and the runs they may belong to; some have a number that no run has."""
     e = ev(spark, sf)
-    runs = e.groupBy("run_id", F.col("train").alias("number"), "service_date").agg(F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"), F.collect_set("station").alias("stations"), F.min_by("station", F.struct("occurred_at", "event_id")).alias("origin"), F.max_by("station", F.struct("occurred_at", "event_id")).alias("destination"))
-    order = Window.partitionBy("run_id").orderBy("occurred_at", "event_id")
-    grade = F.when(F.col("event_id") % 4 == 0, "corroborated").when(F.col("event_id") % 4 == 1, "conflict").otherwise("single-source")
-    obs = e.select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("train")).alias("number"), "service_date", F.lag("station").over(order).alias("origin"), F.lead("station").over(order).alias("destination"), "station", "occurred_at", grade.alias("grade"))
-    return linking.candidates(obs, runs)
-
-
-@job("d3_link_candidates", f"WITH {LINK} SELECT event_id, run_id FROM cand")
+    calls = e.groupBy("run_id", "station").agg(F.min("occurred_at").alias("at")).groupBy("run_id").agg(F.collect_list(F.struct("station", "at")).alias("calls"))
+    runs = e.groupBy("run_id", F.col("train").alias("number"), "service_date").agg(F.max("occurred_at").alias("last_seen"), F.collect_set("station").alias("stations"), F.min_by("station", F.struct("occurred_at", "event_id")).alias("origin"), F.max_by("station", F.struct("occurred_at", "event_id")).alias("destination"))
+    runs = runs.join(calls, "run_id").withColumn("route", F.when(F.col("number") % 4 != 0, F.concat_ws(" - ", "origin", "destination"))).withColumn("locomotive", F.when(F.col("number") % 3 == 0, F.concat(F.lit("l"), (F.col("number") % 9).cast("string"))))
+    order, k = Window.partitionBy("run_id").orderBy("occurred_at", "event_id"), F.col("event_id")
+    grade = F.when(k % 4 == 0, "corroborated").when(k % 4 == 1, "conflict").otherwise("single-source")
+    obs = e.select("event_id", F.when(k % 53 == 0, F.col("train") + 100000).when(k % 50 != 0, F.col("train")).alias("number"), "service_date", F.lag("station").over(order).alias("origin"), F.lead("station").over(order).alias("destination"), "station", "occurred_at", grade.alias("grade"), (k % 3 + 1).alias("domains"),
+        F.when(k % 7 != 0, F.col("reliability")).alias("reliability"), F.when(k % 4 == 2, F.concat(F.lit("l"), (k % 9).cast("string"))).alias("locomotive"), F.when(k % 6 == 0, F.array(F.col("train").cast("string"))).when(k % 100 == 50, F.array("run_id")).alias("negative"))
+    obs = obs.withColumn("route", F.when((k % 3 == 0) & F.col("origin").isNotNull() & F.col("destination").isNotNull(), F.concat_ws(" - ", "origin", "destination")))
+    return obs, runs
+
+
+@job("d3_link_candidates", f"WITH {LINK} SELECT event_id, place::INTEGER AS place, run_id, probability FROM pb")
 def d3(spark, sf):
-    return _pairs(spark, sf).where("run_id IS NOT NULL").select("event_id", "run_id")
+    return linking.candidates(*_linked(spark, sf)).select("event_id", "place", "run_id", "probability")
 
 
-@job("m4_link_scores", f"WITH {LINK} SELECT event_id, run_id, score FROM scored")
+@job("m4_link_scores", f"WITH {LINK} SELECT event_id, run_id, score, array_to_string(list_transform(list_filter(parts, lambda x: x.w <> 0), lambda x: x.n), ',') AS features FROM first")
 def m4(spark, sf):
-    return linking.score(_pairs(spark, sf)).where("run_id IS NOT NULL").select("event_id", "run_id", "score")
+    return linking.candidates(*_linked(spark, sf)).select("event_id", "run_id", "score", F.array_join(F.transform("features", lambda f: f["name"]), ",").alias("features"))
 
 
-@job("m5_canonical_run", f"""WITH {LINK}, one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY event_id, ro, rd ORDER BY score DESC, run_id) = 1),
-pl AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nx, count(*) OVER (PARTITION BY event_id) AS n, max(score) OVER (PARTITION BY event_id) AS best FROM one WINDOW w AS (PARTITION BY event_id ORDER BY score DESC, run_id)),
-wt AS (SELECT *, CASE WHEN place <= 5 THEN exp(6 * (score - best)) END AS w FROM pl), pb AS (SELECT *, w / sum(w) OVER (PARTITION BY event_id) AS probability FROM wt),
-k AS (SELECT *, score - coalesce(nx, 0) AS margin, score >= CASE WHEN grade = 'corroborated' THEN 0.62 ELSE 0.68 END AS enough, n = 1 OR round(score - coalesce(nx, 0), 4) >= CASE WHEN grade = 'corroborated' THEN 0.05 ELSE 0.08 END AS apart FROM pb WHERE place = 1)
-SELECT event_id, CASE WHEN enough AND apart THEN 'linked' ELSE 'pending' END AS status, CASE WHEN enough AND apart THEN run_id END AS canonical_run_id, round(score, 4) AS confidence, round(margin, 4) AS margin, round(probability, 4) AS probability,
-  CASE WHEN NOT (enough AND apart) THEN CASE WHEN NOT enough THEN 'low-confidence' ELSE 'candidate-conflict' END END AS reason FROM k""")
+@job("m5_canonical_run", f"""WITH {LINK}, b AS (SELECT *, round(score - coalesce(second, 0), 4) AS margin, grade = 'corroborated' AND domains >= 2 AS sure FROM pb WHERE place = 1),
+k AS (SELECT *, score >= CASE WHEN sure THEN 0.62 ELSE 0.68 END AS enough, second IS NULL OR margin >= CASE WHEN sure THEN 0.05 ELSE 0.08 END AS apart FROM b)
+SELECT o.event_id, CASE WHEN k.run_id IS NULL THEN 'unmatched' WHEN enough AND apart THEN 'linked' ELSE 'pending' END AS status, CASE WHEN enough AND apart THEN k.run_id END AS canonical_run_id, coalesce(score, 0) AS confidence, coalesce(margin, 0) AS margin, probability,
+  CASE WHEN k.run_id IS NULL THEN 'no-candidates' WHEN NOT enough THEN 'low-confidence' WHEN NOT apart THEN 'candidate-conflict' END AS reason FROM obs o LEFT JOIN k USING (event_id)""")
 def m5(spark, sf):
-    return linking.choose(linking.score(_pairs(spark, sf)))
+    obs, runs = _linked(spark, sf)
+    return linking.choose(linking.candidates(obs, runs), obs)
 
 
 EVIDENCE = f"""{EV}, evi AS (SELECT station AS corridor, source_id AS source_group, run_id || ':' || delay_min AS fingerprint, occurred_at, observed_at AS received_at, observed_at + to_minutes(event_id % 3) AS updated_at, reliability AS confidence, event_id % 97 = 0 AS reviewed FROM ev)"""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars
-from ledgerline.operators import calibration, fusion, geo, graph, ledger, linking, places, publish, screening, segments, state
+from ledgerline.operators import calibration, fusion, geo, graph, ledger, places, publish, screening, segments, state
 from ledgerline.plans.components import connected_components
 from ledgerline.plans.offsets import running_start
 from ledgerline.plans.ranks import nearest_rank
@@ -73,15 +73,6 @@ def test_posterior_ages(spark, minutes, status):
     assert state.posterior(*posterior_row(spark, minutes, None)).first().status == status
 
 
-def test_links_forward_and_not_backward(spark):
-    obs = spark.createDataFrame([(1, "12", "2026-07-29", "A", "B", "s", T0, "corroborated"), (2, "12", "2026-07-29", "B", "A", "s", T0, "single-source"), (3, None, "2026-07-29", None, None, "x", T0, "single-source")], "event_id long, number string, service_date string, origin string, destination string, station string, occurred_at timestamp, grade string")
-    runs = spark.createDataFrame([("r1", "12", "2026-07-29", "A", "B", ["s"], T0)], "run_id string, number string, service_date string, origin string, destination string, stations array<string>, last_seen timestamp")
-    scored = {r.event_id: r.score for r in linking.score(linking.candidates(obs, runs)).collect()}
-    assert scored[1] > 0.8 and scored[2] < 0.75 < scored[1]
-    chosen = {r.event_id: r for r in linking.choose(linking.score(linking.candidates(obs, runs))).collect()}
-    assert chosen[1].status == "linked" and chosen[3].status == "pending" and chosen[3].canonical_run_id is None
-
-
 def test_screening_cases(spark):
     df = spark.createDataFrame([("12", T0, 5, 50.0, 30.0, "a-b", 1, "#1"), ("12", at(60), 1441, 50.0, 230.0, None, None, "#1 #2"), (None, None, None, None, None, "", None, None)], "number string, updated_at timestamp, delay int, lat double, lon double, route string, forecast int, text string")
     got = screening.assess(df, now()).collect()
