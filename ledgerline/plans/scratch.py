@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders written by this process and not yet released, oldest first.
-_WRITTEN: list[str] = []
+#: Where the tables written in this context are noted: lists of (folder, catalog table).
+_HOLDERS: ContextVar[tuple[list, ...]] = ContextVar("holders", default=())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,11 +29,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
+def _new_path(spark: SparkSession, name: str, table: str | None = None) -> str:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _WRITTEN.append(path)
+    for holder in _HOLDERS.get():
+        holder.append((path, table))
     return path
 
 
@@ -45,39 +49,47 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     path = _new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table._scratch_path = path
+    table._scratch = [(path, None)]
     return table
 
 
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
     """As ``materialize``, in buckets of ``keys``: joins and groupings on these keys do not shuffle the table again."""
     spark = df.sparkSession
-    path, table = _new_path(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = _new_path(spark, name, table)
     df.write.bucketBy(buckets, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
-    return spark.table(table)
+    found = spark.table(table)
+    found._scratch = [(path, table)]
+    return found
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables that nothing will read any more."""
-    for table in tables:
-        _delete(table.sparkSession, getattr(table, "_scratch_path", None))
-
+@contextmanager
+def holding() -> Iterator[list]:
+    """Notes every table written inside, in this thread alone; ``hold`` ties them to a result."""
+    mine: list = []
+    token = _HOLDERS.set((*_HOLDERS.get(), mine))
+    try:
+        yield mine
+    finally:
+        _HOLDERS.reset(token)
 
-def written() -> int:
-    """A mark for ``release_since``."""
-    return len(_WRITTEN)
 
+def hold(result: DataFrame, written: list) -> DataFrame:
+    """``result``, which owns the tables ``written``: ``release(result)`` deletes them, and nothing else does before the JVM ends."""
+    result._scratch = [*getattr(result, "_scratch", []), *written]
+    return result
 
-def release_since(spark: SparkSession, begin: int, end: int | None = None) -> None:
-    """Delete what was written between two marks; its results must have been written elsewhere."""
-    for path in _WRITTEN[begin:end]:
-        _delete(spark, path)
 
-
-def _delete(spark: SparkSession, path: str | None) -> None:
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def release(*tables: DataFrame) -> None:
+    """Delete what tables or results own, once nothing will read it any more; tables of a catalog are dropped from it."""
+    for df in tables:
+        spark = df.sparkSession
+        for path, table in getattr(df, "_scratch", []):
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table_bytes(df: DataFrame, column: str) -> int:
