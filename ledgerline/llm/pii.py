@@ -1,12 +1,12 @@
 """Personal data: exact patterns, and identifiers found by bootstrapped contextual extraction.
 
-The spans of the exact patterns are seeds, and so are secrets of publicly known forms (``SECRET_SEEDS``: keys with a fixed
-prefix, values assigned to a name such as password or token).  Each seed and each other word that holds a digit is an
-occurrence of an instance (its text) in lexical patterns: the two words before it with the instance's shape, the lead of
-the word up to its last sign of assignment with the shape of the rest, and the same with the word before where that word is such
-a sign.  Patterns and instances form a bipartite graph; each round scores a pattern by the mean score of its distinct
-instances and an instance by the noisy-or of its good patterns, with seeds fixed at one.  Occurrences of patterns that end
-above ``CONFIDENT`` with enough distinct instances become spans of the kind ``found``; secret seeds are of the kind ``secret``.
+The spans of the exact patterns are seeds, and so are words of publicly known secret forms (keys with a fixed prefix, values
+assigned to a name such as password or token); the latter are seeds alone and never spans by themselves.  Each seed and each
+other word that holds a digit is an occurrence of an instance (its text) in lexical patterns: the two words before it with the
+instance's shape, the name it is assigned to with its form, its first signs with its form, and for long mixed words the form
+alone.  Patterns and instances form a bipartite graph; each round scores a pattern by the mean score of its distinct
+instances and an instance by the noisy-or of its good patterns, with seeds fixed at one.  What stands in patterns that end
+above ``CONFIDENT`` with enough distinct instances becomes a span of the kind ``found``, a secret seed or not.
 
 Defined cases: null text is empty; repeated rows are scanned each for itself but count once as evidence; patterns that tie
 at a bound are taken; contexts and shapes are read whole, however long their words; a very long text is scanned whole, by
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from ledgerline.llm.words import slices
 from ledgerline.plans.scratch import materialize
 
-KINDS = ("email", "ip", "card", "phone", "secret", "found")
+KINDS = ("email", "ip", "card", "phone", "found")
 ROUNDS = 3
 #: A pattern is good from this score on while scoring, and its occurrences are spans from ``CONFIDENT`` on.
 GOOD, CONFIDENT = 0.6, 0.8
 SUPPORT = 3
 LEAST_CHARS = 5
+#: Words of this length and more have the patterns of their first signs and of their form alone.
+LONG_WORD, AFFIX = 16, 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -94,7 +96,7 @@ def exact_spans(text: str) -> list[Span]:
 
 
 def secret_spans(text: str, spans: list[Span]) -> list[Span]:
-    """Secrets of known forms that touch none of ``spans``."""
+    """Words of known secret forms that touch none of ``spans``."""
     found = [m.span() for m in _KEYS.finditer(text)] if any(h in text for h in _KEY_HINTS) else []
     for m in _SECRET_HINT.finditer(text):
         value = _ASSIGNED.match(text, m.end())
@@ -141,6 +143,24 @@ def _masked(word: str) -> str:
     return re.sub(r"[0-9]+", "9", word.lower())
 
 
+def assigned_to(text: str, start: int) -> str:
+    """The name and sign of assignment before ``start``, quotes and blanks between them left out; empty if there is none."""
+    at = start
+    while at and text[at - 1] in "\"'":
+        at -= 1
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if not at or text[at - 1] not in "=:":
+        return ""
+    sign, at = text[at - 1], at - 1
+    while at and text[at - 1] in " \t":
+        at -= 1
+    end = at
+    while at and text[at - 1] not in _BLANKS and text[at - 1] not in _EDGES and text[at - 1] != "=":
+        at -= 1
+    return f"{text[at:end].lower()}{sign}" if at < end else ""
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns of the instance at ``start .. end``."""
     entity = text[start:end]
@@ -149,13 +169,14 @@ def patterns(text: str, start: int, end: int) -> list[str]:
         two = _word_before(text, one[0])
     near, far = (_masked(text[s:e]) for s, e in (one, two))
     out = [f"before\n{far} {near}\n{shape(entity)}"] if near else []
-    cut = max(entity.rfind("="), entity.rfind(":")) + 1
-    if cut and cut < len(entity):
-        out.append(f"lead\n{entity[:cut].lower()}\n{form(entity[cut:])}")
-    lead = text[one[0] : start] if start and text[start - 1] not in _BLANKS else ""
-    sign = (lead or near).rstrip("\"'")
-    if sign[-1:] in ("=", ":"):
-        out.append(f"lead\n{sign.lower() if lead else f'{far} {sign}'}\n{form(entity)}")
+    name = assigned_to(text, start)
+    if name:
+        out.append(f"lead\n{name}\n{form(entity)}")
+    if len(entity) >= LONG_WORD:
+        if not _DIGIT.search(entity, 0, AFFIX):
+            out.append(f"affix\n{entity[:AFFIX]}\n{form(entity)}")
+        if any(map(str.isalpha, entity)):
+            out.append(f"form\n{form(entity)}")
     return out
 
 
@@ -180,16 +201,23 @@ def _other_words(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
             start += 1
         while end > start and text[end - 1] in _EDGES:
             end -= 1
+        value = max(text.rfind("=", start, end), text.rfind(":", start, end)) + 1
+        if value and end - value >= LEAST_CHARS and _DIGIT.search(text, value, end):
+            start = value
+            while start < end and text[start] in _EDGES:
+                start += 1
         if end - start >= LEAST_CHARS:
             yield start, end
 
 
-def occurrences(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, bool]]:
-    """``start, end, pattern, instance, seed`` of every seed and other word, once for each pattern around it."""
+def occurrences(text: str, spans: list[Span], secrets: list[Span]) -> list[tuple[int, int, int, int, bool, bool]]:
+    """``start, end, pattern, instance, seed, exact`` of every seed and other word, once for each pattern around it."""
+    known = sorted(spans + secrets, key=lambda s: s[1])
+    places = [(s, e, True, True) for _, s, e in spans] + [(s, e, True, False) for _, s, e in secrets] + [(s, e, False, False) for s, e in _other_words(text, known)]
     out = []
-    for start, end, seed in [(s, e, True) for _, s, e in spans] + [(s, e, False) for s, e in _other_words(text, spans)]:
+    for start, end, seed, exact in places:
         instance = _digest(text[start:end])
-        out += [(start, end, _digest(p), instance, seed) for p in patterns(text, start, end)]
+        out += [(start, end, _digest(p), instance, seed, exact) for p in patterns(text, start, end)]
     return out
 
 
@@ -199,22 +227,19 @@ def _digest(x: str) -> int:
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_())]))
+_SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("exact", pa.bool_())]))
 SPANS_TYPE = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        spans, secrets, seen = [], [], []
+        spans, seen = [], []
         for text in batch.column("text").to_pylist():
             found = exact_spans(text or "")
-            known = secret_spans(text or "", found)
-            for out, some in ((spans, found), (secrets, known)):
-                out.append([{"kind": k, "start": s, "end": e} for k, s, e in some])
-            both = sorted(found + known, key=lambda s: s[1])
-            seen.append([dict(zip(("start", "end", "pattern", "instance", "seed"), o, strict=True)) for o in occurrences(text or "", both)])
+            spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
+            seen.append([dict(zip(_SEEN.value_type.names, o, strict=True)) for o in occurrences(text or "", found, secret_spans(text or "", found))])
         rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [pa.array(spans, _SPANS), pa.array(secrets, _SPANS), pa.array(seen, _SEEN)], names=[batch.schema.names[i] for i in rest] + ["spans", "secrets", "seen"])
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [pa.array(spans, _SPANS), pa.array(seen, _SEEN)], names=[batch.schema.names[i] for i in rest] + ["spans", "seen"])
 
 
 def confident_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -234,19 +259,19 @@ def confident_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def find(documents: DataFrame, keep: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
-    """One row a document: ``doc_id``, exact ``spans``, secrets and ``found`` spans in ``found``; ``keep`` names columns carried as ``kept_*``."""
+    """One row a document: ``doc_id``, exact ``spans`` and the ``found`` ones; ``keep`` names columns carried as ``kept_*``."""
     kinds = "".join(f", kept_{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
     rows = documents.select("doc_id", "text", *[F.col(c).alias(f"kept_{c}") for c in keep])
     kind = documents.schema["doc_id"].dataType.simpleString()
-    seen_type = "array<struct<start:bigint,end:bigint,pattern:bigint,instance:bigint,seed:boolean>>"
-    scanned = rows.mapInArrow(_scanned, f"doc_id {kind}{kinds}, spans {SPANS_TYPE}, secrets {SPANS_TYPE}, seen {seen_type}")
+    seen_type = "array<struct<start:bigint,end:bigint,pattern:bigint,instance:bigint,seed:boolean,exact:boolean>>"
+    scanned = rows.mapInArrow(_scanned, f"doc_id {kind}{kinds}, spans {SPANS_TYPE}, seen {seen_type}")
     scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "pii-scanned")
     seen = scanned.where(F.size("seen") > 0).select("row", F.explode("seen").alias("o")).select("row", "o.*")
     good = confident_patterns(seen.select("pattern", "instance", "seed"), rounds)
-    found = seen.where(~F.col("seed")).join(good, "pattern").groupBy("row").agg(F.collect_set(F.struct(F.lit("found").alias("kind"), "start", "end")).alias("found"))
+    found = seen.where(~F.col("exact")).join(good, "pattern").groupBy("row").agg(F.collect_set(F.struct(F.lit("found").alias("kind"), "start", "end")).alias("found"))
     none = F.expr(f"cast(array() as {SPANS_TYPE})")
     rows = scanned.drop("seen").join(found, "row", "left")
-    return rows.withColumn("found", F.concat("secrets", F.coalesce("found", none))).drop("row", "secrets")
+    return rows.withColumn("found", F.coalesce("found", none)).drop("row")
 
 
 def joined(spans: Column) -> Column:

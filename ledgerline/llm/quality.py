@@ -3,9 +3,11 @@
 The sketch of a ratio is a log-linear histogram with integer bucket bounds (relative error 1/16): two sketches merge
 by adding counts, so it is a plain grouped sum, computed partially before the shuffle and equal on every rerun.
 A group's sketch is shrunk towards its language's and that one towards the sketch of all documents: ``prior`` documents
-of the parent are merged in, whatever the group's size.  The fence of a ratio is ``q + spread * (q - median)`` with ``q``
-the quantile up to which a group is trusted.  A document is rejected when its count lies above the fence by more than
-``noise`` standard deviations of counting, so that short documents are not judged by one sign.
+of the parent are merged in, whatever the group's size.  The fence of a ratio is ``q' + spread * (q - median) + reach *
+(tail - q)``: ``q`` is the quantile up to which a group is trusted, ``q'`` the upper bound of its bucket, ``tail`` the quantile
+of the group's far end, so that a ratio most documents lack is judged by how far the group's odd documents go.  A document is
+rejected when its count lies above the fence times its length by more than ``noise`` standard deviations of counting, so that
+neither a short document is judged by one sign nor a long one by a few.
 
 Defined cases: null text has no words and fails; null languages and sources are groups of their own; equal ratios lie
 in one bucket, and a document on its fence stays; repeated rows are judged alike and count each; a very long text is
@@ -33,6 +35,9 @@ METRICS = {
     "stutter_ratio": ("n_stutters", "n_words", 0.9), "repeat_ratio": ("n_repeat_words", "n_words", 0.99),
 }
 SPREAD = 1.0
+#: The far end of a group, and the part of the way to it that a fence goes.
+TAIL = 0.98
+REACH = 0.1
 NOISE = 3.0
 PRIOR = 25.0
 MIN_WORDS = 20
@@ -90,10 +95,14 @@ def measures(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.mapInArrow(_measured, f"{kinds}{kept}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
+def _width(value: Column) -> Column:
+    """Width of the value's bucket: one below 32, then 16 buckets to each power of two."""
+    return F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(value)) - 5)).cast("long")
+
+
 def bucket_floor(value: Column) -> Column:
-    """Lower bound of the value's bucket: exact below 16, then 16 buckets to each power of two."""
-    shift = F.greatest(F.lit(0), F.length(F.bin(value)) - 5)
-    return value - F.pmod(value, F.pow(F.lit(2), shift).cast("long"))
+    """Lower bound of the value's bucket."""
+    return value - F.pmod(value, _width(value))
 
 
 def _base_failed() -> Column:
@@ -132,14 +141,13 @@ def fences(measured: DataFrame, spread: float = SPREAD, prior: float = PRIOR) ->
     group = Window.partitionBy("lang", "source", "metric")
     merged = shrunk(fine, ["lang", "source"], by_lang, ["lang"])
     merged = merged.withColumn("upto", F.sum("weight").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.max("upto").over(group))
-    found = merged.groupBy("lang", "source", "metric").agg(_quantile(F.lit(0.5)).alias("median"), _quantile(F.col("trusted")).alias("top"))
-    return found.select("lang", "source", "metric", (F.col("top") + spread * (F.col("top") - F.col("median"))).alias("fence"))
+    found = merged.groupBy("lang", "source", "metric").agg(_quantile(F.lit(0.5)).alias("median"), _quantile(F.col("trusted")).alias("top"), _quantile(F.lit(TAIL)).alias("tail"))
+    fence = F.col("top") + _width(F.col("top")) + spread * (F.col("top") - F.col("median")) + REACH * (F.greatest("tail", "top") - F.col("top"))
+    return found.select("lang", "source", "metric", fence.alias("fence"))
 
 
-def judge(documents: DataFrame, keep: tuple[str, ...] = (), spread: float = SPREAD, noise: float = NOISE, prior: float = PRIOR) -> DataFrame:
-    """One row a document: its measures, ``base_failed``, ``kept`` and ``broken``, the ratios above their fence."""
-    measured = materialize(measures(documents, keep), "quality")
-    wide = fences(measured, spread, prior).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias("limits"))
+def _judged(measured: DataFrame, limits: DataFrame, noise: float) -> DataFrame:
+    wide = limits.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias("limits"))
     rows = measured.alias("m").join(wide.alias("w"), F.col("m.lang").eqNullSafe(F.col("w.lang")) & F.col("m.source").eqNullSafe(F.col("w.source")), "left").select("m.*", "w.limits")
 
     def above(metric: str, part: str, whole: str) -> Column:
@@ -151,8 +159,15 @@ def judge(documents: DataFrame, keep: tuple[str, ...] = (), spread: float = SPRE
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop("limits")
 
 
+def judge(documents: DataFrame, keep: tuple[str, ...] = (), spread: float = SPREAD, noise: float = NOISE, prior: float = PRIOR) -> DataFrame:
+    """One row a document: its measures, ``base_failed``, ``kept`` and ``broken``, the ratios above their fence."""
+    measured = materialize(measures(documents, keep), "quality")
+    return _judged(measured, fences(measured, spread, prior), noise)
+
+
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns; measured twice, so that no text is written in between."""
     others = tuple(c for c in documents.columns if c not in ("doc_id", "lang", "source"))
-    rows = judge(documents, keep=others).where("kept")
+    limits = materialize(fences(measures(documents)), "quality-fences")
+    rows = _judged(measures(documents, others), limits, NOISE).where("kept")
     return rows.select(*[F.col(c) if c not in others else F.col(f"kept_{c}").alias(c) for c in documents.columns])

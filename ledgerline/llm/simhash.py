@@ -189,27 +189,17 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, tile: int = TILE
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+TIE = "struct<a:bigint,b:bigint>"
+
+
 def row_key(documents: DataFrame) -> Column:
-    """A 64-bit hash of all columns, nulls told apart: only equal rows share it."""
+    """Two hashes of all columns, 128 bits in all, nulls told apart: only equal rows share them."""
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+    both = [*columns, *[c.isNull() for c in columns]]
+    return F.struct(F.xxhash64(*both).alias("a"), F.xxhash64(F.lit("row"), *both).alias("b"))
 
 
-def one_a_root(documents: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The row of least ``first`` of each ``root``; ``first`` is a struct whose last field, ``tie``, is the row's key."""
-    ties = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.tie").alias("tie"))
+def rows_of(documents: DataFrame, ties: DataFrame) -> DataFrame:
+    """The rows whose key is in ``ties``; of equal rows one."""
     rows = documents.select(F.struct("*").alias("row"), row_key(documents).alias("tie"))
     return rows.join(ties, "tie", "left_semi").dropDuplicates(["tie"]).select("row.*")
-
-
-def keep_one(documents: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of each component of linked fingerprints stays: that of the smallest doc_id, nulls last.
-
-    Rows are told apart by all their columns, so null and repeated doc_ids join nothing that is not linked.
-    """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", "text", row_key(documents).alias("tie"))
-    prints = materialize(rows.mapInArrow(_fingerprints, f"doc_id {kind}, tie long, fp long"), "simhash-prints")
-    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie")
-    firsts = prints.groupBy("fp").agg(F.min(first).alias("first"))
-    return one_a_root(documents, firsts.join(_rooted(prints, radius, tile), "fp").select("root", "first"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, embeddings, mixing, packing, pii, quality, queries, simhash, templates
+from ledgerline.llm import chat, embeddings, mixing, packing, pii, quality, queries, simhash, substring, templates
+from ledgerline.plans.scratch import hold, holding, materialize, release
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import assert_same, connect  # noqa: E402
@@ -135,7 +137,7 @@ def test_pipeline_against_its_stages(spark, docs):
     left = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = left
-        left = stage(spark, left, "").cache()
+        left = materialize(stage(spark, left, ""), name)
         assert left.columns == docs.columns, name
         ids, old = ([r.doc_id for r in d.collect()] for d in (left, before))
         assert set(ids) <= set(old)
@@ -152,6 +154,41 @@ def test_pipeline_against_its_stages(spark, docs):
     assert sum(r.length for r in pieces.collect()) == sum(r.length for r in packing.pack(left).collect()) > 0
 
 
+def test_stages_chain_without_being_written(spark, docs):
+    import corpus_pipeline
+
+    rules, near, redact = (f for _, f in corpus_pipeline.STAGES[:3])
+    chained = redact(spark, near(spark, rules(spark, docs, ""), ""), "")
+    one = materialize(rules(spark, docs, ""), "test-rules")
+    two = materialize(near(spark, one, ""), "test-near")
+    key = lambda r: str(tuple(r))
+    assert sorted(chained.collect(), key=key) == sorted(redact(spark, two, "").collect(), key=key) != []
+
+
+def test_stages_side_by_side_and_released(spark, docs):
+    import corpus_pipeline
+
+    near = dict(corpus_pipeline.STAGES)["near_dedup"]
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(lambda _: near(spark, docs, ""), range(2))
+    assert one._scratch and not set(one._scratch) & set(two._scratch)
+    want = two.count()
+    release(one)
+    assert two.count() == want > 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        one.count()
+
+
+def test_catalog_tables_go_when_released(spark, docs):
+    with holding() as written:
+        left = hold(substring.remove_repeats(docs), written)
+    assert left.count() == docs.count()
+    tables = {t for _, t in written if t}
+    assert tables and tables <= {t.name for t in spark.catalog.listTables()}
+    release(left)
+    assert not tables & {t.name for t in spark.catalog.listTables()}
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
@@ -163,5 +200,5 @@ def test_query_against_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SMALL), connect(SMALL), queries.ORACLE_SQL[name])
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
