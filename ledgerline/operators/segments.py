@@ -65,10 +65,15 @@ def node_activity(events: DataFrame, now: str, baseline_hours: int = 23) -> Data
     rows = events.withColumn("age", age).where((F.col("age") >= 0) & (F.col("age") < baseline_hours + 1))
     current = F.col("age") < 1
     counts = rows.groupBy("station").agg(F.count_if(current).alias("observations"), F.countDistinct(F.when(current, F.col("run_id"))).alias("unique_runs"), (F.count_if(~current) / baseline_hours).alias("baseline_per_hour"))
+    return activity_score(counts).select("station", "observations", "unique_runs", "baseline_per_hour", "score", "change_ratio")
+
+
+def activity_score(counts: DataFrame) -> DataFrame:
+    """``score`` and ``change_ratio`` of rows with ``observations``, ``unique_runs`` and ``baseline_per_hour``."""
     ratio = F.when(F.col("baseline_per_hour") > 0, F.col("observations") / F.col("baseline_per_hour")).when(F.col("observations") > 0, 4.0).otherwise(1.0)
     counts = counts.withColumn("ratio", ratio)
     score = F.log1p("observations") * 24 + F.log1p("unique_runs") * 18 + F.greatest(F.lit(-12.0), F.least(F.lit(28.0), F.log2(F.greatest(F.lit(0.25), F.col("ratio"))) * 8))
-    return counts.select("station", "observations", "unique_runs", F.round("baseline_per_hour", 4).alias("baseline_per_hour"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1).alias("score"), F.round("ratio", 2).alias("change_ratio"))
+    return counts.withColumns({"baseline_per_hour": F.round("baseline_per_hour", 4), "score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1), "change_ratio": F.round("ratio", 2)}).drop("ratio")
 
 
 def activity_anomalies(activity: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries over the proxy views, with the SQL they are held against."""
 
-from ledgerline.plans import jobs_coverage, jobs_events, jobs_model, jobs_places, jobs_routes, jobs_rows, jobs_state  # noqa: F401
+from ledgerline.plans import jobs_coverage, jobs_events, jobs_model, jobs_places, jobs_routes, jobs_rows, jobs_state, jobs_streams  # noqa: F401
 from ledgerline.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+from ledgerline.operators.segments import activity_score
 from ledgerline.plans.scratch import scratch_root
 
 
@@ -41,33 +42,33 @@ def deduplicated(stream: DataFrame, key: str = "event_id", time: str = "occurred
 
 
 def sessions(stream: DataFrame, gap: str = "20 minutes", late: str = "36 hours") -> DataFrame:
-    """Sessions of one train at one station with a noisy-or over their reports."""
+    """Sessions of one train at one station: the best report of each source domain in a noisy-or, sources, and a grade."""
     weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "reliability"))
     window = F.session_window("occurred_at", gap)
-    out = stream.withWatermark("occurred_at", late).groupBy("train", "station", window.alias("w")).agg(F.count("*").alias("members"), (1 - F.product(1 - weight)).alias("reliability"))
-    return out.select("train", "station", F.col("w.start").alias("window_start"), "members", "reliability")
+    said = F.collect_list(F.struct("domain", weight.alias("weight"))).alias("said")
+    out = stream.withWatermark("occurred_at", late).groupBy("train", "station", window.alias("w")).agg(F.count("*").alias("members"), F.collect_set("source_id").alias("sources"), F.collect_set("domain").alias("domains"), said)
+    doubt = F.aggregate("domains", F.lit(1.0), lambda left, d: left * (1 - F.array_max(F.transform(F.filter("said", lambda s: s["domain"] == d), lambda s: s["weight"]))))
+    grade = F.when(F.size("domains") >= 2, "corroborated").otherwise("single-source")
+    return out.select("train", "station", F.col("w.start").alias("window_start"), "members", F.size("sources").alias("sources"), F.size("domains").alias("domains"), (1 - doubt).alias("reliability"), grade.alias("grade"))
 
 
-def activity(stream: DataFrame, width: str = "1 hour", late: str = "36 hours") -> DataFrame:
-    """Reports per station and hour; the baseline joins in batch."""
-    return stream.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", width).alias("w"), "station").agg(F.count("*").alias("reports")).select("station", F.col("w.start").alias("hour"), "reports")
+def activity(stream: DataFrame, baseline_hours: int = 23, late: str = "36 hours") -> DataFrame:
+    """Activity of each station at each full hour against the hours before, by two aggregations in a row.
 
-
-def snapshots(stream: DataFrame, width: str = "15 minutes", late: str = "36 hours") -> DataFrame:
-    """The newest report of each run in each bucket."""
-    return stream.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", width).alias("w"), "run_id").agg(F.max("event_id").alias("event_id")).select("run_id", F.col("w.start").alias("bucket"), "event_id")
-
-
-def resolved(predictions: DataFrame, facts: DataFrame, within: str = "2 days") -> DataFrame:
-    """Facts that can resolve a prediction of the same train; ``first_resolutions`` picks the first where they land."""
-    p = predictions.select(F.col("event_id").alias("prediction_id"), "train", F.col("occurred_at").alias("predicted_at")).withWatermark("predicted_at", "1 hour")
-    f = facts.select(F.col("event_id").alias("fact_id"), F.col("train").alias("fact_train"), F.col("occurred_at").alias("fact_at")).withWatermark("fact_at", "1 hour")
-    return p.join(f, F.expr(f"train = fact_train AND fact_at > predicted_at AND fact_at <= predicted_at + interval {within}")).select("prediction_id", "fact_id", "predicted_at", "fact_at")
+    The first counts the reports of each run an hour; the second sums these over a window of all hours that slides by one.
+    """
+    hourly = stream.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", "1 hour").alias("w"), "station", "run_id").agg(F.count("*").alias("n"))
+    hourly = hourly.select("station", "n", F.window_time("w").alias("at"))
+    wide = hourly.withColumn("w", F.window("at", f"{baseline_hours + 1} hours", "1 hour")).withColumn("now", F.unix_micros("w.end") - F.unix_micros("at") <= 3_600_000_000)
+    out = wide.groupBy("w", "station").agg(F.sum(F.when(F.col("now"), F.col("n")).otherwise(0)).alias("observations"), F.count_if("now").alias("unique_runs"), (F.sum(F.when(F.col("now"), 0).otherwise(F.col("n"))) / baseline_hours).alias("baseline_per_hour"))
+    hour = F.date_format("w.end", "yyyy-MM-dd'T'HH")
+    return activity_score(out).select(F.concat_ws(":", "station", hour).alias("score_id"), "station", F.col("w.end").alias("hour_end"), "observations", "unique_runs", "baseline_per_hour", "score", "change_ratio")
 
 
-def first_resolutions(landed: DataFrame) -> DataFrame:
-    """Each prediction once, with its first fact."""
-    return landed.groupBy("prediction_id").agg(F.min_by(F.struct("fact_id", "predicted_at", "fact_at"), F.struct("fact_at", "fact_id")).alias("f")).select("prediction_id", "f.*")
+def snapshots(stream: DataFrame, width: str = "15 minutes", late: str = "36 hours") -> DataFrame:
+    """The newest report of each run in each bucket, by its time."""
+    newest = F.max_by("event_id", F.struct("occurred_at", "event_id")).alias("event_id")
+    return stream.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", width).alias("w"), "run_id").agg(newest).select("run_id", F.col("w.start").alias("bucket"), "event_id")
 
 
 TRANSITION = "run_id string, event_id long, from_station string, station string, occurred_at timestamp"
@@ -77,38 +78,52 @@ SILENCE = {"stale": 90, "unknown": 180, EXPIRED: 360}
 
 
 class RunState(StatefulProcessor):
-    """Last station of each run; a row for every change, and one at each limit of silence.  After the last the run is forgotten."""
+    """Last station of each run; a row for every change, and one at each limit of silence.  After the last the run is forgotten.
+
+    A silence shows by a timer or by the next report, whichever comes first, so the rows do not depend on how the stream is cut.
+    """
 
     def __init__(self, silence: dict[str, int]):
-        self.silence = {name: minutes * 60_000 for name, minutes in silence.items()}
+        self.silence = {name: minutes * 60_000_000 for name, minutes in sorted(silence.items(), key=lambda x: x[1])}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "station string, at long")
+        self.last = handle.getValueState("last", "station string, at long, told long")
+
+    def _silent(self, run: str, station: str, at: int, told: int, upto: int) -> list[tuple]:
+        return [(run, -1, station, name, pd.Timestamp(at + wait, unit="us")) for name, wait in self.silence.items() if told < wait < upto - at]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["occurred_at", "event_id"])
-        before, at = self.last.get() if self.last.exists() else (None, None)
+        before, at, told = self.last.get() if self.last.exists() else (None, None, 0)
         out = []
         for row in batch.itertuples(index=False):
+            now = row.occurred_at.value // 1000
+            if before is not None:
+                out += self._silent(key[0], before, at, told, now)
+                if now - at > max(self.silence.values()):
+                    before = None
             if row.station != before:
                 out.append((key[0], row.event_id, before, row.station, row.occurred_at))
-            before, at = row.station, int(row.occurred_at.timestamp() * 1000)
+            before, at, told = row.station, now, 0
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         for wait in self.silence.values():
-            self.handle.registerTimer(at + wait)
-        self.last.update((before, at))
+            self.handle.registerTimer((at + wait) // 1000 + 1)
+        self.last.update((before, at, told))
         yield pd.DataFrame(out, columns=["run_id", "event_id", "from_station", "station", "occurred_at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
         if self.last.exists():
-            station, at = self.last.get()
-            passed = expiredTimerInfo.getExpiryTimeInMs() - at
-            out = [(key[0], -1, station, name, pd.Timestamp(at + wait, unit="ms")) for name, wait in self.silence.items() if wait == passed]
-            if passed >= max(self.silence.values()):
+            station, at, told = self.last.get()
+            upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            out = self._silent(key[0], station, at, told, upto)
+            told = max([told, *(wait for wait in self.silence.values() if wait < upto - at)])
+            if told == max(self.silence.values()):
                 self.last.clear()
+            else:
+                self.last.update((station, at, told))
         yield pd.DataFrame(out, columns=["run_id", "event_id", "from_station", "station", "occurred_at"])
 
     def close(self) -> None:

@@ -1,11 +1,14 @@
 """Streams give what the batch jobs give on the same rows."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import fusion, state
+from ledgerline.operators import fusion, segments, state
+from ledgerline.plans import jobs_streams
 from ledgerline.plans.proxy import ev
-from ledgerline.streaming import jobs
+from ledgerline.streaming import jobs, open_items
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -34,15 +37,6 @@ def test_deduplicated(spark, ledger, tmp_path):
     same(drained(spark, jobs.deduplicated(stream).select("event_id"), str(tmp_path / "out")), rows.select("event_id"))
 
 
-def test_snapshots_equal_buckets(spark, ledger, tmp_path):
-    path, rows = ledger
-    out = drained(spark, jobs.snapshots(jobs.ledger_stream(spark, path, rows.schema), late="1 second"), str(tmp_path / "out"))
-    batch = rows.groupBy("run_id", F.window("occurred_at", "15 minutes")["start"].alias("bucket")).agg(F.max("event_id").alias("event_id"))
-    done = out.agg(F.max("bucket")).first()[0]
-    same(out.where(F.col("bucket") < done), batch.where(F.col("bucket") < done))
-    assert out.count() > 900
-
-
 def test_sessions_equal_gap_sessions(spark, ledger, tmp_path):
     path, rows = ledger
     stream = jobs.ledger_stream(spark, path, rows.schema)
@@ -52,34 +46,74 @@ def test_sessions_equal_gap_sessions(spark, ledger, tmp_path):
     assert got <= want and len(got) > 0.5 * len(want)
 
 
-def test_activity(spark, ledger, tmp_path):
+def test_activity_equals_the_batch_job_at_each_hour(spark, ledger, tmp_path):
     path, rows = ledger
     out = drained(spark, jobs.activity(jobs.ledger_stream(spark, path, rows.schema), late="1 second"), str(tmp_path / "out"))
-    batch = rows.groupBy("station", F.window("occurred_at", "1 hour")["start"].alias("hour")).agg(F.count("*").alias("reports"))
-    assert set(map(tuple, out.collect())) <= set(map(tuple, batch.collect())) and out.count() > 100
+    assert out.count() > 100
+    names = ["station", "observations", "unique_runs", "baseline_per_hour", "score", "change_ratio"]
+    for hour in ("2024-01-10 07:00:00", "2024-01-20 00:00:00"):
+        same(out.where(F.col("hour_end") == F.lit(hour).cast("timestamp")).select(names), segments.node_activity(rows, hour).select(names))
 
 
-def test_transitions_equal_batch(spark, ledger, tmp_path):
-    path, rows = ledger
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = drained(spark, jobs.transitions(jobs.ledger_stream(spark, path, rows.schema)), str(tmp_path / "out"))
-        batch = state.transitions(rows, "run_id", "occurred_at", "event_id", ["station"]).select("run_id", "event_id", "from_station", "station")
-        same(out.where("event_id >= 0").select("run_id", "event_id", "from_station", "station"), batch)
-        silent = {r.station: r["count"] for r in out.where("event_id < 0").groupBy("station").count().collect()}
-        assert set(silent) == set(jobs.SILENCE) and silent["stale"] >= silent["unknown"] >= silent[jobs.EXPIRED] > 0, "silent runs pass all limits"
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-
-
-def test_resolution_contains_the_batch_answer(spark, ledger, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    with jobs_streams.rocks(spark):
+        yield
+
+
+def test_transitions_do_not_depend_on_the_cut(spark, ledger, tmp_path, rocks):
     path, rows = ledger
-    stream = lambda s: jobs.ledger_stream(spark, path, rows.schema).where(F.col("station") == s)
-    out = drained(spark, jobs.resolved(stream("signup"), stream("purchase"), "40 days"), str(tmp_path / "out"))
-    first = jobs.first_resolutions(out).select("prediction_id", "fact_id")
-    p = rows.where("station = 'signup'").select("train", F.col("event_id").alias("prediction_id"), F.col("occurred_at").alias("predicted_at"))
-    batch = state.first_after(p, rows.where("station = 'purchase'"), ["train"], "predicted_at", "occurred_at", "event_id").where("fact_id IS NOT NULL").select("prediction_id", "fact_id")
-    same(first, batch)
+    by_day = str(tmp_path / "by-day")
+    for day in [r[0] for r in rows.select(F.to_date("occurred_at")).distinct().orderBy(F.to_date("occurred_at")).collect()]:
+        rows.where(F.to_date("occurred_at") == F.lit(day)).coalesce(1).write.mode("append").parquet(by_day)
+    one = drained(spark, jobs.transitions(jobs.ledger_stream(spark, path, rows.schema)), str(tmp_path / "one"))
+    many = drained(spark, jobs.transitions(jobs.ledger_stream(spark, by_day, rows.schema, 3)), str(tmp_path / "many"))
+    same(one, many)
+    changes = state.transitions(rows, "run_id", "occurred_at", "event_id", ["station"]).select("run_id", "event_id", "station")
+    seen = {tuple(r) for r in one.where("event_id >= 0").select("run_id", "event_id", "station").collect()}
+    assert {tuple(r) for r in changes.collect()} <= seen
+    silent = {r.station: r["count"] for r in one.where("event_id < 0").groupBy("station").count().collect()}
+    assert set(silent) == set(jobs.SILENCE) and silent["stale"] >= silent["unknown"] >= silent[jobs.EXPIRED] > 0, "silent runs pass all limits"
+
+
+ITEM = "key string, kind string, id long, at timestamp, until timestamp"
+
+
+def minute(m):
+    return None if m is None else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+
+
+def test_open_items_end_once_over_late_rows_and_restarts(spark, tmp_path, rocks):
+    """Batches as files, a process that ends after each: state, timers and output go on."""
+    batches = [
+        [("a", "prediction", 1, 0, 30), ("a", "prediction", 2, 50, 60), ("a", "anomaly", 7, 10, None), ("b", "hypothesis", 5, 0, 100), ("a", "fact", 90, 50, None), ("a", "fact", 91, 0, None)],
+        [("a", "fact", 92, 40, None), ("a", "anomaly", 7, 40, None), ("c", "prediction", 3, 45, None)],  # late, but within the hour
+        [("a", "fact", 93, 420, None), ("z", "fact", 99, 421, None)],
+        [("a", "fact", 94, 30, None), ("c", "fact", 95, 1000, None)],  # the first one is too late
+        [("c", "fact", 96, 1001, None), ("z", "fact", 99, 2000, None)],
+    ]
+    got = []
+    for i, batch in enumerate(batches):
+        rows = [(k, kind, n, minute(at), minute(until)) for k, kind, n, at, until in batch]
+        spark.createDataFrame(rows, ITEM).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ITEM).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        tagged = open_items.standing(stream.where("kind <> 'fact'"), stream.where("kind = 'fact'"))
+        jobs.run_once(open_items.ended(tagged), str(tmp_path / "out"), checkpoint=str(tmp_path / "checkpoint"))
+        got.append({(r.key, r.kind, r.id, r.status, r.at.strftime("%d %H:%M"), r.fact_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()})
+    # the prediction made at the moment of a fact waits for the next one; facts 50 and 40: the earlier one by time resolves
+    assert got[-1] == {
+        ("a", "prediction", 1, "resolved", "01 00:40", 92), ("a", "prediction", 2, "resolved", "01 07:00", 93), ("a", "anomaly", 7, "resolved", "01 01:25", None), ("b", "hypothesis", 5, "expired", "01 01:40", None), ("c", "prediction", 3, "resolved", "01 16:40", 95),
+    }
+    assert all(x <= y for x, y in zip(got, got[1:], strict=False)) and spark.read.parquet(str(tmp_path / "out")).count() == 5
+    assert not any(r[0] == "c" for r in got[2])
+
+
+def test_predictions_expire_six_hours_after_their_interval(spark, tmp_path, rocks):
+    rows = [("a", "prediction", 1, minute(0), minute(10)), ("a", "fact", 9, minute(371), None), ("a", "prediction", 2, minute(0), minute(11)), ("z", "fact", 8, minute(5000), None)]
+    spark.createDataFrame(rows, ITEM).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ITEM).parquet(str(tmp_path / "in"))
+    out = drained(spark, open_items.ended(open_items.standing(stream.where("kind <> 'fact'"), stream.where("kind = 'fact'"))), str(tmp_path / "out"))
+    assert sorted((r.id, r.status, r.fact_id) for r in out.collect()) == [(1, "expired", None), (2, "resolved", 9)]
 
 
 def test_late_rows_reach_the_ledger_but_not_fusion(spark, ledger, tmp_path):
