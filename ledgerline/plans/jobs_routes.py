@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars
-from ledgerline.operators import places, positions, routes
+from ledgerline.operators import coverage, itineraries, places, positions, routes
 from ledgerline.plans.proxy import EV, G_EDGES, KM_SQL, PTS, ev, g_edges, pts, table
 from ledgerline.plans.registry import job
 
@@ -218,3 +218,41 @@ SELECT s.run_id, s.snapshot_id, s.timeline_gap, coalesce(f.status, 'unknown') AS
 def m22(spark, sf):
     rows = _updates(spark, sf).withColumns({"snapshot_id": F.col("event_id"), "captured_at": F.col("updated_at")})
     return positions.historical_positions(rows, _at(NOON)).select("run_id", "snapshot_id", "timeline_gap", "status", "km")
+
+
+ITINERARIES = f"""{EV}, base AS (SELECT run_id, any_value(train) AS train, any_value(service_date) AS service_date, list(station ORDER BY occurred_at, event_id) AS met, list({{'s': station, 't': epoch_us(occurred_at) - (event_id % 5) * 86400000000::BIGINT}} ORDER BY occurred_at, event_id) FILTER (event_id % 2 = 0) AS calls, list(DISTINCT station ORDER BY station) AS listed,
+  arg_min(station, (occurred_at, event_id)) AS first, arg_max(station, (occurred_at, event_id)) AS final, epoch_us(min(occurred_at)) AS departure FROM ev GROUP BY run_id),
+runs AS (SELECT *, first AS origin, CASE WHEN train % 5 <> 0 THEN final END AS destination, CASE WHEN train % 3 = 0 THEN met ELSE [] END AS ordered FROM base),
+placed AS (SELECT *, list_filter(ordered, lambda x, i: list_position(ordered, x) = i) AS o, list_transform(list_sort(list_transform(coalesce(calls, []), lambda c, i: {{'t': CASE WHEN c.t < departure - 216000000000 THEN c.t + ceil((departure - 216000000000 - c.t) / 86400000000.0)::BIGINT * 86400000000 ELSE c.t END, 'i': i, 's': c.s}})), lambda c: c.s) AS names FROM runs),
+lists AS (SELECT *, list_filter(names, lambda x, i: list_position(names, x) = i AND x <> origin AND x IS DISTINCT FROM destination) AS between_them, list_position(o, origin) AS oa, list_position(o, destination) AS ob, list_position(listed, origin) AS la, list_position(listed, destination) AS lb FROM placed),
+three AS (SELECT *, CASE WHEN oa > 0 AND ob > 0 AND oa < ob THEN o[oa:ob] WHEN oa > 0 AND ob > 0 AND oa > ob THEN list_reverse(o[ob:oa]) ELSE [] END AS l1, CASE WHEN destination IS NULL OR destination = origin THEN list_concat([origin], between_them) ELSE list_concat([origin], between_them, [destination]) END AS l2,
+  CASE WHEN la > 0 AND lb > 0 AND la < lb THEN listed[la:lb] WHEN la > 0 AND lb > 0 AND la > lb THEN list_reverse(listed[lb:la]) ELSE [] END AS l3 FROM lists),
+pick AS (SELECT *, CASE WHEN greatest(len(l1), len(l2), len(l3)) < 2 THEN 'endpoints' WHEN len(l1) >= greatest(len(l2), len(l3)) THEN 'ordered_schedule' WHEN len(l2) >= len(l3) THEN 'station_calls' ELSE 'listed_schedule' END AS source FROM three),
+chosen AS (SELECT *, CASE source WHEN 'ordered_schedule' THEN l1 WHEN 'station_calls' THEN l2 WHEN 'listed_schedule' THEN l3 WHEN 'endpoints' THEN CASE WHEN destination IS NULL OR destination = origin THEN [origin] ELSE [origin, destination] END END AS stops FROM pick),
+graded AS (SELECT *, greatest(0, len(stops) - 2) AS inside, array_to_string(stops, '>') AS way FROM chosen)"""
+
+
+def _itineraries(spark, sf):
+    e = ev(spark, sf)
+    call = F.struct("occurred_at", "event_id", "station", F.timestamp_micros(F.unix_micros("occurred_at") - F.col("event_id") % 5 * 86_400_000_000).alias("at"))
+    first, final = F.min_by("station", F.struct("occurred_at", "event_id")), F.max_by("station", F.struct("occurred_at", "event_id"))
+    runs = e.groupBy("run_id", "train", "service_date").agg(F.sort_array(F.collect_list(call)).alias("met"), F.sort_array(F.collect_set("station")).alias("listed"), first.alias("origin"), final.alias("final"), F.min("occurred_at").alias("departure"))
+    some = F.transform(F.filter("met", lambda c: c["event_id"] % 2 == 0), lambda c: F.struct(c["station"].alias("station"), c["at"].alias("at")))
+    runs = runs.withColumns({"destination": F.when(F.col("train") % 5 != 0, F.col("final")), "calls": some, "ordered": F.when(F.col("train") % 3 == 0, F.transform("met", lambda c: c["station"]))})
+    return itineraries.canonical(runs)
+
+
+@job("g21_canonical_itinerary", f"""WITH {ITINERARIES} SELECT run_id, source, way, CASE WHEN inside >= 2 THEN 'verified' WHEN inside = 1 THEN 'constrained' ELSE 'probabilistic' END AS status, CASE WHEN inside >= 2 THEN least(0.96, round(0.72::DOUBLE + inside * 0.03, 4)) WHEN inside = 1 THEN 0.58 ELSE 0.3 END AS confidence, origin || '>' || coalesce(destination, 'unknown') AS direction FROM graded""")
+def g21_canonical(spark, sf):
+    return _itineraries(spark, sf).select("run_id", "source", F.array_join("stops", ">").alias("way"), "status", "confidence", "direction")
+
+
+@job("g21_itinerary_stops", f"WITH {ITINERARIES} SELECT run_id, i - 1 AS sequence, stops[i] AS station, CASE WHEN i = 1 THEN 'origin' WHEN i = len(stops) THEN 'destination' ELSE 'scheduled' END AS call_type, CASE source WHEN 'ordered_schedule' THEN 0.92 WHEN 'station_calls' THEN 0.78 ELSE 0.45 END AS confidence FROM (SELECT *, unnest(range(1, len(stops) + 1)) AS i FROM graded)")
+def g21_stops(spark, sf):
+    return itineraries.stops_of(_itineraries(spark, sf)).withColumn("sequence", F.col("sequence").cast("long"))
+
+
+@job("g21_canonical_versions", f"WITH {ITINERARIES}, c AS (SELECT train, service_date, way, CASE WHEN way = lag(way) OVER w THEN 0 ELSE 1 END AS changed FROM graded WINDOW w AS (PARTITION BY train ORDER BY service_date)) SELECT train, service_date, way, sum(changed) OVER (PARTITION BY train ORDER BY service_date ROWS UNBOUNDED PRECEDING)::BIGINT AS version FROM c")
+def g21_versions(spark, sf):
+    rows = _itineraries(spark, sf).select("train", "service_date", F.array_join("stops", ">").alias("way"), "itinerary_hash")
+    return coverage.versioned(rows, "train", "service_date", F.col("itinerary_hash")).select("train", "service_date", "way", "version")
