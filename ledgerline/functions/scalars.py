@@ -167,6 +167,8 @@ DWELL = {"depot": 720, "destination": 180, "stop": 60}
 STATION_WORDS = ("станція", "станция", "station", "вокзал", "залізнична", "железнодорожная")
 PASSENGER_ENDINGS = ("пас", "пасажирський", "пасс", "пассажирский", "головний", "главный")
 PASSENGER_FORMS = ("пас", "пасажирська", "пасажирський", "пасс", "пассажирская", "пассажирский")
+#: The short passenger ending is also listed in full.
+SHORT_ENDING, FULL_ENDING = "пас", "пасажирська"
 APOSTROPHES = "[’'`]"
 
 
@@ -178,11 +180,12 @@ def alias_key(name: Column | str) -> Column:
 
 
 def alias_variants(name: Column | str) -> Column:
-    """Keys under which a station may be listed: its own, without a passenger ending, with a trailing number joined."""
+    """Keys under which a station may be listed: its own, without a passenger ending, with the short one in full, with a trailing number joined."""
     key = alias_key(name)
     short = F.regexp_replace(key, rf"-({'|'.join(PASSENGER_ENDINGS)})$", "")
     joined = F.regexp_replace(key, r"-([0-9]+)$", "$1")
-    return F.array_distinct(F.array_compact(F.array(F.when(key != "", key), F.when((key != "") & (F.length(short) >= 3), short), F.when(key != "", joined))))
+    full = F.when(key.endswith(f"-{SHORT_ENDING}"), F.regexp_replace(key, f"{SHORT_ENDING}$", FULL_ENDING))
+    return F.array_distinct(F.array_compact(F.array(F.when(key != "", key), F.when((key != "") & (F.length(short) >= 3), short), full, F.when(key != "", joined))))
 
 
 def station_match(left: Column | str, right: Column | str) -> Column:

@@ -204,10 +204,19 @@ DUP = f"{PTS}, dp AS (SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE 'b' || (id %
 def _duplicates(spark, sf):
     left, _ = pts(spark, sf)
     rows = left.select("id", "lat", "lon", "name", F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("b"), (F.col("id") % 4).cast("string"))).alias("brand"), F.element_at(F.array(*map(F.lit, ("gas", "liquid", "unknown", "mixed"))), (F.col("id") % 4 + 1).cast("int")).alias("kind"), F.concat(F.lit("Street "), (F.col("id") % 2).cast("string")).alias("address"))
-    side = lambda s: rows.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("brand", "kind", "name", "address")])
+    rows = rows.withColumn("address_key", places.address_key("address"))
+    side = lambda s: rows.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("brand", "kind", "name", "address_key")])
     return geo.near_pairs(rows, rows, 1.3, 80, same=True).join(side("left"), "left_id").join(side("right"), "right_id")
 
 
+def _catalogue(spark, sf):
+    """The places of ``_duplicates`` with the fields that a merge fills."""
+    left, _ = pts(spark, sf)
+    k = F.col("id")
+    return left.select("id", "lat", "lon", F.when(k % 4 == 1, "fuel").otherwise(F.col("name")).alias("name"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("b"), (k % 4).cast("string"))).alias("brand"), F.element_at(F.array(*map(F.lit, ("gas", "liquid", "unknown", "mixed"))), (k % 4 + 1).cast("int")).alias("kind"),
+        F.concat(F.lit("Street "), (k % 2).cast("string")).alias("address"), F.when(k % 5 == 0, F.concat(F.lit("+"), k.cast("string"))).alias("phone"), (k % 6).cast("int").alias("sources"), (k % 7 == 0).alias("partner"), (k % 10 / 10.0).alias("confidence"), F.array(F.concat(F.lit("i"), (k % 9).cast("string"))).alias("images"))
+
+
 @job("m14_duplicate_decision", f"""WITH {DUP} SELECT left_id, right_id, CASE WHEN km > 70 THEN 'distance' WHEN (left_kind = 'gas' AND right_kind = 'liquid') OR (left_kind = 'liquid' AND right_kind = 'gas') THEN 'facility_type_conflict' WHEN (left_kind = 'gas' AND right_kind = 'unknown') OR (left_kind = 'unknown' AND right_kind = 'gas') THEN 'facility_type_uncertain'
   WHEN left_brand <> '' AND right_brand <> '' AND left_brand <> right_brand THEN 'brand_conflict' WHEN left_brand <> '' AND right_brand <> '' AND km <= 60 THEN 'same_brand' WHEN NOT (left_brand <> '' AND right_brand <> '') AND km <= 40 THEN 'generic_overlap' WHEN NOT (left_brand <> '' AND right_brand <> '') AND km <= 60 AND left_address = right_address THEN 'same_address' ELSE 'insufficient_evidence' END AS reason FROM pr WHERE km <= 80""")
 def m14(spark, sf):
@@ -219,6 +228,21 @@ def m15(spark, sf):
     return places.duplicate_groups(places.duplicate_decision(_duplicates(spark, sf), 70, 60, 40).where("duplicate"))
 
 
+@job("m15_merge_history")
+def m15_history(spark, sf):
+    pairs = _duplicates(spark, sf)
+    groups = places.duplicate_groups(places.duplicate_decision(pairs, 70, 60, 40).where("duplicate"))
+    return places.merge_history(groups, _catalogue(spark, sf), 70, 60, 40).select("source_id", "target_id", "reason", F.round("km", 4).alias("km"), "selected")
+
+
+@job("m15_merged_places")
+def m15_merged(spark, sf):
+    pairs, catalogue = _duplicates(spark, sf), _catalogue(spark, sf)
+    groups = places.duplicate_groups(places.duplicate_decision(pairs, 70, 60, 40).where("duplicate"))
+    merged = places.merged_places(places.merge_history(groups, catalogue, 70, 60, 40), catalogue)
+    return merged.select("id", "name", "brand", "address", "phone", F.array_join("images", ",").alias("images"), "confidence", F.size("merged").alias("merged"))
+
+
 @job("m16_match_score", f"""WITH {DUP}, tk AS (SELECT *, list_distinct(string_split(regexp_replace(lower(left_name), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-')) AS a, list_distinct(string_split(regexp_replace(lower(right_name), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-')) AS b FROM pr WHERE km <= 80),
 sc AS (SELECT *, least(1.0, greatest(0.0, CASE WHEN km / 100 <= 0.03 THEN 0.5 WHEN km / 100 <= 0.08 THEN 0.4 WHEN km / 100 <= 0.18 THEN 0.25 ELSE 0.0 END + CASE WHEN left_brand <> '' AND left_brand = right_brand THEN 0.35 WHEN left_brand = '' OR right_brand = '' THEN 0.1 ELSE -0.2 END + len(list_intersect(a, b)) / greatest(1, least(len(a), len(b)))::DOUBLE * 0.25)) AS s FROM tk)
 SELECT left_id, right_id, round(s, 4) AS score, CASE WHEN s >= 0.7 THEN 'accepted' WHEN s >= 0.4 THEN 'review' ELSE 'rejected' END AS status FROM sc""")
@@ -314,9 +338,8 @@ def a7_boards(spark, sf):
 
 @job("a11_criteria_counts", "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS yes, count(*) FILTER (l_returnflag = 'N') AS no, count(*) FILTER (l_returnflag = 'A') AS not_applicable FROM lineitem GROUP BY l_orderkey")
 def a11(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("criteria"))
-    count = lambda v: F.size(F.filter("criteria", lambda c: c == v)).cast("long")
-    return rows.select("l_orderkey", count("R").alias("yes"), count("N").alias("no"), count("A").alias("not_applicable"))
+    count = lambda v: F.count_if(F.col("l_returnflag") == v)
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(count("R").alias("yes"), count("N").alias("no"), count("A").alias("not_applicable"))
 
 
 @job("c17_entities", "SELECT doc_id, regexp_extract(text, '([0-9]{1,3})\\.[0-9]+\\.[0-9]+\\.[0-9]+', 1) AS net, regexp_extract(text, 'token = \"([0-9a-f]+)', 1) AS secret FROM documents WHERE regexp_matches(text, '[0-9]')")

@@ -41,10 +41,16 @@ def rows(names: list[str], found: list) -> list[tuple]:
     return sorted((tuple(plain(r[i]) for i in order) for r in found), key=_key)
 
 
+def _rounded(x: float) -> bool:
+    return round(x, 4) == x
+
+
 def close(a, b) -> bool:
-    """Equal; two numbers of which one has a fraction may differ in the last digit they were rounded to."""
+    """Equal; of two numbers of which one has a fraction, those rounded to four places may differ in the last of these."""
     if isinstance(a, float) or isinstance(b, float):
-        return a is not None and b is not None and not isinstance(a, (str, bool)) and not isinstance(b, (str, bool)) and math.isclose(a, b, rel_tol=1e-6, abs_tol=1.1e-4)
+        if a is None or b is None or isinstance(a, (str, bool)) or isinstance(b, (str, bool)):
+            return False
+        return math.isclose(a, b, rel_tol=1e-6, abs_tol=1.1e-4 if _rounded(a) and _rounded(b) and max(abs(a), abs(b)) > 2e-4 else 1e-9)
     return type(a) is type(b) and a == b
 
 

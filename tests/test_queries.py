@@ -1,4 +1,4 @@
-"""Every registered query of the library: against its SQL where it has one, else that it runs."""
+"""Every registered query of the library: against its SQL where it has one, else that it gives rows."""
 
 import os
 
@@ -22,8 +22,8 @@ def test_against_sql(spark, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SMALL).count() >= 0
+def test_gives_rows(spark, name):
+    assert not catalog.QUERIES[name](spark, SMALL).isEmpty()
 
 
 def test_entry_imports_without_the_training_data_operators(monkeypatch):
