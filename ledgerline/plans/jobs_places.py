@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import geo, graph, places
 from ledgerline.plans.proxy import EV, G_EDGES, KM_SQL, PTS, ev, g_edges, pts, table
 from ledgerline.plans.registry import job
-from ledgerline.sources import pages
+from ledgerline.plans.scratch import scratch_root
+from ledgerline.sources import pages, versions
 
 KM = KM_SQL.format(lat1="a.lat", lon1="a.lon", lat2="b.lat", lon2="b.lon")
 NOON = "2024-01-15 12:00:00"
@@ -353,3 +356,29 @@ def a14(spark, sf):
     rows = g_edges(spark, sf).join(known.withColumnRenamed("node", "src"), "src", "left_semi").withColumn("version", F.floor(F.col("src") / 500))
     parts = rows.groupBy("version").agg(F.count("*").alias("segments"), F.round(F.sum("km"), 3).alias("km"))
     return parts.withColumn("active", F.col("version") == F.max("version").over(Window.partitionBy()))
+
+
+FRAME = "CASE WHEN {c} IS NULL THEN '-' ELSE length({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+_KEY, _ROW = (" || ".join(FRAME.format(c=c) for c in columns) for columns in (("src", "dst"), ("src", "dst", "metres")))
+RANGES = f"""{G_EDGES}, e AS (SELECT src, dst, (km * 1000)::BIGINT AS metres FROM g_edges), digits AS (SELECT CASE WHEN count(*) <= 125 THEN 0 WHEN count(*) <= 125 * 16 THEN 1 WHEN count(*) <= 125 * 256 THEN 2 WHEN count(*) <= 125 * 4096 THEN 3 ELSE 4 END AS d FROM e),
+r AS (SELECT *, left(sha256({_KEY}), d) AS range, sha256({_ROW}) AS digest FROM e, digits)"""
+
+
+def _segments(spark, sf):
+    return g_edges(spark, sf).select("src", "dst", (F.col("km") * 1000).cast("long").alias("metres"))
+
+
+@job("a28_content_ranges", f"WITH {RANGES} SELECT range, count(*) AS rows, sha256(string_agg(digest, '' ORDER BY digest)) AS digest FROM r GROUP BY range")
+def a28_ranges(spark, sf):
+    return versions.range_digests(versions.in_ranges(_segments(spark, sf), ["src", "dst"]))
+
+
+@job("a14_activated_graph", f"WITH {G_EDGES} SELECT src, dst, (km * 1000)::BIGINT AS metres FROM g_edges WHERE src NOT IN (SELECT p_partkey FROM part WHERE p_size < 10) AND dst NOT IN (SELECT p_partkey FROM part WHERE p_size < 10)")
+def a14_activated(spark, sf):
+    path = f"{scratch_root(spark)}/graph-{uuid.uuid4().hex}"
+    known = _nodes(spark, sf, "p_size >= 10").withColumnRenamed("node", "station_id")
+    both = _segments(spark, sf).join(known.withColumnRenamed("station_id", "src"), "src", "left_semi").join(known.withColumnRenamed("station_id", "dst"), "dst", "left_semi").select("src", "dst", "metres")
+    versions.import_graph(known, both.where("src % 2 = 0"), path)
+    versions.import_graph(known, both, path)
+    versions.import_graph(known, _segments(spark, sf), path)  # has unknown ends, so the version before stays
+    return versions.read_active(spark, path, "src long, dst long, metres long")

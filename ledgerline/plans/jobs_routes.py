@@ -18,7 +18,7 @@ def _at(text: str):
 
 #: A name as its key and its variants, in SQL.
 KEY_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[’''`]', 'ʼ', 'g'), '(^|[^\p{{L}}\p{{N}}])(" + "|".join(scalars.STATION_WORDS) + r")($|[^\p{{L}}\p{{N}}])', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-|-$', '', 'g')"
-VARIANTS_SQL = "list_distinct(list_filter([{k}, CASE WHEN length(regexp_replace({k}, '-(" + "|".join(scalars.PASSENGER_ENDINGS) + ")$', '')) >= 3 THEN regexp_replace({k}, '-(" + "|".join(scalars.PASSENGER_ENDINGS) + r")$', '') END, regexp_replace({k}, '-([0-9]+)$', '\1')], lambda v: coalesce(v, '') <> ''))"
+VARIANTS_SQL = "list_distinct(list_filter([{k}, CASE WHEN length(regexp_replace({k}, '-(" + "|".join(scalars.PASSENGER_ENDINGS) + ")$', '')) >= 3 THEN regexp_replace({k}, '-(" + "|".join(scalars.PASSENGER_ENDINGS) + r")$', '') END, CASE WHEN {k} LIKE '%-" + scalars.SHORT_ENDING + r"' THEN regexp_replace({k}, '" + scalars.SHORT_ENDING + "$', '" + scalars.FULL_ENDING + r"') END, regexp_replace({k}, '-([0-9]+)$', '\1')], lambda v: coalesce(v, '') <> ''))"
 STATION_NAMES = "CASE s_suppkey % 5 WHEN 0 THEN 'Station ' || s_name WHEN 1 THEN s_name || '-пас' WHEN 2 THEN s_name || ' Головний' WHEN 3 THEN 'Вокзал ' || replace(s_name, '#', ' # ') ELSE upper(s_name) END"
 
 
