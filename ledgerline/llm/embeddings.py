@@ -10,8 +10,8 @@ all cells are visited.  A link is verified by cosine in double precision.  It is
 cell; a member knows its own visits, so each link is counted once for each end.  Cells are cut into tiles by a hash,
 pairs of tiles are dealt out, and each returns link counts and a spanning forest, never all pairs.
 
-Vectors of one length are compared with each other only.  A length has an index of its own when the sample holds
-``LEAST_SAMPLE`` of its vectors; one that is rarer is a single cell, compared exactly in tiles.
+Vectors of one length are compared with each other only, and each length has an index of its own: the sample is drawn length
+by length, in proportion but ``LEAST_SAMPLE`` at least.  A length of no more vectors than that in all is a single cell.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; magnitudes
 up to the ends of the double range are scaled before they are squared; null vec_ids come after all others; repeated rows
@@ -202,15 +202,28 @@ def _compared(cosine: float):
     return work
 
 
+def _sampled(nodes: DataFrame) -> tuple[dict[int, int], dict[int, list[bytes]]]:
+    """Vectors of each length, and a sample of each that has more than ``LEAST_SAMPLE``: those of least digest."""
+    sized = nodes.select("d1", "d2", "vec", F.length("vec").alias("bytes"))
+    counts = {r["bytes"]: r["n"] for r in sized.groupBy("bytes").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    wanted = {size: max(LEAST_SAMPLE, SAMPLE * n // total) for size, n in counts.items() if n > LEAST_SAMPLE}
+    if not wanted:
+        return counts, {}
+    # digests are uniform: this share of them holds the wanted number with all but certainty
+    shares = [(size, min(1.0, (q + 8 * q**0.5 + 64) / counts[size])) for size, q in wanted.items()]
+    limits = nodes.sparkSession.createDataFrame(shares, "bytes int, share double")
+    near = sized.join(limits, "bytes").where((F.col("d1").cast("double") + 2.0**63) / 2.0**64 <= F.col("share"))
+    found: dict[int, list[tuple]] = {}
+    for r in near.select("bytes", "d1", "d2", "vec").collect():
+        found.setdefault(r["bytes"], []).append((r["d1"], r["d2"], r["vec"]))
+    return counts, {size: [v for _, _, v in sorted(some)[: wanted[size]]] for size, some in found.items()}
+
+
 def _fitted(nodes: DataFrame, cosine: float, target: float) -> dict[int, MultiIndex]:
-    """An index for each vector length that the sample holds often enough."""
-    sample = [r["vec"] for r in nodes.orderBy("d1", "d2").select("vec").limit(SAMPLE).collect()]  # at most SAMPLE vectors
-    by_size: dict[int, list[bytes]] = {}
-    for v in sample:
-        by_size.setdefault(len(v), []).append(v)
-    often = {size: some for size, some in by_size.items() if len(some) >= LEAST_SAMPLE}
-    count = nodes.count()
-    return {size: MultiIndex(unit(np.frombuffer(b"".join(some), np.float64).reshape(len(some), -1)), count * len(some) // len(sample), cosine, target) for size, some in often.items()}
+    """An index for each vector length that has more than ``LEAST_SAMPLE`` vectors."""
+    counts, samples = _sampled(nodes)
+    return {size: MultiIndex(unit(np.frombuffer(b"".join(some), np.float64).reshape(len(some), -1)), counts[size], cosine, target) for size, some in samples.items()}
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, target: float = TARGET, tile: int = TILE) -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerline.llm import chat, embeddings, mixing, packing, pii, quality, queries, simhash, substring, templates
@@ -119,6 +120,21 @@ def test_rare_near_vectors_are_found(spark):
     assert len(linked) >= 0.9 * 60
 
 
+def test_a_rare_length_has_an_index_too(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(embeddings, "SAMPLE", 600)
+    often, rare, few = rng.normal(size=(6000, 16)), rng.normal(size=(300, 6)), rng.normal(size=(40, 4))
+    rare[150:] = rare[:150] + rng.normal(size=(150, 6)) * 0.02
+    rows = [(i, v.tolist()) for i, v in enumerate([*often, *rare, *few])]
+    nodes = spark.createDataFrame([(xxhash.xxh64_intdigest(str(i)) - (1 << 63), i, np.array(v).tobytes()) for i, v in rows], "d1 long, d2 long, vec binary")
+    counts, samples = embeddings._sampled(nodes)
+    assert counts == {128: 6000, 48: 300, 32: 40} and {k: len(v) for k, v in samples.items()} == {128: 567, 48: 256}
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).where("vec_id >= 6000").collect()}
+    links, few_links = brute_links(rare)[0], brute_links(few)[0]
+    assert len(got) == 340 and links.sum() >= sum(got[6000 + i].n_links for i in range(300)) >= 0.95 * links.sum() > 0
+    assert [got[6300 + i].n_links for i in range(40)] == few_links.tolist(), "a length of few vectors is compared whole"
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(0)
     index = embeddings.MultiIndex(embeddings.unit(rng.normal(size=(500, 8))), 3000, 0.9, 0.99)
