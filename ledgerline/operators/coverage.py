@@ -101,6 +101,24 @@ def versioned(rows: DataFrame, key: str, order: str, content: Column) -> DataFra
     return marked.withColumn("_changed", changed).withColumn("version", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
 
 
+def readiness(segments: DataFrame, statuses: DataFrame, linked: DataFrame, states: DataFrame) -> DataFrame:
+    """One row: what of the four parts is there, how many are, the status they give, and the expected runs by status.
+
+    ``segments``: the active graph; ``statuses``: expected runs with ``status``; ``linked``: observations that have a run;
+    ``states``: current states.  Only whether a table holds a row is asked of three of them.
+    """
+    some = lambda df, name: df.limit(1).agg((F.count("*") > 0).alias(name))
+    kinds = statuses.groupBy("status").agg(F.count("*").alias("n"))
+    by_status = kinds.agg(F.sort_array(F.collect_list(F.struct("status", "n"))).alias("statuses"), (F.count("*") > 0).alias("expected_registry"))
+    row = by_status
+    for part in (some(segments, "graph"), some(linked, "observation_fusion"), some(states, "current_states")):
+        row = row.crossJoin(F.broadcast(part))  # one row each
+    names = ("graph", "expected_registry", "observation_fusion", "current_states")
+    ready = sum((F.col(c).cast("int") for c in names), F.lit(0))
+    status = F.when(ready == len(names), "operational").when(ready > 0, "warming").otherwise("insufficient-evidence")
+    return row.select(*names, ready.alias("ready_count"), status.alias("status"), "statuses")
+
+
 def import_progress(chunks: DataFrame, planned: DataFrame, stall_minutes: float = 20) -> DataFrame:
     """Running count, rate, hours left and stalls of an import; ``chunks``: at, chunks; ``planned``: one row.
 

@@ -76,6 +76,15 @@ def e30(spark, sf):
     return out.withColumn("readiness", F.when((F.col("active") > 0) & (F.col("completed") > 0), "ready").otherwise("degraded"))
 
 
+@job("e30_operational_readiness", f"""WITH {STATUS}, {G_EDGES}, c AS (SELECT (SELECT count(*) FROM g_edges) > 0 AS graph, (SELECT count(*) FROM sta) > 0 AS expected_registry, (SELECT count(*) FROM events WHERE event_id % 3 = 0) > 0 AS observation_fusion, (SELECT count(*) FROM events WHERE value < 0) > 0 AS current_states)
+SELECT *, graph::INTEGER + expected_registry::INTEGER + observation_fusion::INTEGER + current_states::INTEGER AS ready_count, CASE graph::INTEGER + expected_registry::INTEGER + observation_fusion::INTEGER + current_states::INTEGER WHEN 4 THEN 'operational' WHEN 0 THEN 'insufficient-evidence' ELSE 'warming' END AS status,
+  (SELECT string_agg(status || ':' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM sta GROUP BY status)) AS statuses FROM c""")
+def e30_readiness(spark, sf):
+    e = ev(spark, sf)
+    out = coverage.readiness(g_edges(spark, sf), _statuses(spark, sf), e.where("event_id % 3 = 0"), e.where("value < 0"))
+    return out.withColumn("statuses", F.array_join(F.transform("statuses", lambda x: F.concat_ws(":", x["status"], x["n"].cast("string"))), ","))
+
+
 PRIORITY = f"""{EV}, need AS (SELECT station || ':' || train AS station, count(DISTINCT run_id) AS expected, count(*) FILTER (delay_min >= 80) AS silent, count(DISTINCT source_id) - 1 AS ambiguous, count(*) FILTER (reliability < 0.05) AS overdue, max(value) AS activity, min((epoch_us({TS}) - epoch_us(occurred_at)) / 60e6) FILTER (occurred_at <= {TS}) AS silence FROM ev GROUP BY 1),
 pri AS (SELECT *, round(expected * 4 + silent * 18 + ambiguous * 14 + overdue * 24 + least(22.0, greatest(0.0, coalesce(silence, 720.0)) / 30) + least(100.0, greatest(0.0, activity)) * 0.08, 4) AS score FROM need)"""
 

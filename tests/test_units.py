@@ -210,3 +210,14 @@ def test_distance_of_null_is_null(spark):
 @pytest.mark.parametrize("run", [lambda e: fusion.fuse_domains(e), lambda e: segments.segment_stats(segments.consecutive_segments(e)), lambda e: state.tail_islands(e), lambda e: ledger.unpivot_update(e), lambda e: publish.thin(e, "run_id", "occurred_at", 15)])
 def test_empty_ledger(spark, run):
     assert run(events(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize(("parts", "status"), [((1, 1, 1, 1), "operational"), ((0, 1, 0, 0), "warming"), ((0, 0, 0, 0), "insufficient-evidence")])
+def test_readiness_of_four_parts(spark, parts, status):
+    from ledgerline.operators import coverage
+
+    runs = spark.createDataFrame([("planned",), ("active",), ("planned",)], "status string")
+    tables = [runs.limit(0) if not p else runs for p in parts]
+    row = coverage.readiness(*tables).first()
+    assert (row.status, row.ready_count) == (status, sum(parts))
+    assert [tuple(x) for x in row.statuses] == ([("active", 1), ("planned", 2)] if parts[1] else [])
