@@ -77,9 +77,9 @@ def edges_in(x: np.ndarray, words: Words, data: bytes) -> tuple[np.ndarray, np.n
     """``x1, x2, x3`` and count of the distinct edges of a text, sorted."""
     n = len(x)
     text = np.frombuffer(data, np.uint8)
-    ends = np.concatenate(([0], np.cumsum((text >= 10) & (text <= 13))))
+    ends = np.flatnonzero((text >= 10) & (text <= 13))
     goes_on = np.zeros(n + 1, bool)
-    goes_on[: n - 1] = ends[words.starts[1:]] == ends[words.ends[:-1]]
+    goes_on[: n - 1] = np.searchsorted(ends, words.starts[1:]) == np.searchsorted(ends, words.ends[:-1])
     x2 = np.where(goes_on[:n], np.append(x[1:], 0), 0)
     x3 = np.where(goes_on[:n] & goes_on[1:], np.append(x[2:], [0, 0])[:n], 0)
     order = np.lexsort((x3, x2, x))
