@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.tokens import encoder, id_bytes, vocabulary
-from ledgerline.llm.words import slices, texts
+from ledgerline.llm.words import sized, slices, texts
 from ledgerline.plans.scratch import bucketed, materialize
 
 WINDOW = 2048
@@ -128,14 +128,14 @@ class Plan:
 
 def _cut(path: str, blanks: bool, end: int, window: int, width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path, blanks).encode, TaskContext.get().partitionId()
+        encode, part = encoder(path, blanks).encode_all, TaskContext.get().partitionId()
         ranks = np.zeros(window + 1, np.int64)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
         names = ["doc_id", "doc_tokens", "start", "length", "rank", "part", "ids"]
-        for batch in slices(batches):
+        for batch in sized(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = np.append(encode(text), np.uint32(end)).astype(f"<u{width}")
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch)), strict=True):
+                ids = np.append(ids, np.uint32(end)).astype(f"<u{width}")
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
                     rows.append((doc_id, len(ids), at, len(piece), int(ranks[len(piece)]), part, piece.tobytes()))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: A word is a run of bytes other than space and the controls 9 to 13; ``bytes.split`` cuts at these six bytes too.
@@ -25,13 +26,27 @@ def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in short slices, so that a worker holds few texts as objects at a time.
-
-    Workers are reused, so what a task has freed goes back to the system when its rows end.
-    """
+    """The batches in short slices, so that a worker holds few texts as objects at a time."""
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+    _give_back()
+
+
+def sized(batches: Iterator[pa.RecordBatch], size: int = 1 << 22, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """As ``slices``, of at most ``size`` bytes of text each; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Workers are reused, so what a task has freed goes back to the system when its rows end."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)

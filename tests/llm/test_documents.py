@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from functools import lru_cache
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerline.llm import ctw, mixing, packing, pii, quality, resemblance, simhash, sstable, substring, tokens
+from ledgerline.llm import words as words_module
 from ledgerline.llm.words import Words
 
 LAST = 1 << 62
@@ -349,6 +351,49 @@ def test_encoder_survives_a_full_table(monkeypatch, rows):
         assert len(encoder.place) <= 50 + 1000
 
 
+def test_encoder_of_many_texts(monkeypatch, rows):
+    monkeypatch.setattr(tokens, "CHUNK", 700)
+    signs = ["", ".", ",", "$$$", "!?", "'", "'s", ".'s", "\u20ac.", "\u0301.", "...\u0338"]
+    heads = ["alpha", "Stra\u00dfe", "\u00e9lan", "\u65e5\u672c", "x1", "7", "'", "", "\u0130", "\u0958", "\ufb1d", "e\u0301", "\u1100\u1161"]
+    mixed = [f"{h}{s}{b}{h}{s}{e}" for h in heads for s in signs for b in (" ", "\n", "  ", "\n ", " \n") for e in ("", " ", "\n")]
+    texts = [r[1] or "" for r in rows] + mixed + ["\t a", "a\x1cb c", "a <|endoftext|>."]
+    for name, blanks in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        got = tokens.Encoder(tokens.vocabulary(name), blanks).encode_all(texts)
+        assert [(t, g.tolist()) for t, g in zip(texts, got, strict=True)] == [(t, library_ids(name, t)) for t in texts]
+
+
+def test_encoder_keeps_letters_apart_from_signs():
+    letters, signs = [a + b for a in "bcdfg" for b in "aeiou"], [".", ",", "$$$", "%%%", "!!", "&&", ";"]
+    encoder = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"), False)
+    encoder.encode(" ".join(x + y for x in letters for y in signs))
+    assert len(encoder.place) == len(letters) + len(signs), "not one entry a pair"
+
+
+def test_slices_by_size():
+    batch = pa.record_batch({"doc_id": list(range(7)), "text": ["a" * 40, None, "b" * 70, "c" * 500, "", "d" * 30, "\u00e9" * 30]})
+    got = [b.column("doc_id").to_pylist() for b in words_module.sized(iter([batch, batch.slice(2, 0), batch.slice(5)]), 100)]
+    assert got == [[0, 1], [2], [3], [4, 5, 6], [5, 6]]
+
+
+@pytest.fixture
+def asked(monkeypatch):
+    """How many texts went to the encoder at each call."""
+    calls, whole = [], tokens.Encoder.encode_all
+    monkeypatch.setattr(tokens.Encoder, "encode_all", lambda self, texts: calls.append(len(texts)) or whole(self, texts))
+    return calls
+
+
+MANY = pa.record_batch({"doc_id": list(range(2000)), "text": [f"same words, number {i % 7}." for i in range(2000)]})
+
+
+def test_packing_encodes_many_texts_at_once(monkeypatch, asked):
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    cut = packing._cut(packing.default_tokenizer(), False, 1, 2048, 2)
+    rows = [r for b in cut(iter([MANY])) for r in b.to_pylist()]
+    assert asked == [2000]
+    assert [np.frombuffer(r["ids"], "<u2").tolist() for r in rows] == [[*library_ids("word_bpe_49k.json", t), 1] for t in MANY.column("text").to_pylist()]
+
+
 def text_mark(text):
     """The order of rows with one doc_id: Spark's xxhash64, where null gives the seed."""
     h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
