@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.tokens import encoder, id_bytes, vocabulary
-from ledgerline.llm.words import slices, texts
+from ledgerline.llm.words import sized, texts
 from ledgerline.plans.scratch import materialize, scratch_root, table_bytes
 
 BLOCK = 1 << 16
@@ -150,11 +150,11 @@ class Shard:
 
 def _records(path: str, end: int, width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(path, True).encode, ShardWriter(width)
-        for batch in slices(batches):
+        encode, shard = encoder(path, True).encode_all, ShardWriter(width)
+        for batch in sized(batches):
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                out.append(shard.add(key_of(doc_id), np.append(encode(text), np.uint32(end))))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch)), strict=True):
+                out.append(shard.add(key_of(doc_id), np.append(ids, np.uint32(end))))
             yield pa.RecordBatch.from_arrays([pa.array([b for b in out if b is not None], pa.binary())], names=["record"])
         if shard.documents:
             yield pa.RecordBatch.from_arrays([pa.array(shard.finish(), pa.binary())], names=["record"])

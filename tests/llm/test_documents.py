@@ -394,6 +394,13 @@ def test_packing_encodes_many_texts_at_once(monkeypatch, asked):
     assert [np.frombuffer(r["ids"], "<u2").tolist() for r in rows] == [[*library_ids("word_bpe_49k.json", t), 1] for t in MANY.column("text").to_pylist()]
 
 
+def test_shards_encode_many_texts_at_once(asked):
+    content = b"".join(r + b"\n" for b in sstable._records(sstable.default_tokenizer(), 0, 2)(iter([MANY])) for r in b.column("record").to_pylist())
+    assert asked == [2000]
+    want = [(i, [*library_ids("byte_bpe_50k.json", t), 0]) for i, t in enumerate(MANY.column("text").to_pylist())]
+    assert [(d, ids.tolist()) for d, ids in sstable.Shard.of(content).scan()] == want
+
+
 def text_mark(text):
     """The order of rows with one doc_id: Spark's xxhash64, where null gives the seed."""
     h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
