@@ -77,66 +77,100 @@ EXPIRED = "expired"
 SILENCE = {"stale": 90, "unknown": 180, EXPIRED: 360}
 
 
+#: Keys of a stateful job are dealt into so many buckets; the state of a bucket is read and written once a batch.  A checkpoint
+#: belongs to one number of buckets.
+BUCKETS = 512
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+
+
+def micros(times: pd.Series) -> list[int]:
+    """Times as whole microseconds."""
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+def one_timer(handle: StatefulProcessorHandle, due: int | None, clear: bool) -> None:
+    """One timer a bucket, at the next time something is due; one that has fired goes by itself."""
+    for timer in list(handle.listTimers()) if clear else ():
+        handle.deleteTimer(timer)
+    if due is not None:
+        handle.registerTimer(due // 1000 + 1)
+
+
 class RunState(StatefulProcessor):
-    """Last station of each run; a row for every change, and one at each limit of silence.  After the last the run is forgotten.
+    """Last station of each run of a bucket; a row for every change, and one at each limit of silence.  After the last the run is forgotten.
 
     A silence shows by a timer or by the next report, whichever comes first, so the rows do not depend on how the stream is cut.
     """
 
     def __init__(self, silence: dict[str, int]):
         self.silence = {name: minutes * 60_000_000 for name, minutes in sorted(silence.items(), key=lambda x: x[1])}
+        self.longest = max(self.silence.values())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "station string, at long, told long")
+        self.last = handle.getValueState("last", "run_id array<string>, station array<string>, at array<long>, told array<long>")
+
+    def _read(self) -> dict[str, tuple]:
+        if not self.last.exists():
+            return {}
+        return {run: rest for run, *rest in zip(*self.last.get(), strict=True)}
+
+    def _write(self, runs: dict[str, tuple], clear: bool) -> None:
+        if runs:
+            self.last.update((list(runs), *map(list, zip(*runs.values(), strict=True))))
+        else:
+            self.last.clear()
+        due = min((at + min(wait for wait in self.silence.values() if wait > told) for _, at, told in runs.values()), default=None)
+        one_timer(self.handle, due, clear)
 
     def _silent(self, run: str, station: str, at: int, told: int, upto: int) -> list[tuple]:
-        return [(run, -1, station, name, pd.Timestamp(at + wait, unit="us")) for name, wait in self.silence.items() if told < wait < upto - at]
+        return [(run, -1, station, name, at + wait) for name, wait in self.silence.items() if told < wait < upto - at]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        runs, out = self._read(), []
         batch = pd.concat(list(rows)).sort_values(["occurred_at", "event_id"])
-        before, at, told = self.last.get() if self.last.exists() else (None, None, 0)
-        out = []
-        for row in batch.itertuples(index=False):
-            now = row.occurred_at.value // 1000
+        for run, event, station, now in zip(batch["run_id"].tolist(), batch["event_id"].tolist(), batch["station"].tolist(), micros(batch["occurred_at"]), strict=True):
+            before, at, told = runs.get(run, (None, None, 0))
             if before is not None:
-                out += self._silent(key[0], before, at, told, now)
-                if now - at > max(self.silence.values()):
+                out += self._silent(run, before, at, told, now)
+                if now - at > self.longest:
                     before = None
-            if row.station != before:
-                out.append((key[0], row.event_id, before, row.station, row.occurred_at))
-            before, at, told = row.station, now, 0
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        for wait in self.silence.values():
-            self.handle.registerTimer((at + wait) // 1000 + 1)
-        self.last.update((before, at, told))
-        yield pd.DataFrame(out, columns=["run_id", "event_id", "from_station", "station", "occurred_at"])
+            if station != before:
+                out.append((run, event, before, station, now))
+            runs[run] = (station, now, 0)
+        self._write(runs, True)
+        yield _changes(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.last.exists():
-            station, at, told = self.last.get()
-            upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-            out = self._silent(key[0], station, at, told, upto)
+        runs, out, left = self._read(), [], {}
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        for run, (station, at, told) in runs.items():
+            out += self._silent(run, station, at, told, upto)
             told = max([told, *(wait for wait in self.silence.values() if wait < upto - at)])
-            if told == max(self.silence.values()):
-                self.last.clear()
-            else:
-                self.last.update((station, at, told))
-        yield pd.DataFrame(out, columns=["run_id", "event_id", "from_station", "station", "occurred_at"])
+            if told < self.longest:
+                left[run] = (station, at, told)
+        self._write(left, False)
+        yield _changes(out)
 
     def close(self) -> None:
         pass
 
 
+def _changes(out: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(out, columns=["run_id", "event_id", "from_station", "station", "occurred_at"])
+    return frame.assign(occurred_at=pd.to_datetime(frame["occurred_at"].astype("int64"), unit="us"))
+
+
 def transitions(stream: DataFrame, silence: dict[str, int] = SILENCE, late: str = "1 hour") -> DataFrame:
     """Changes of station per run with event-time timers for silence.  Needs the RocksDB state store.
 
     Rows of a silent run carry the name of the limit in ``station`` and -1 for ``event_id``: the queue of runs to look at again.
     """
-    rows = stream.withWatermark("occurred_at", late).select("run_id", "event_id", "station", "occurred_at")
-    return rows.groupBy("run_id").transformWithStateInPandas(RunState(silence), TRANSITION, "append", "eventtime")
+    rows = stream.withWatermark("occurred_at", late).select("run_id", "event_id", "station", "occurred_at", bucket_of("run_id"))
+    return rows.groupBy("bucket").transformWithStateInPandas(RunState(silence), TRANSITION, "append", "eventtime")
 
 
 def with_ledger(stream: DataFrame, ledger: str, fused: Callable[[DataFrame], None], now: Column, look_back_hours: int = 36, checkpoint: str | None = None) -> StreamingQuery:

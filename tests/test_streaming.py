@@ -176,3 +176,64 @@ def test_cycle_log_and_watchdog(spark, tmp_path):
     assert [r.counters for r in log.where("phase = 'finished'").collect()] == ['{"rows": 5}']
     states = lambda after: {r.cycle_id: r.status for r in jobs.cycle_states(log, F.current_timestamp() + F.expr(f"interval {after} minutes")).collect()}
     assert states(5) == {0: "completed", 1: "running"} and states(25) == {0: "completed", 1: "failed"}
+
+
+class Handle:
+    """State and timers of one bucket in memory; counts what is written."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            exists = staticmethod(lambda: name in handle.values)
+            get = staticmethod(lambda: handle.values[name])
+            clear = staticmethod(lambda: handle.values.pop(name, None))
+
+            @staticmethod
+            def update(value):
+                handle.calls += 1
+                handle.values[name] = value
+
+        return Value
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_bucket_writes_its_state_once_a_batch():
+    import pandas as pd
+
+    n = 500
+    at = pd.to_datetime([1_700_000_000_000_000 + i * 1000 for i in range(n)], unit="us")
+    state_of, handle = jobs.RunState(jobs.SILENCE), Handle()
+    state_of.init(handle)
+    batch = pd.DataFrame({"run_id": [f"r{i}" for i in range(n)], "event_id": range(n), "station": "s", "occurred_at": at})
+    first = pd.concat(state_of.handleInputRows((1,), iter([batch[:200], batch[200:]]), Mark(0)))
+    assert len(first) == n and handle.calls == 2 and len(handle.timers) == 1
+    late = pd.concat(state_of.handleExpiredTimer((1,), Mark(1_700_000_000_000 + 400 * 60_000), None))
+    assert late["station"].value_counts().to_dict() == dict.fromkeys(jobs.SILENCE, n) and not handle.values
+    items, handle = open_items.OpenItems(), Handle()
+    items.init(handle)
+    batch = pd.DataFrame({"key": [f"k{i % 50}" for i in range(n)], "kind": ["fact" if i % 10 == 9 else "prediction" for i in range(n)], "id": range(n), "at": at, "until": at + pd.Timedelta(hours=1)})
+    list(items.handleInputRows((1,), iter([batch]), Mark(0)))
+    assert handle.calls == 3 and len(handle.timers) == 1
+    done = pd.concat(items.handleExpiredTimer((1,), Mark(1_700_000_000_000 + 120 * 60_000), None))
+    assert len(done) == n - n // 10 and not handle.values
