@@ -46,6 +46,21 @@ def segment_stats(segments: DataFrame, keys: list[str] | None = None, keep: int
     return moments.join(ranks.withColumnRenamed("n", "sample_count"), keys)
 
 
+def replay(facts: DataFrame, stats: DataFrame, least: int) -> DataFrame:
+    """``event_id, minutes, learned_from, sample_count, p50``: each fact with what its own train has learned of its segment.
+
+    Where that is nothing, the train with most samples of the segment stands in, if it has ``least``.  So a fact meets its own
+    row and one for all, never the trains of its segment.  Of facts that share an id one is kept, own ones first.
+    """
+    pair = ["from_station", "to_station"]
+    learned = F.struct(F.col("train").alias("learned_from"), "sample_count", "p50")
+    own = stats.select("train", *pair, learned.alias("own"))
+    most = stats.where(F.col("sample_count") >= least).groupBy(*pair).agg(F.min_by(learned, F.struct(-F.col("sample_count"), F.col("train"))).alias("most"))
+    rows = facts.select("event_id", "train", *pair, "minutes").join(own, ["train", *pair], "left").join(most, pair, "left").withColumn("best", F.coalesce("own", "most")).where("best IS NOT NULL")
+    order = Window.partitionBy("event_id").orderBy(F.col("own").isNull(), F.desc("best.sample_count"), "best.learned_from")
+    return rows.withColumn("_place", F.row_number().over(order)).where("_place = 1").select("event_id", "minutes", "best.*")
+
+
 def rolling_mean(segments: DataFrame, last: int = 200) -> DataFrame:
     """Mean of each observation with up to ``last - 1`` earlier ones of its key."""
     frame = Window.partitionBy("train", "from_station", "to_station").orderBy("to_at", "event_id").rowsBetween(1 - last, 0)

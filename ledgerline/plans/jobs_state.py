@@ -297,11 +297,8 @@ def d1(spark, sf):
 SELECT f.event_id, s.train AS learned_from, s.sample_count, round(abs(f.minutes - s.p50), 3) AS error FROM facts f JOIN stats s ON f.from_station = s.from_station AND f.to_station = s.to_station WHERE s.train = f.train OR s.sample_count >= 10
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY (s.train = f.train) DESC, s.sample_count DESC, s.train) = 1""")
 def d19(spark, sf):
-    facts, stats = seg(spark, sf).alias("f"), segments.segment_stats(seg(spark, sf)).alias("s")
-    own = F.col("s.train") == F.col("f.train")
-    j = facts.join(stats, (F.col("f.from_station") == F.col("s.from_station")) & (F.col("f.to_station") == F.col("s.to_station"))).where(own | (F.col("s.sample_count") >= 10))
-    order = Window.partitionBy("f.event_id").orderBy(own.desc(), F.desc("s.sample_count"), "s.train")
-    return j.withColumn("place", F.row_number().over(order)).where("place = 1").select("f.event_id", F.col("s.train").alias("learned_from"), "s.sample_count", F.round(F.abs(F.col("f.minutes") - F.col("s.p50")), 3).alias("error"))
+    stats = segments.segment_stats(seg(spark, sf)).select("train", "from_station", "to_station", "sample_count", "p50")
+    return segments.replay(seg(spark, sf), stats, 10).select("event_id", "learned_from", "sample_count", F.round(F.abs(F.col("minutes") - F.col("p50")), 3).alias("error"))
 
 
 @job("d14_schedule_choice", """SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY (o_orderkey % 7 = 0) DESC, (o_orderstatus = 'O') DESC, o_orderdate DESC, o_orderkey) = 1""")

@@ -1,6 +1,6 @@
 """Work that grows with the distinct questions and not with the rows that ask them."""
 
-from ledgerline.operators import routes
+from ledgerline.operators import routes, segments
 
 
 def test_equal_requests_ask_once(spark, monkeypatch):
@@ -19,3 +19,11 @@ def test_equal_requests_ask_once(spark, monkeypatch):
     got = {(r.request_id, r.pos): r.station_id for r in routes.resolve_aliases(names, known, stations).collect()}
     assert got == {(r, p): s for r in range(50) for p, s in enumerate((19, 25))}
     assert asked == [(50, 1)]
+
+
+def test_replay_meets_its_own_row_and_one_more(spark):
+    facts = spark.createDataFrame([(i, i, "a", "b", 10.0 + i) for i in range(40)] + [(90, 3, "a", "c", 5.0), (91, 5, "x", "y", 5.0)], "event_id long, train long, from_station string, to_station string, minutes double")
+    rows = [(t, "a", "b", 5 + t % 8, 20.0 + t) for t in range(0, 40, 2)] + [(3, "a", "c", 1, 7.0), (5, "x", "z", 50, 7.0)]
+    got = {r.event_id: (r.learned_from, r.sample_count, r.p50) for r in segments.replay(facts, spark.createDataFrame(rows, "train long, from_station string, to_station string, sample_count long, p50 double"), 10).collect()}
+    # the trains 6, 14, .. have 11 samples, the most; 6 is the first of them
+    assert got == {**{i: (i, 5 + i % 8, 20.0 + i) if i % 2 == 0 else (6, 11, 26.0) for i in range(40)}, 90: (3, 1, 7.0)}
