@@ -50,6 +50,32 @@ def profiles(evals: DataFrame, generation: int) -> DataFrame:
     return out.withColumn("uncertainty", F.round(inflate, 3)).withColumn("readiness", ready)
 
 
+#: What decides the keys of an edge in every grouping.
+KINDS = {"source_id": F.col, "model_version": F.col, "from_station": F.col, "to_station": F.col, "daypart": lambda _: daypart("evaluated_at"), "horizon": lambda _: horizon("predicted")}
+
+
+def _by_kind(edges: DataFrame, generation: int) -> tuple[DataFrame, DataFrame]:
+    """The edges with what decides their keys as ``_k*``; and each combination of it once, spread over the groupings.
+
+    Edges are far more than combinations, so profiles are looked up for combinations and an edge is neither spread nor grouped.
+    """
+    kinds = {f"_k{i}": of(name) for i, (name, of) in enumerate(KINDS.items())}
+    rows = edges.withColumns(kinds)
+    one = rows.groupBy(*kinds).agg(F.first("evaluated_at").alias("evaluated_at"), F.first("predicted").alias("predicted"))
+    one = one.withColumns({name: F.col(k) for k, name in zip(kinds, KINDS, strict=True) if name in edges.columns})
+    return rows, spread_dimensions(one, generation).select(*kinds, "dimension", "key", "place")
+
+
+def _with_kind(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Each edge with what was found for its combination, nulls equal."""
+    keys = [f"_k{i}" for i in range(len(KINDS))]
+    found = found.select(*[F.col(k).alias(f"{k}_") for k in keys], *[c for c in found.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return rows.select("edge_id", "p10", "p50", "p90", *keys).join(found, on, "left")
+
+
 def _applied(rows: DataFrame) -> DataFrame:
     """Shift the median by the median residual and widen to the larger corrected half range."""
     p50 = F.greatest(F.lit(1.0), F.col("p50") + F.col("r50"))
@@ -59,6 +85,11 @@ def _applied(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"c50": p50, "c10": F.greatest(F.lit(1.0), p50 - half), "c90": p50 + half})
 
 
+def _corrected(rows: DataFrame, *more: str | Column) -> DataFrame:
+    """The corrected range where a profile was found (``found``), else the edge's own."""
+    return rows.select("edge_id", *more, *[F.round(F.when(F.col("found"), F.col(f"c{p}")).otherwise(F.col(f"p{p}")), 6).alias(f"p{p}") for p in (10, 50, 90)])
+
+
 def apply_best(edges: DataFrame, found: DataFrame, generation: int) -> DataFrame:
     """Correct each edge ``(edge_id, p10, p50, p90, ..)`` by one profile.
 
@@ -68,31 +99,34 @@ def apply_best(edges: DataFrame, found: DataFrame, generation: int) -> DataFrame
     ready = F.when(F.col("readiness") == "operational", 2).when(F.col("readiness") == "warming", 1).otherwise(0)
     least = F.col("prospective") >= 3 if generation == 4 else F.col("evaluations") >= 3
     usable = found.where(least).withColumn("rank", ready)
-    wanted = spread_dimensions(edges, generation).select("edge_id", "p10", "p50", "p90", "dimension", "key", "place")
+    rows, wanted = _by_kind(edges, generation)
     first = [F.col("prospective").desc(), F.col("evaluations").desc(), F.col("place")]
-    order = Window.partitionBy("edge_id").orderBy(*([] if generation == 4 else [F.col("rank").desc()]), *first)
+    keys = [f"_k{i}" for i in range(len(KINDS))]
+    order = Window.partitionBy(*keys).orderBy(*([] if generation == 4 else [F.col("rank").desc()]), *first)
     best = wanted.join(usable, ["dimension", "key"]).withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    done = _applied(best).select("edge_id", "dimension", "readiness", *[F.round(c, 6).alias(c) for c in ("c10", "c50", "c90")])
-    return edges.select("edge_id", "p10", "p50", "p90").join(done, "edge_id", "left").select("edge_id", "dimension", "readiness", *[F.coalesce(f"c{p}", F.round(f"p{p}", 6)).alias(f"p{p}") for p in (10, 50, 90)])
+    best = best.select(*keys, "dimension", "readiness", "r10", "r50", "r90", "uncertainty", F.lit(True).alias("found"))
+    return _corrected(_applied(_with_kind(rows, best)), "dimension", "readiness")
 
 
 def apply_blend(edges: DataFrame, found: DataFrame) -> DataFrame:
     """Generation 5: blend all profiles of an edge by samples, readiness and how specific they are, shrunk towards none."""
-    wanted = spread_dimensions(edges, 5).select("edge_id", "p10", "p50", "p90", "dimension", "key", "place")
-    rows = wanted.join(found.where("prospective >= 3"), ["dimension", "key"])
+    rows, wanted = _by_kind(edges, 5)
+    keys = [f"_k{i}" for i in range(len(KINDS))]
+    wanted = wanted.join(found.where("prospective >= 3"), ["dimension", "key"])
     ready = F.when(F.col("readiness") == "operational", 1.0).when(F.col("readiness") == "warming", 0.78).otherwise(0.5)
-    rows = rows.withColumn("w", F.sqrt("prospective") * ready * F.greatest(F.lit(0.45), 1 - F.col("place") * 0.16))
+    wanted = wanted.withColumn("w", F.sqrt("prospective") * ready * F.greatest(F.lit(0.45), 1 - F.col("place") * 0.16))
     means = {c: F.sum(F.col(c) * F.col("w")) / F.sum("w") for c in ("r10", "r50", "r90", "uncertainty")}
     cover = F.sum(F.when(F.col("p80_coverage") == 0, 80.0).otherwise(F.col("p80_coverage")) * F.col("w")) / F.sum("w")
-    blend = rows.groupBy("edge_id").agg(F.first("p10").alias("p10"), F.first("p50").alias("p50"), F.first("p90").alias("p90"), F.count("*").alias("blended"), F.sum("prospective").alias("prospective"), cover.alias("coverage"), *[v.alias(k) for k, v in means.items()])
-    blend = blend.withColumn("shrink", F.least(F.lit(0.92), F.col("prospective") / (F.col("prospective") + 10)))
+    blend = wanted.groupBy(*keys).agg(F.count("*").alias("blended"), F.sum("prospective").alias("prospective"), cover.alias("coverage"), *[v.alias(k) for k, v in means.items()])
+    blend = blend.withColumn("shrink", F.least(F.lit(0.92), F.col("prospective") / (F.col("prospective") + 10))).withColumn("found", F.lit(True))
+    rows = _with_kind(rows, blend)
     p50 = F.greatest(F.lit(1.0), F.col("p50") + F.col("r50") * F.col("shrink"))
     low, high = F.greatest(F.lit(1.0), F.col("p10") + F.col("r10") * F.col("shrink")), F.greatest(p50, F.col("p90") + F.col("r90") * F.col("shrink"))
     seen, plain = F.greatest(p50 - low, high - p50), F.greatest(F.lit(1.0), p50 - F.col("p10"), F.col("p90") - p50)
     inflate = F.greatest(F.lit(1.0), F.col("uncertainty")) * F.when(F.col("coverage") < 75, F.least(F.lit(2.0), 75 / F.greatest(F.lit(35.0), F.col("coverage")))).otherwise(1.0)
     half = F.greatest(plain, seen) * inflate
-    done = blend.select("edge_id", "blended", F.round("shrink", 3).alias("shrinkage"), F.round(F.greatest(F.lit(1.0), p50 - half), 6).alias("c10"), F.round(p50, 6).alias("c50"), F.round(p50 + half, 6).alias("c90"))
-    return edges.select("edge_id", "p10", "p50", "p90").join(done, "edge_id", "left").select("edge_id", F.coalesce("blended", F.lit(0)).alias("blended"), "shrinkage", *[F.coalesce(f"c{p}", F.round(f"p{p}", 6)).alias(f"p{p}") for p in (10, 50, 90)])
+    rows = rows.withColumns({"c10": F.greatest(F.lit(1.0), p50 - half), "c50": p50, "c90": p50 + half})
+    return _corrected(rows, F.coalesce("blended", F.lit(0)).alias("blended"), F.round("shrink", 3).alias("shrinkage"))
 
 
 def newest(evals: DataFrame, by: list[str], count: int) -> DataFrame:

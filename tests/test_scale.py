@@ -1,6 +1,8 @@
 """Work that grows with the distinct questions and not with the rows that ask them."""
 
-from ledgerline.operators import routes, segments
+from pyspark.sql import functions as F
+
+from ledgerline.operators import calibration, routes, segments
 
 
 def test_equal_requests_ask_once(spark, monkeypatch):
@@ -27,3 +29,12 @@ def test_replay_meets_its_own_row_and_one_more(spark):
     got = {r.event_id: (r.learned_from, r.sample_count, r.p50) for r in segments.replay(facts, spark.createDataFrame(rows, "train long, from_station string, to_station string, sample_count long, p50 double"), 10).collect()}
     # the trains 6, 14, .. have 11 samples, the most; 6 is the first of them
     assert got == {**{i: (i, 5 + i % 8, 20.0 + i) if i % 2 == 0 else (6, 11, 26.0) for i in range(40)}, 90: (3, 1, 7.0)}
+
+
+def test_profiles_are_looked_up_once_a_combination(spark):
+    edges = spark.range(1000).select(F.col("id").alias("edge_id"), F.lit("s").alias("source_id"), F.when(F.col("id") % 2 == 0, "m").alias("model_version"), F.lit("a").alias("from_station"), F.lit("b").alias("to_station"), F.lit("2026-01-01 07:00:00").cast("timestamp").alias("evaluated_at"), F.lit(20.0).alias("predicted"),
+        F.lit(15.0).alias("p10"), F.lit(20.0).alias("p50"), F.lit(26.0).alias("p90"), F.lit(0).alias("replay"), F.lit(4.0).alias("residual"), F.lit(0).alias("within_p80"))
+    for generation, apply in ((4, lambda e, p: calibration.apply_best(e, p, 4)), (5, calibration.apply_blend)):
+        assert calibration._by_kind(edges, generation)[1].count() == 2 * len(calibration.dimensions(generation))
+        out = apply(edges, calibration.profiles(edges, generation))
+        assert out.count() == 1000 and out.where("p50 > 23").count() == 1000, "edges with a null model are corrected too"
