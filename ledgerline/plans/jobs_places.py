@@ -384,7 +384,7 @@ def a28_ranges(spark, sf):
 def a14_activated(spark, sf):
     path = f"{scratch_root(spark)}/graph-{uuid.uuid4().hex}"
     known = _nodes(spark, sf, "p_size >= 10").withColumnRenamed("node", "station_id")
-    both = _segments(spark, sf).join(known.withColumnRenamed("station_id", "src"), "src", "left_semi").join(known.withColumnRenamed("station_id", "dst"), "dst", "left_semi").select("src", "dst", "metres")
+    both = _segments(spark, sf).join(known.withColumnRenamed("station_id", "src").hint(versions.JOIN), "src", "left_semi").join(known.withColumnRenamed("station_id", "dst").hint(versions.JOIN), "dst", "left_semi").select("src", "dst", "metres")
     versions.import_graph(known, both.where("src % 2 = 0"), path)
     versions.import_graph(known, both, path)
     versions.import_graph(known, _segments(spark, sf), path)  # has unknown ends, so the version before stays

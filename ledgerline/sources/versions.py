@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.plans.scratch import materialize, release
 
+#: Keys and digests take far less room on disk than in a hash table, so Spark's size check would send whole tables of them through
+#: the driver; their joins sort instead.
+JOIN = "merge"
 #: Rows of a range on average, at most.
 RANGE_ROWS = 125
 DIGITS = 16
@@ -85,9 +88,9 @@ def publish(rows: DataFrame, path: str, key: list[str], size: int = RANGE_ROWS)
     version = version_of(digests)
     if version != active_version(spark, path):
         held = manifest(spark, path).select("range", "digest", "written")
-        full = digests.join(held, ["range", "digest"], "left").withColumn("written", F.coalesce("written", F.lit(version)))
+        full = digests.join(held.hint(JOIN), ["range", "digest"], "left").withColumn("written", F.coalesce("written", F.lit(version)))
         full = materialize(full.select("range", "rows", "digest", "written"), "version-manifest")
-        fresh = ranged.join(full.where(F.col("written") == version).select("range"), "range", "left_semi")
+        fresh = ranged.join(full.where(F.col("written") == version).select("range").hint(JOIN), "range", "left_semi")
         fresh.write.mode("overwrite").parquet(f"{path}/data/written={version}")
         full.write.mode("overwrite").parquet(f"{path}/manifests/{version}")
         _moved(spark, path, version)
@@ -100,7 +103,7 @@ def read_active(spark: SparkSession, path: str, schema: str, version: str | None
     """The rows of a version, the active one by default."""
     wanted = manifest(spark, path, version).select("range", "written")
     table = spark.read.schema(f"{schema}, range string, written string").parquet(f"{path}/data")
-    return table.join(wanted, ["range", "written"], "left_semi").drop("range", "written")
+    return table.join(wanted.hint(JOIN), ["range", "written"], "left_semi").drop("range", "written")
 
 
 def import_graph(stations: DataFrame, segments: DataFrame, path: str, size: int = RANGE_ROWS) -> dict:
@@ -109,7 +112,7 @@ def import_graph(stations: DataFrame, segments: DataFrame, path: str, size: int
     Returns ``status`` (``active`` or ``waiting``), the version, the segments and how many of them have an unknown end.
     """
     node = stations.select("station_id").distinct()
-    known = segments.join(node.withColumnRenamed("station_id", "src"), "src", "left_semi").join(node.withColumnRenamed("station_id", "dst"), "dst", "left_semi").select(segments.columns)
+    known = segments.join(node.withColumnRenamed("station_id", "src").hint(JOIN), "src", "left_semi").join(node.withColumnRenamed("station_id", "dst").hint(JOIN), "dst", "left_semi").select(segments.columns)
     total, good = segments.count(), known.count()
     if good < total:
         return {"status": "waiting", "version": active_version(segments.sparkSession, path), "segments": total, "unknown": total - good}

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerline.operators import calibration, routes, segments
+from ledgerline.sources import versions
 
 
 def test_equal_requests_ask_once(spark, monkeypatch):
@@ -38,3 +39,13 @@ def test_profiles_are_looked_up_once_a_combination(spark):
         assert calibration._by_kind(edges, generation)[1].count() == 2 * len(calibration.dimensions(generation))
         out = apply(edges, calibration.profiles(edges, generation))
         assert out.count() == 1000 and out.where("p50 > 23").count() == 1000, "edges with a null model are corrected too"
+
+
+def test_versions_send_no_table_through_the_driver(spark, tmp_path):
+    stations = spark.range(500).withColumnRenamed("id", "station_id")
+    rows = spark.range(499).selectExpr("id AS src", "id + 1 AS dst", "id * 7 AS metres")
+    path = f"file://{tmp_path}/graph"
+    assert versions.import_graph(stations, rows, path, 10)["status"] == "active"
+    active = versions.read_active(spark, path, "src long, dst long, metres long")
+    assert active.count() == 499
+    assert "Broadcast" not in active._jdf.queryExecution().executedPlan().toString()
